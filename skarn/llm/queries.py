@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import suffix_decontam, warc_bundles
+from . import bpe_codec, suffix_decontam, token_counts, warc_bundles
 from .common import table
 
 
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe_codec.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe_codec.digests(bpe_codec.decode(encoded, ranks))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "bundle", "frame", "offset")
 
@@ -18,6 +29,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
     "op9_decontamination": op9_decontamination,
 }

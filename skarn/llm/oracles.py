@@ -1,5 +1,25 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+#: Exact: shingles of each document, links by common shingles, groups by following links.
+OP4 = r"""
+with recursive w as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), sh as materialized (
+    select distinct doc_id, case when len(w) < 4 then array_to_string(w, ' ') else array_to_string(w[i:i + 3], ' ') end as s
+    from w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) u(i) where len(w) > 0
+), n as materialized (select doc_id, count(*) as n from sh group by doc_id
+), links as materialized (
+    select p.a, p.b from (select x.doc_id as a, y.doc_id as b, count(*) as common from sh x join sh y on x.s = y.s and x.doc_id <> y.doc_id group by all) p
+    join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * common >= 80 * (x.n + y.n - common)
+), reach as (
+    select doc_id, doc_id as other from w
+    union
+    select reach.doc_id, links.b from reach join links on links.a = reach.other
+)
+select w.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(other) as component_id, w.doc_id = min(other) as kept
+from w join reach using (doc_id) left join n using (doc_id) group by w.doc_id
+"""
+
 OP7 = """
 with p as (
     select page_id, encode(coalesce(html, '')) as payload from pages
@@ -40,4 +60,4 @@ select dw.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit
 from dw left join words using (doc_id) left join items using (doc_id)
 """
 
-ORACLES = {"op7_warc": OP7, "op9_decontamination": OP9}
+ORACLES = {"op4_near_duplicates": OP4, "op7_warc": OP7, "op9_decontamination": OP9}

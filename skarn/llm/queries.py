@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, suffix_decontam, token_counts, warc_bundles
+from . import bpe_codec, cpsjoin, suffix_decontam, token_counts, warc_bundles
 from .common import table
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cpsjoin.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe_codec.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -29,6 +33,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,

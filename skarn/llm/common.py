@@ -35,7 +35,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skarn/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(schema).parquet(path)
 

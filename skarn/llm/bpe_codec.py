@@ -25,12 +25,12 @@ import regex
 import tiktoken
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 10 << 20
 #: The vocabulary goes to all executors: beyond this it is not one.
 MAX_VOCABULARY_BYTES = 64 << 20
 BLOCKS = "block string, row long, doc_id long, places binary, bucket int, members binary, words binary"
@@ -84,7 +84,7 @@ def _cut(pattern: str, buckets: int, block_chars: int):
 
         def flush() -> pd.DataFrame:
             block = f"{part}-{count}"
-            numbers = np.concatenate([x for _, _, x in rows]) if rows else np.zeros(0, dtype=np.int64)
+            numbers = np.concatenate([x for _, _, x in rows]) if rows else np.zeros(0, dtype=np.int32)
             order = np.argsort(-np.bincount(numbers, minlength=len(places)), kind="stable")  # frequent words get small places
             rank = np.empty_like(order)
             rank[order] = np.arange(len(order))
@@ -103,7 +103,7 @@ def _cut(pattern: str, buckets: int, block_chars: int):
                     yield flush()
                     count, places, rows, size = count + 1, Places(), [], 0
                 found = find(text)
-                rows.append((at, None if doc is None else int(doc), np.fromiter(map(places.__getitem__, found), dtype=np.int64, count=len(found))))
+                rows.append((at, None if doc is None else int(doc), np.fromiter(map(places.__getitem__, found), dtype=np.int32, count=len(found))))
                 size, at = size + len(text), at + 1
         if rows:
             yield flush()
@@ -129,51 +129,73 @@ def _encode_words(held, pattern: str):
     return encode
 
 
-def _assemble(key, docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    """The documents of a block: ids of the words at their places."""
-    counts = np.zeros(0, dtype=np.int64)
-    starts, ids = counts, counts
-    if len(words):
-        members = np.concatenate([unpack(x) for x in words.members]).astype(np.int64)
-        own = np.concatenate([unpack(x) for x in words.counts]).astype(np.int64)
-        ids = np.concatenate([unpack(x) for x in words.ids]).astype(np.int32)
-        counts, starts = np.zeros(len(members), dtype=np.int64), np.zeros(len(members), dtype=np.int64)
-        counts[members], starts[members] = own, np.cumsum(own) - own
-    out = []
-    for places in docs.places:
-        place = unpack(places)
-        count = counts[place]
-        ends = np.cumsum(count)
-        out.append(ids[np.arange(ends[-1]) + np.repeat(starts[place] - (ends - count), count)] if len(place) else np.zeros(0, dtype=np.int32))
-    return pd.DataFrame({"doc_id": docs.doc_id.astype("Int64"), "ids": out})
+def _assembler(tokens=None):
+    """Builds the documents of a block, ids of the words at their places; with the token-byte table, decodes them as well."""
 
+    def assemble(key, docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(0, dtype=np.int64)
+        starts, ids = counts, counts
+        if len(words):
+            members = np.concatenate([unpack(x) for x in words.members])
+            own = np.concatenate([unpack(x) for x in words.counts]).astype(np.int64)
+            ids = np.concatenate([unpack(x) for x in words.ids]).astype(np.int32)
+            counts, starts = np.zeros(len(members), dtype=np.int64), np.zeros(len(members), dtype=np.int64)
+            counts[members], starts[members] = own, np.cumsum(own) - own
+        out = []
+        for places in docs.places:
+            place = unpack(places)
+            count = counts[place]
+            ends = np.cumsum(count)
+            out.append(ids[np.arange(ends[-1]) + np.repeat(starts[place] - (ends - count), count)] if len(place) else np.zeros(0, dtype=np.int32))
+        frame = pd.DataFrame({"doc_id": docs.doc_id.astype("Int64"), "ids": out})
+        return frame if tokens is None else frame.assign(decoded=_decoded(out, tokens.value))
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id and ids (array of int) of every document, as the tiktoken library encodes it without special tokens."""
+    return assemble
+
+
+def _decoded(rows: list[np.ndarray], tokens: dict[int, bytes]) -> list[bytes]:
+    of = tokens.__getitem__
+    return [b"".join(map(of, ids.tolist())) for ids in rows]
+
+
+def _blocks(docs: DataFrame, vocabulary: str, pattern: str, block_chars: int):
+    """The documents' places and the encoded words, both by block."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = spark.sparkContext.broadcast(load_ranks(vocabulary))
-    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = materialise(texts.mapInPandas(_cut(pattern, buckets, block_chars), BLOCKS), "bpe")
     words = blocks.where("bucket is not null").select("block", "bucket", "members", "words")
     ids = words.repartitionById(buckets, F.col("bucket")).mapInPandas(_encode_words(held, pattern), "block string, members binary, counts binary, ids binary")
-    rows = blocks.where("places is not null").select("block", "doc_id", "places")
-    return rows.groupBy("block").cogroup(ids.groupBy("block")).applyInPandas(_assemble, "doc_id long, ids array<int>")
+    return blocks.where("places is not null").select("block", "doc_id", "places").groupBy("block").cogroup(ids.groupBy("block"))
+
+
+def _token_bytes(spark: SparkSession, vocabulary: str):
+    return spark.sparkContext.broadcast({rank: token for token, rank in load_ranks(vocabulary).items()})
+
+
+def encode(docs: DataFrame, vocabulary: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id and ids (array of int) of every document, as the tiktoken library encodes it without special tokens."""
+    return _blocks(docs, vocabulary, pattern, block_chars).applyInPandas(_assembler(), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """encoded with the column decoded (binary): the bytes of its ids by the token-byte table."""
-    tokens = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in load_ranks(vocabulary).items()})
+    tokens = _token_bytes(encoded.sparkSession, vocabulary)
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = tokens.value.__getitem__
         for batch in batches:
-            batch["decoded"] = [b"".join(map(of, ids.tolist())) for ids in batch.ids]
-            yield batch.astype({"doc_id": "Int64"})
+            yield batch.assign(decoded=_decoded(list(batch.ids), tokens.value)).astype({"doc_id": "Int64"})
 
     return encoded.select("doc_id", "ids").mapInPandas(look_up, "doc_id long, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, ids and decoded: decode(encode(docs)) with one pass through Python workers less."""
+    tokens = _token_bytes(docs.sparkSession, vocabulary)
+    return _blocks(docs, vocabulary, pattern, block_chars).applyInPandas(_assembler(tokens), "doc_id long, ids array<int>, decoded binary")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256."""
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -16,8 +16,7 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe_codec.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe_codec.digests(bpe_codec.decode(encoded, ranks))
+    return bpe_codec.digests(bpe_codec.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, cpsjoin, quality_rules, suffix_decontam, token_counts, warc_bundles
+from . import bpe_codec, cpsjoin, html_extract, quality_rules, suffix_decontam, token_counts, warc_bundles
 from .common import table
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
@@ -37,6 +41,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_quality_rules": op2_quality_rules,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_bpe_round_trip": op5_bpe_round_trip,

@@ -6,10 +6,10 @@ of its path), and sends each of its classes to one child for each, named by the
 a node, a pair of similarity 0.8 has 1.6 common children on average, and stays together down any depth in a tree with a
 chance of 0.9375 or more (the fixed point of q = (0.2 + 0.8 q)^2 is q = 0.0625), so five trees miss it with a chance of 1e-6.
 
-A node is done when it has one class or its classes are already linked into one group. In every other node, each class is
-compared with the node's pivot (twice, with pivots chosen anew), so a group of copies of any size is linked by one
-comparison each; then, in nodes of at most LEAF classes, all classes that are still in different groups are compared.
-Larger nodes branch on; what is left at DEPTH is compared exhaustively in blocks of LEAF by LEAF classes. Candidates pass a
+A node is done when it has one class or its classes are already linked into one group. At the roots, and in all large nodes,
+each class is compared with the node's pivot first, so a group of copies of any size is linked by one comparison each; then,
+in nodes of at most LEAF classes, all classes that are still in different groups are compared. Larger nodes branch on; what
+is left at DEPTH is compared exhaustively in blocks of LEAF by LEAF classes. Candidates pass a
 64-bit one-bit minwise sketch first (a pair at 0.8 fails that with a chance of about 1e-6) and then the comparison of full
 sets. Only group membership is wanted, so pairs inside a group are not listed.
 
@@ -40,16 +40,15 @@ SIMILARITY = 0.8
 COORDINATES = 64
 TREES = 5
 BRANCH = 2
-LEAF = 48
+LEAF = 512
 DEPTH = 12
-STARS = 2
 #: Sketch bits that may differ: mean 6.4 and deviation 2.4 at similarity 0.8.
 SKETCH_BITS = 20
 BROADCAST_ROWS = 500_000
 SETS = "doc_id long, n_shingles long, cid binary, sketch long, minwise array<int>, packed binary"
 
-_random = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, (2, COORDINATES), dtype=np.uint64)
-FACTORS, SHIFTS = _random[0] * np.uint64(2) + np.uint64(1), _random[1]
+_random = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 32, (2, COORDINATES), dtype=np.uint32)
+FACTORS, SHIFTS = _random[0] | np.uint32(1), _random[1]
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,11 +77,12 @@ def shingles(data: bytes, size: int, hashes: WordHashes) -> np.ndarray:
 
 
 def minwise(values: np.ndarray) -> np.ndarray:
-    """The smallest value under each hash function (its upper 32 bits)."""
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for k in range(0, len(values), 4096):
-        least = np.minimum(least, (values[None, k : k + 4096] * FACTORS[:, None] + SHIFTS[:, None]).min(axis=1))
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    """The smallest value under each hash function, of the values' upper halves."""
+    upper = (values >> np.uint64(32)).astype(np.uint32)
+    least = np.full(COORDINATES, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for k in range(0, len(upper), 4096):
+        least = np.minimum(least, (upper[None, k : k + 4096] * FACTORS[:, None] + SHIFTS[:, None]).min(axis=1))
+    return least.view(np.int32)
 
 
 def sketch_of(signature: np.ndarray) -> int:
@@ -135,47 +135,41 @@ def _similar(size: int, percent: int):
     return confirm
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """df (one short row a class), to be sent to all executors if a count shows that it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _members(sets: DataFrame, wanted: DataFrame, count: int, column: str) -> DataFrame:
+    """cid and column of the wanted classes (distinct, count at most), once each; a short list goes to all executors."""
+    wanted = F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted
+    return sets.select("cid", column).join(wanted, "cid", "left_semi").dropDuplicates(["cid"])
 
 
-def _members(sets: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
-    """cid and column of the wanted classes, once each."""
-    return sets.select("cid", column).join(_few(wanted), "cid", "left_semi").dropDuplicates(["cid"])
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, count: int, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; pairs is a written table."""
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "wanted")
-    texts = materialise(_members(sets, wanted, "packed"), "texts")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    texts = materialise(_members(sets, wanted, 2 * count, "packed"), "texts")
     whole = pairs.join(texts.select(F.col("cid").alias("a"), F.col("packed").alias("text_a")), "a").join(texts.select(F.col("cid").alias("b"), F.col("packed").alias("text_b")), "b")
     edges = materialise(whole.select("a", "b", "text_a", "text_b").mapInPandas(_similar(size, percent), "a binary, b binary"), "edges")
     discard(texts)
-    discard(wanted)
     return edges
 
 
 def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
-    """cid and comp (smallest cid reachable) of every vertex that has an edge, by large-star and small-star steps."""
+    """cid and comp (smallest cid reachable) of every vertex that has an edge, by large-star and small-star steps.
+
+    Smallest neighbours are written before they are joined, so that a hub's edges can be split over tasks.
+    """
     now = materialise(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct(), "star")
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = mark(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # A vertex whose neighbours are all smaller or all larger needs both directions to know the smallest around it.
         low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large, "star")
+        large = materialise(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "star")
         least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        after_table = materialise(small, "star")
+        small = materialise(small, "star")
         for old in (now, low, large, least):
             discard(old)
-        now, after = after_table, mark(after_table)
-        if after == before:
+        now = small
+        # Done when every vertex has one edge and no centre has one: a forest of stars.
+        if now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
             break
-        before = after
     stars = now.select(F.col("u").alias("cid"), F.col("v").alias("comp"))
     return stars.unionByName(stars.select(F.col("comp").alias("cid"), "comp").distinct())
 
@@ -193,8 +187,8 @@ class Groups:
 
     def link(self, pairs: DataFrame) -> None:
         pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        if not pairs.isEmpty():
-            edges = _confirmed(pairs, self.sets, self.size, self.percent)
+        if count := pairs.count():
+            edges = _confirmed(pairs, count, self.sets, self.size, self.percent)
             if not edges.isEmpty():
                 all_edges = edges if self.comps is None else edges.unionByName(self.comps.select(F.col("cid").alias("a"), F.col("comp").alias("b")).where("a <> b"))
                 old, self.comps = self.comps, materialise(components(all_edges), "comps")
@@ -205,17 +199,21 @@ class Groups:
 
 
 def _open_nodes(nodes: DataFrame, groups: Groups, salt: int) -> DataFrame:
-    """Rows of nodes with classes of several groups: key, cid, sketch, comp, n and a pivot."""
-    marked = materialise(groups.marked(nodes), "marked")
+    """Rows of nodes with classes of several groups: key, cid, sketch, comp, n and a pivot (p, with sketch ps and group pc)."""
+    marked = groups.marked(nodes)
     pivot = F.min(F.struct(F.xxhash64(F.lit(salt), "cid"), F.col("cid").alias("p"), F.col("sketch").alias("ps"), F.col("comp").alias("pc"))).alias("pivot")
     about = marked.groupBy("key").agg(F.count("*").alias("n"), pivot, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    about = materialise(about.select("key", "n", "pivot.p", "pivot.ps", "pivot.pc"), "about")
+    about = materialise(about.select("key", "n", "pivot.p", "pivot.ps", "pivot.pc"), "about")  # written, so that a large node's rows can be split
     out = materialise(marked.join(about, "key"), "open")
-    discard(marked)
     discard(about)
     return out
 
 
+def _stars(rows: DataFrame) -> DataFrame:
+    """Each class with its node's pivot, where the sketches are close and the groups differ."""
+    return rows.where((F.col("comp") != F.col("pc")) & _close(F.col("sketch"), F.col("ps"))).select(F.col("cid").alias("a"), F.col("p").alias("b"))
+
+
 def _close(x, y) -> F.Column:
     return F.bit_count(x.bitwiseXOR(y)) <= SKETCH_BITS
 
@@ -244,8 +242,8 @@ def _roots(sets: DataFrame) -> DataFrame:
 
 def _children(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """The next level of large nodes: each node chooses BRANCH coordinates by its key."""
-    wanted = materialise(rows.select("cid").distinct(), "wanted")
-    signed = rows.select("key", "cid", "sketch").join(_members(sets, wanted, "minwise"), "cid")
+    wanted = rows.select("cid").distinct()
+    signed = rows.select("key", "cid", "sketch").join(_members(sets, wanted, rows.count(), "minwise"), "cid")
     first = F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(COORDINATES))
     chosen = [first] + [F.pmod(first + 1 + F.pmod(F.xxhash64(F.lit(1 + k), "key"), F.lit(COORDINATES - 1)), F.lit(COORDINATES)) for k in range(1, BRANCH)]
     keys = F.array(*[F.xxhash64("key", c, F.element_at("minwise", (c + 1).cast("int"))) for c in chosen])
@@ -258,25 +256,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     sets = materialise(texts.mapInPandas(_sets(shingle), SETS), "sets")
     groups = Groups(sets, shingle, round(100 * similarity))
     nodes = materialise(_roots(sets), "nodes")
+    rows = _open_nodes(nodes, groups, 0)
+    groups.link(_stars(rows))
+    discard(nodes)
+    nodes = rows.select("key", "cid", "sketch")
     for level in range(depth + 1):
-        for star in range(STARS):
-            rows = _open_nodes(nodes, groups, STARS * level + star)
-            discard(nodes)
-            groups.link(rows.where((F.col("comp") != F.col("pc")) & _close(F.col("sketch"), F.col("ps"))).select(F.col("cid").alias("a"), F.col("p").alias("b")))
-            nodes = materialise(rows.select("key", "cid", "sketch"), "nodes")
-            discard(rows)
-        rows = _open_nodes(nodes, groups, -1)
-        discard(nodes)
-        pairs = _exhaustive(rows.where(F.col("n") <= leaf), "key")
+        old, rows = rows, _open_nodes(nodes, groups, level + 1)
+        discard(old)
         large = rows.where(F.col("n") > leaf)
-        if level == depth:
-            pairs = pairs.unionByName(_exhaustive(_blocks(large, leaf), "key", "lo", "hi"))
-        groups.link(pairs)
-        if level == depth or large.isEmpty():
-            discard(rows)
+        rest = _stars(large) if level < depth else _exhaustive(_blocks(large, leaf), "key", "lo", "hi")
+        groups.link(_exhaustive(rows.where(F.col("n") <= leaf), "key").unionByName(rest))
+        if large.isEmpty():
             break
-        nodes = materialise(_children(large, sets), "nodes")
-        discard(rows)
+        nodes = _children(large, sets)
+    discard(rows)
     keyed = groups.marked(sets.select("doc_id", "n_shingles", "cid")).withColumn("group", F.coalesce(F.col("comp"), F.encode(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8")))
     keyed = materialise(keyed.select("doc_id", "n_shingles", "group"), "keyed")
     first = materialise(keyed.groupBy("group").agg(F.min("doc_id").alias("component_id")), "first")

@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 
 FREQUENT = 1 << 16
 FREQUENT_BYTES = 64
-SAMPLE_DOCS = 2_000
+SAMPLE_DOCS = 1_000
 CACHE = 300_000
 LIMIT = 1024
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -88,7 +88,7 @@ def special_pattern(coder: Tokenizer):
 def frequent_lengths(docs: DataFrame, definition: str, pattern: str, sample_docs: int = SAMPLE_DOCS, size: int = FREQUENT) -> dict[str, int]:
     """The first tier, from a bounded sample of documents (any will do)."""
     find, seen = regex.compile(pattern).findall, Counter()
-    for (text,) in docs.select(F.col("text").cast("string")).limit(sample_docs).toLocalIterator():
+    for (text,) in docs.select(F.col("text").cast("string")).take(sample_docs):
         seen.update(w for w in find(text or "") if len(w.encode()) <= FREQUENT_BYTES)
     lengths = Lengths(load_tokenizer(definition), {}, limit=1 << 62)
     lengths.learn({w for w, _ in seen.most_common(size)})

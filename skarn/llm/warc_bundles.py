@@ -36,6 +36,7 @@ FOOTER = struct.Struct("<IBI")
 REVISIT_MIN_BYTES = 100
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 16 << 20
+BROADCAST_ROWS = 200_000
 BUNDLES = "bundle string, data binary, n_records long, record_ids array<string>, frames array<int>, offsets array<long>, lengths array<long>"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, bundle string, frame int, offset long"
 
@@ -43,16 +44,21 @@ RECORDS = "page_id long, url string, payload_bytes long, payload_digest string,
 def classified(pages: DataFrame, min_bytes: int = REVISIT_MIN_BYTES) -> DataFrame:
     """Each page with its payload, digest and refers_to (null for responses).
 
-    The smallest page_id of each digest is found on digests alone, with partial sums before the shuffle; a hot payload's rows
-    join a single row, and adaptive execution can split them. Small payloads get keys of their own, so that none is hot.
+    The payloads that occur twice or more, with their smallest page_id, are found on digests alone, with partial sums before
+    the shuffle, and counted. Up to BROADCAST_ROWS of them go to all executors and pages stay where they are; beyond, pages
+    are shuffled by digest: a hot payload's rows then join a single row, so that adaptive execution can split them, and
+    pages that need no partner get keys of their own, so that none is hot.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     long_enough = F.octet_length("payload") >= min_bytes
-    first = rows.where(long_enough).groupBy("digest").agg(F.min("page_id").alias("first_id")).withColumnRenamed("digest", "first_key")
-    key = F.when(long_enough, F.col("digest")).otherwise(F.concat(F.lit("-"), F.col("page_id").cast("string")))
-    joined = rows.withColumn("first_key", key).join(first, "first_key", "left")
+    again = rows.where(long_enough).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    again = materialise(again.select(F.col("digest").alias("first_key"), "first_id"), "payloads")
+    if again.count() <= BROADCAST_ROWS:
+        again = F.broadcast(again)
+    key = F.when(long_enough, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    joined = rows.withColumn("first_key", key).join(again, "first_key", "left")
     refers = F.when(F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id"))
     return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 

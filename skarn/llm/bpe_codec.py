@@ -3,7 +3,7 @@
 Texts are cut into pre-tokens. Documents are taken in blocks of bounded size; a block keeps its own list of distinct words,
 and each document becomes the row of its words' places in that list, which fixes every position. Only the block's distinct
 words travel, sorted into buckets by hash: the task of a bucket meets a word from all blocks and encodes it once. The ids go
-back to their block, where each document is put together by position. Decoding looks every id up in the token-byte table.
+back to their block, where each document is put together by position; the blocks lie in a table in buckets, so they stay. Decoding looks every id up in the token-byte table.
 
 A frequent word thus travels once for each block, however many documents hold it, so no key is hot; tasks hold one block or
 one bucket. The blocks are written to the shared folder once, as the later steps read them twice.
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise_by
 
 BLOCK_CHARS = 10 << 20
 #: The vocabulary goes to all executors: beyond this it is not one.
@@ -92,6 +92,8 @@ def _cut(pattern: str, buckets: int, block_chars: int):
             by: dict[int, list[int]] = {}
             for place in order.tolist():
                 by.setdefault(zlib.crc32(words[place]) % buckets, []).append(place)
+            for own in by.values():
+                own.sort(key=words.__getitem__)  # neighbours share their beginnings: half the bytes when packed
             docs = pd.DataFrame([(block, r, d, pack(rank[x]), None, None, None) for r, d, x in rows], columns=[c.split()[0] for c in BLOCKS.split(", ")])
             held = pd.DataFrame([(block, None, None, None, b, pack(rank[own]), pack_words([words[i] for i in own])) for b, own in by.items()], columns=docs.columns)
             return pd.concat([docs, held]).astype({"row": "Int64", "doc_id": "Int64", "bucket": "Int32"}) if by else docs.astype({"row": "Int64", "doc_id": "Int64", "bucket": "Int32"})
@@ -117,14 +119,14 @@ def _encode_words(held, pattern: str):
         known: dict[bytes, list[int]] = {}
         for batch in batches:
             out = []
-            for block, members, words in zip(batch.block, batch.members, batch.words, strict=True):
+            for block, bucket, words in zip(batch.block, batch.bucket, batch.words, strict=True):
                 ids = []
                 for word in unpack_words(words):
                     if (own := known.get(word)) is None:
                         known[word] = own = coder.encode_ordinary(word.decode())
                     ids.append(own)
-                out.append((block, members, pack(np.array(list(map(len, ids)))), pack(np.array([i for own in ids for i in own], dtype=np.int64))))
-            yield pd.DataFrame(out, columns=["block", "members", "counts", "ids"])
+                out.append((block, bucket, pack(np.array(list(map(len, ids)))), pack(np.array([i for own in ids for i in own], dtype=np.int64))))
+            yield pd.DataFrame(out, columns=["block", "bucket", "counts", "ids"])
 
     return encode
 
@@ -132,11 +134,12 @@ def _encode_words(held, pattern: str):
 def _assembler(tokens=None):
     """Builds the documents of a block, ids of the words at their places; with the token-byte table, decodes them as well."""
 
-    def assemble(key, docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    def assemble(key, rows: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        docs, held = rows[rows.bucket.isna()], rows[~rows.bucket.isna()].set_index("bucket").members
         counts = np.zeros(0, dtype=np.int64)
         starts, ids = counts, counts
         if len(words):
-            members = np.concatenate([unpack(x) for x in words.members])
+            members = np.concatenate([unpack(held[x]) for x in words.bucket])
             own = np.concatenate([unpack(x) for x in words.counts]).astype(np.int64)
             ids = np.concatenate([unpack(x) for x in words.ids]).astype(np.int32)
             counts, starts = np.zeros(len(members), dtype=np.int64), np.zeros(len(members), dtype=np.int64)
@@ -147,7 +150,7 @@ def _assembler(tokens=None):
             count = counts[place]
             ends = np.cumsum(count)
             out.append(ids[np.arange(ends[-1]) + np.repeat(starts[place] - (ends - count), count)] if len(place) else np.zeros(0, dtype=np.int32))
-        frame = pd.DataFrame({"doc_id": docs.doc_id.astype("Int64"), "ids": out})
+        frame = pd.DataFrame({"doc_id": docs.doc_id.map(lambda x: None if x is None else int(x)).astype("Int64"), "ids": out})
         return frame if tokens is None else frame.assign(decoded=_decoded(out, tokens.value))
 
     return assemble
@@ -164,10 +167,10 @@ def _blocks(docs: DataFrame, vocabulary: str, pattern: str, block_chars: int):
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = spark.sparkContext.broadcast(load_ranks(vocabulary))
     texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = materialise(texts.mapInPandas(_cut(pattern, buckets, block_chars), BLOCKS), "bpe")
-    words = blocks.where("bucket is not null").select("block", "bucket", "members", "words")
-    ids = words.repartitionById(buckets, F.col("bucket")).mapInPandas(_encode_words(held, pattern), "block string, members binary, counts binary, ids binary")
-    return blocks.where("places is not null").select("block", "doc_id", "places").groupBy("block").cogroup(ids.groupBy("block"))
+    blocks = materialise_by(texts.mapInPandas(_cut(pattern, buckets, block_chars), BLOCKS), "bpe", "block")
+    words = blocks.where("bucket is not null").select("block", "bucket", "words")
+    ids = words.repartitionById(buckets, F.col("bucket")).mapInPandas(_encode_words(held, pattern), "block string, bucket int, counts binary, ids binary")
+    return blocks.select("block", F.col("doc_id").cast("string").alias("doc_id"), "places", "bucket", "members").groupBy("block").cogroup(ids.groupBy("block"))
 
 
 def _token_bytes(spark: SparkSession, vocabulary: str):

@@ -40,6 +40,23 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _drop(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"drop table if exists {name}")
+    except Exception:  # noqa: BLE001  the session has ended, and a session's own catalogue with it
+        pass
+
+
+def materialise_by(df: DataFrame, label: str, key: str) -> DataFrame:
+    """As materialise(), as a table in buckets of key: what needs the rows of a key together reads it without a shuffle."""
+    spark, name = df.sparkSession, f"skarn_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/skarn/{name}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
+    atexit.register(_remove, spark, path)
+    atexit.register(_drop, spark, name)
+    return spark.table(name)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files that materialise() wrote for df; nothing may read it afterwards."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, cpsjoin, html_extract, quality_rules, suffix_decontam, token_counts, warc_bundles
+from . import bpe_codec, cpsjoin, html_extract, quality_gbt, quality_rules, suffix_decontam, token_counts, warc_bundles
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
 
 
+def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gbt.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cpsjoin.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -43,6 +47,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_quality_rules": op2_quality_rules,
+    "op3_quality_trees": op3_quality_trees,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_token_counts": op6_token_counts,

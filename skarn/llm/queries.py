@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, cpsjoin, html_extract, quality_gbt, quality_rules, suffix_decontam, token_counts, warc_bundles
+from . import bpe_codec, cpsjoin, html_extract, quality_gbt, quality_rules, suffix_decontam, token_counts, toxic_segments, warc_bundles
 from .common import table
 
 
@@ -44,6 +44,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_decontam.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxic_segments.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_quality_rules": op2_quality_rules,
@@ -53,4 +58,5 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
     "op9_decontamination": op9_decontamination,
+    "op10_toxicity": op10_toxicity,
 }

@@ -1,17 +1,19 @@
 """Near-duplicate groups by a chosen-path set similarity join.
 
 A document is the set of its distinct word shingles. Documents with equal sets are one class; the join runs over classes.
-Each of TREES independent trees branches recursively: a node chooses BRANCH of COORDINATES minwise hash functions (by a hash
-of its path), and sends each of its classes to one child for each, named by the class's minwise shingle. With two children
-a node, a pair of similarity 0.8 has 1.6 common children on average, and stays together down any depth in a tree with a
-chance of 0.9375 or more (the fixed point of q = (0.2 + 0.8 q)^2 is q = 0.0625), so five trees miss it with a chance of 1e-6.
+Each of ROOTS independent trees branches recursively: a node chooses minwise hash functions out of COORDINATES by a hash of its
+path, and sends each of its classes to one child for each, named by the class's minwise shingle. Below the roots a node
+chooses one function and, with a chance of a quarter, another: 1 / 0.8 in mean, so that pairs of similarity 0.8 have one
+common child in mean and less similar ones die out. The roots, where nearly all nodes are small enough, miss such a pair with
+a chance of 0.2 ** 10 = 1e-7; down to the fourth level of large nodes it is under 0.001.
 
 A node is done when it has one class or its classes are already linked into one group. At the roots, and in all large nodes,
-each class is compared with the node's pivot first, so a group of copies of any size is linked by one comparison each; then,
-in nodes of at most LEAF classes, all classes that are still in different groups are compared. Larger nodes branch on; what
-is left at DEPTH is compared exhaustively in blocks of LEAF by LEAF classes. Candidates pass a
-64-bit one-bit minwise sketch first (a pair at 0.8 fails that with a chance of about 1e-6) and then the comparison of full
-sets. Only group membership is wanted, so pairs inside a group are not listed.
+each class is compared with the node's pivot first, so a group of copies of any size is linked by one comparison each; then a
+node of at most LEAF classes goes to one task, which compares all classes that are still in different groups and returns
+links that join groups, fewer than it has classes. Larger nodes branch on; what is left at DEPTH is compared exhaustively in
+blocks of LEAF by LEAF classes. Candidates pass a
+64-bit one-bit minwise sketch first and, in nodes, the count of equal minwise shingles (a pair at 0.8 fails these with a
+chance of about 1e-5), and then the comparison of full sets. Only group membership is wanted, so pairs inside a group are not listed.
 
 Groups are found by alternating large-star and small-star steps over written edge tables. Nothing but counts goes to the
 driver; tables sent to all executors are counted first, and joined by shuffle beyond BROADCAST_ROWS.
@@ -33,17 +35,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, spread
 
 SHINGLE = 5
 SIMILARITY = 0.8
 COORDINATES = 64
-TREES = 5
-BRANCH = 2
-LEAF = 512
-DEPTH = 12
+ROOTS = 10
+LEAF = 1024
+DEPTH = 8
 #: Sketch bits that may differ: mean 6.4 and deviation 2.4 at similarity 0.8.
 SKETCH_BITS = 20
+#: Least equal minwise shingles: mean 51.2 and deviation 3.2 at similarity 0.8.
+MIN_EQUAL = 35
 BROADCAST_ROWS = 500_000
 SETS = "doc_id long, n_shingles long, cid binary, sketch long, minwise array<int>, packed binary"
 
@@ -135,10 +138,10 @@ def _similar(size: int, percent: int):
     return confirm
 
 
-def _members(sets: DataFrame, wanted: DataFrame, count: int, column: str) -> DataFrame:
-    """cid and column of the wanted classes (distinct, count at most), once each; a short list goes to all executors."""
+def _members(sets: DataFrame, wanted: DataFrame, count: int, *columns: str) -> DataFrame:
+    """cid and columns of the wanted classes (distinct, count at most), once each; a short list goes to all executors."""
     wanted = F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted
-    return sets.select("cid", column).join(wanted, "cid", "left_semi").dropDuplicates(["cid"])
+    return sets.select("cid", *columns).join(wanted, "cid", "left_semi").dropDuplicates(["cid"])
 
 
 def _confirmed(pairs: DataFrame, count: int, sets: DataFrame, size: int, percent: int) -> DataFrame:
@@ -188,15 +191,27 @@ class Groups:
     def link(self, pairs: DataFrame) -> None:
         pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         if count := pairs.count():
-            edges = _confirmed(pairs, count, self.sets, self.size, self.percent)
-            if not edges.isEmpty():
-                all_edges = edges if self.comps is None else edges.unionByName(self.comps.select(F.col("cid").alias("a"), F.col("comp").alias("b")).where("a <> b"))
-                old, self.comps = self.comps, materialise(components(all_edges), "comps")
-                if old is not None:
-                    discard(old)
-            discard(edges)
+            self._join(_confirmed(pairs, count, self.sets, self.size, self.percent))
         discard(pairs)
 
+    def compare(self, rows: DataFrame) -> None:
+        """Compare the classes of each node (node, cid, comp) that are in different groups."""
+        rows = materialise(rows, "near")
+        if count := rows.count():
+            members = _members(self.sets, rows.select("cid").distinct(), count, "packed", "minwise")
+            whole = spread(rows.join(members, "cid"), "node").sortWithinPartitions("node", "cid")
+            self._join(materialise(whole.mapInPandas(_node_links(self.size, self.percent), "a binary, b binary"), "edges"))
+        discard(rows)
+
+    def _join(self, edges: DataFrame) -> None:
+        if not edges.isEmpty():
+            known = self.comps
+            all_edges = edges if known is None else edges.unionByName(known.select(F.col("cid").alias("a"), F.col("comp").alias("b")).where("a <> b"))
+            self.comps = materialise(components(all_edges), "comps")
+            if known is not None:
+                discard(known)
+        discard(edges)
+
 
 def _open_nodes(nodes: DataFrame, groups: Groups, salt: int) -> DataFrame:
     """Rows of nodes with classes of several groups: key, cid, sketch, comp, n and a pivot (p, with sketch ps and group pc)."""
@@ -218,15 +233,64 @@ def _close(x, y) -> F.Column:
     return F.bit_count(x.bitwiseXOR(y)) <= SKETCH_BITS
 
 
-def _exhaustive(rows: DataFrame, *keys: str) -> DataFrame:
-    """Pairs of different groups whose sketches are close, within nodes (or blocks of nodes) of bounded size."""
-    x = rows.select(*keys, F.col("cid").alias("a"), F.col("sketch").alias("sa"), F.col("comp").alias("ca"))
-    y = rows.select(*keys, F.col("cid").alias("b"), F.col("sketch").alias("sb"), F.col("comp").alias("cb"))
-    return x.join(y, list(keys)).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _close(F.col("sa"), F.col("sb"))).select("a", "b")
+def _node_links(size: int, percent: int):
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, open_ = WordHashes(), zstandard.ZstdDecompressor()
+
+        def compare(rows: list) -> list[tuple[bytes, bytes]]:
+            names, found = {}, []
+            group = [names.setdefault(bytes(r.comp), len(names)) for r in rows]
+            parent = list(range(len(names)))
+
+            def top(k: int) -> int:
+                while parent[k] != k:
+                    parent[k] = k = parent[parent[k]]
+                return k
+
+            own: dict[int, np.ndarray] = {}
+
+            def of(k: int) -> np.ndarray:
+                if k not in own:
+                    own[k] = shingles(open_.decompress(bytes(rows[k].packed)), size, hashes)
+                return own[k]
+
+            sketch = np.array([r.sketch for r in rows], dtype=np.int64).view(np.uint64)
+            least = np.stack([r.minwise for r in rows])
+            number = np.array(group)
+            for i in range(len(rows) - 1):
+                near = i + 1 + np.flatnonzero((np.bitwise_count(sketch[i + 1 :] ^ sketch[i]) <= SKETCH_BITS) & (number[i + 1 :] != number[i]))
+                equal = (least[near] == least[i]).sum(axis=1)
+                for j in near[np.argsort(-equal, kind="stable")][: int((equal >= MIN_EQUAL).sum())].tolist():
+                    if (x := top(group[i])) != (y := top(group[j])):
+                        common = len(np.intersect1d(of(i), of(j), assume_unique=True))
+                        if 100 * common >= percent * (len(of(i)) + len(of(j)) - common):
+                            parent[x] = y
+                            found.append((bytes(rows[i].cid), bytes(rows[j].cid)))
+            return found
+
+        node, rows = None, []
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if row.node != node:
+                    out += compare(rows) if len(rows) > 1 else []
+                    node, rows = row.node, []
+                rows.append(row)
+            yield pd.DataFrame(out, columns=["a", "b"])
+        yield pd.DataFrame(compare(rows) if len(rows) > 1 else [], columns=["a", "b"])
+
+    return link
+
+
+def _near_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """node (of bounded size), cid and comp of the classes that have a close sketch in another group of their node."""
+    nodes = rows.groupBy(*keys).agg(F.collect_list(F.struct("cid", "comp", "sketch")).alias("all"))
+    near = F.filter("all", lambda x: F.exists("all", lambda y: (F.bit_count(x["sketch"].bitwiseXOR(y["sketch"])) <= SKETCH_BITS) & (x["comp"] != y["comp"])))
+    return nodes.select(F.xxhash64(*keys).alias("node"), F.explode(near).alias("x")).select("node", "x.*")
 
 
 def _blocks(rows: DataFrame, leaf: int) -> DataFrame:
-    """Rows of large nodes dealt to pairs of blocks, so that any two classes of a node meet in one; blocks are bounded in mean."""
+    """Rows of large nodes dealt to pairs of blocks, so that any two classes of a node meet in one; a cell's size is bounded in mean."""
     count = F.ceil(F.col("n") / leaf).cast("int")
     own = F.pmod(F.xxhash64(F.lit(-1), "cid"), count).cast("int")
     cells = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, own) as lo, greatest(k, own) as hi))")
@@ -234,19 +298,21 @@ def _blocks(rows: DataFrame, leaf: int) -> DataFrame:
 
 
 def _roots(sets: DataFrame) -> DataFrame:
-    """The first level: each tree's root chooses its coordinates."""
-    order = np.random.Generator(np.random.PCG64(4)).permutation(COORDINATES)[: TREES * BRANCH].tolist()
-    keys = F.array(*[F.xxhash64(F.lit(k // BRANCH), F.lit(i), F.col("minwise")[i]) for k, i in enumerate(order)])
+    """The first level: each tree's root has a coordinate of its own."""
+    order = np.random.Generator(np.random.PCG64(4)).permutation(COORDINATES)[:ROOTS].tolist()
+    keys = F.array(*[F.xxhash64(F.lit(k), F.lit(i), F.col("minwise")[i]) for k, i in enumerate(order)])
     return sets.where("cid is not null").select(F.explode(keys).alias("key"), "cid", "sketch").distinct()
 
 
 def _children(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """The next level of large nodes: each node chooses BRANCH coordinates by its key."""
+    """The next level of large nodes: each chooses one coordinate by its key, and a quarter of them a second one."""
     wanted = rows.select("cid").distinct()
     signed = rows.select("key", "cid", "sketch").join(_members(sets, wanted, rows.count(), "minwise"), "cid")
-    first = F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(COORDINATES))
-    chosen = [first] + [F.pmod(first + 1 + F.pmod(F.xxhash64(F.lit(1 + k), "key"), F.lit(COORDINATES - 1)), F.lit(COORDINATES)) for k in range(1, BRANCH)]
-    keys = F.array(*[F.xxhash64("key", c, F.element_at("minwise", (c + 1).cast("int"))) for c in chosen])
+    pick = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "key"), F.lit(n))
+    first = pick(1, COORDINATES)
+    second = F.pmod(first + 1 + pick(2, COORDINATES - 1), F.lit(COORDINATES))
+    child = lambda c: F.xxhash64("key", c, F.element_at("minwise", (c + 1).cast("int")))
+    keys = F.when(pick(3, 4) == 0, F.array(child(first), child(second))).otherwise(F.array(child(first)))
     return signed.select(F.explode(keys).alias("key"), "cid", "sketch").distinct()
 
 
@@ -264,10 +330,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
         old, rows = rows, _open_nodes(nodes, groups, level + 1)
         discard(old)
         large = rows.where(F.col("n") > leaf)
-        rest = _stars(large) if level < depth else _exhaustive(_blocks(large, leaf), "key", "lo", "hi")
-        groups.link(_exhaustive(rows.where(F.col("n") <= leaf), "key").unionByName(rest))
+        groups.compare(_near_rows(rows.where(F.col("n") <= leaf), "key"))
+        if level == depth:
+            groups.compare(_near_rows(_blocks(large, leaf), "key", "lo", "hi"))
+            break
         if large.isEmpty():
             break
+        groups.link(_stars(large))
         nodes = _children(large, sets)
     discard(rows)
     keyed = groups.marked(sets.select("doc_id", "n_shingles", "cid")).withColumn("group", F.coalesce(F.col("comp"), F.encode(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8")))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, cpsjoin, html_extract, quality_gbt, quality_rules, suffix_decontam, token_counts, toxic_segments, warc_bundles
+from . import bpe_codec, cpsjoin, html_extract, pii_bootstrap, quality_gbt, quality_rules, suffix_decontam, token_counts, toxic_segments, warc_bundles
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "bundle", "frame", "offset")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_bootstrap.report(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_decontam.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
+    "op8_personal_data": op8_personal_data,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
 }

@@ -74,6 +74,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def without(docs: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """docs less the rows whose doc_id is in ids (a column doc_id); rows without an id stay. A short list goes to all executors."""
+    ids = materialise(ids.select(F.col("doc_id").cast("long").alias("__gone")).where("__gone is not null").distinct(), "gone")
+    ids = F.broadcast(ids) if ids.count() <= most else ids
+    return docs.join(ids, docs["doc_id"].cast("long") == ids["__gone"], "left_anti")
+
+
 def doc_remainder(modulus: int):
     """crc32 of doc_id's decimal text, modulo: the folds that keep labelled rows apart from training."""
     return F.crc32(F.col("doc_id").cast("string")) % modulus

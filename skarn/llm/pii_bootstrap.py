@@ -201,7 +201,8 @@ def redacted(docs: DataFrame) -> DataFrame:
     def finish(state: Column) -> Column:
         return F.concat(F.array_join(state["out"], ""), F.substring(F.col("text"), (state["at"] + 1).cast("int"), F.length("text")))
 
-    found = personal_data(docs, docs.columns)
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, finish)).otherwise(F.col("doc.text"))
+    others = [c for c in docs.columns if c != "text"]
+    found = personal_data(docs.withColumn("__no_text", F.col("text").isNull()), [*others, "__no_text"])
+    clean = F.when(F.col("doc.__no_text"), F.lit(None).cast("string")).when(F.size("spans") > 0, F.aggregate("spans", start, step, finish)).otherwise(F.col("text"))
     rows = found.select("doc", clean.alias("clean"))
-    return rows.select(*[F.col("clean").alias(c) if c == "text" else F.length("clean").cast("long").alias(c) if c == "n_chars" else F.col("doc")[c].alias(c) for c in docs.columns])
+    return rows.select(*[F.col("clean").alias(c) if c == "text" else F.coalesce(F.length("clean").cast("long"), F.col("doc")[c]).alias(c) if c == "n_chars" else F.col("doc")[c].alias(c) for c in docs.columns])

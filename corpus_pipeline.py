@@ -1,11 +1,70 @@
-"""The corpus pipeline (stages follow as their operators land)."""
+"""The corpus pipeline: quality rules, near-duplicates, benchmark passages, personal data, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next stage's
+docs. All but the last return the columns of documents. Rows that share a doc_id are copies of one document here: the
+near-duplicate stage keeps the one with the first text. Rows without a doc_id stay where a stage tells documents by id.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from skarn.llm import bpe_codec, cpsjoin, pii_bootstrap, quality_rules, suffix_decontam
+from skarn.llm.common import materialise, shared_dir, table, without
+
+VOCABULARY = "byte_bpe_50k.tiktoken"
+#: SQL cannot express the estimates and encodings of these stages; tests hold each of them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the vote reject go."""
+    return quality_rules.kept_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest doc_id (rows without an id stay all)."""
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if not again.isEmpty():
+        order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+        first = docs.where("doc_id is not null").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
+        docs = materialise(first.unionByName(docs.where("doc_id is null")), "once")
+    return without(docs, cpsjoin.near_duplicates(docs).where(~F.col("kept")))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of two or more benchmark items go."""
+    return without(docs, suffix_decontam.decontamination_report(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts gives way to its kind; n_chars follows."""
+    return pii_bootstrap.redacted(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the decoded bytes."""
+    return bpe_codec.digests(bpe_codec.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminate),
+    ("personal_data", personal_data),
+    ("tokens", tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/skarn/pipeline-{uuid.uuid4().hex}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

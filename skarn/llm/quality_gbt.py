@@ -2,7 +2,7 @@
 
 Statistics are taken from the whole text in one pass over its bytes and words. Trees grow by histograms of quantile bins with
 logistic loss on a bounded sample of labelled documents; afterwards all trees lie flattened in a few arrays, and a batch of
-documents goes through all of them at once in numpy. The model (some kilobytes) is broadcast; scoring has no shuffle.
+documents goes through all of them at once in numpy. The model (some kilobytes) goes along with the tasks; scoring has no shuffle.
 
 Defined cases: a null text is an empty text; an empty text has statistics of zeros and is scored; without any labelled
 document, or with one class only, every score is the share of that class (0.5 without labels); repeated documents are each
@@ -153,12 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Boosted:
 
 def scores(docs: DataFrame, model: Boosted) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.array([statistics(t) for t in batch.text], dtype=float).reshape(len(batch), -1)
-            yield pd.DataFrame({"doc_id": batch.doc_id.map(lambda v: None if v is None else int(v)).astype("Int64"), "score": held.value.score(x) if len(batch) else []})
+            yield pd.DataFrame({"doc_id": batch.doc_id.map(lambda v: None if v is None else int(v)).astype("Int64"), "score": model.score(x) if len(batch) else []})
 
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, score double")
     return rows.select("doc_id", F.coalesce(doc_remainder(FOLDS) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -202,10 +202,10 @@ PASSAGES = "doc_id long, score double, passages array<struct<start:long,stop:lon
 
 def passages(docs: DataFrame, model: Model, significant: float = SIGNIFICANT) -> DataFrame:
     """doc_id, score and the significant passages (word offsets; surprise is -ln E) of every document."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = held.value
+        model = Model(**held.value)
         scores = Scores(model.table)
         for batch in batches:
             evidence, found = [], []

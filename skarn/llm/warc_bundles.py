@@ -30,8 +30,8 @@ from .common import materialise
 #: Fixed values of the seekable Zstandard format.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
-ENTRY = struct.Struct("<II")
-FOOTER = struct.Struct("<IBI")
+ENTRY = "<II"
+FOOTER = "<IBI"
 
 REVISIT_MIN_BYTES = 100
 FRAME_BYTES = 1 << 20
@@ -127,7 +127,7 @@ class BundleWriter:
 
     def finish(self) -> bytes:
         self.close_frame()
-        seek = b"".join(ENTRY.pack(*x) for x in self.sizes) + FOOTER.pack(len(self.sizes), 0, SEEKABLE_MAGIC)
+        seek = b"".join(struct.pack(ENTRY, *x) for x in self.sizes) + struct.pack(FOOTER, len(self.sizes), 0, SEEKABLE_MAGIC)
         return b"".join(self.done) + struct.pack("<II", SKIPPABLE_MAGIC, len(seek)) + seek
 
 
@@ -135,13 +135,13 @@ class BundleReader:
     """Random access to the records of one bundle; the frame read last stays open."""
 
     def __init__(self, data: bytes):
-        n, descriptor, magic = FOOTER.unpack_from(data, len(data) - FOOTER.size)
+        n, descriptor, magic = struct.unpack_from(FOOTER, data, len(data) - struct.calcsize(FOOTER))
         if magic != SEEKABLE_MAGIC:
             raise ValueError("no seek table")
-        size = ENTRY.size + (4 if descriptor & 0x80 else 0)
-        at, self.data, self.frames, start = len(data) - FOOTER.size - n * size, data, [], 0
+        size = struct.calcsize(ENTRY) + (4 if descriptor & 0x80 else 0)
+        at, self.data, self.frames, start = len(data) - struct.calcsize(FOOTER) - n * size, data, [], 0
         for k in range(n):
-            packed, plain = ENTRY.unpack_from(data, at + k * size)
+            packed, plain = struct.unpack_from(ENTRY, data, at + k * size)
             self.frames.append((start, packed, plain))
             start += packed
         self.unpress, self.held = zstandard.ZstdDecompressor(), (-1, b"")

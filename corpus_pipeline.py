@@ -37,8 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold passages of two or more benchmark items go."""
-    return without(docs, suffix_decontam.decontamination_report(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    """Documents that hold a verbatim run of eight or more words of a benchmark item go."""
+    found = suffix_decontam.decontamination_report(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, found.where(F.col("longest_match") >= suffix_decontam.WINDOW))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,9 +94,9 @@ def _cut(pattern: str, buckets: int, block_chars: int):
                 by.setdefault(zlib.crc32(words[place]) % buckets, []).append(place)
             for own in by.values():
                 own.sort(key=words.__getitem__)  # neighbours share their beginnings: half the bytes when packed
-            docs = pd.DataFrame([(block, r, d, pack(rank[x]), None, None, None) for r, d, x in rows], columns=[c.split()[0] for c in BLOCKS.split(", ")])
-            held = pd.DataFrame([(block, None, None, None, b, pack(rank[own]), pack_words([words[i] for i in own])) for b, own in by.items()], columns=docs.columns)
-            return pd.concat([docs, held]).astype({"row": "Int64", "doc_id": "Int64", "bucket": "Int32"}) if by else docs.astype({"row": "Int64", "doc_id": "Int64", "bucket": "Int32"})
+            docs = [(block, r, d, pack(rank[x]), None, None, None) for r, d, x in rows]
+            held = [(block, None, None, None, b, pack(rank[own]), pack_words([words[i] for i in own])) for b, own in by.items()]
+            return pd.DataFrame(docs + held, columns=[c.split()[0] for c in BLOCKS.split(", ")]).astype({"row": "Int64", "doc_id": "Int64", "bucket": "Int32"})
 
         for batch in batches:
             for doc, text in zip(batch.doc_id, batch.text, strict=True):

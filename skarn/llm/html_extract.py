@@ -59,6 +59,12 @@ SAMPLES = [
     (0, [(1, 1, "i", 0), (1, 1, "i", 0), (2, 2, "i", 0), (80, 0, "n", 0), (40, 0, "", 1), (55, 3, "", 1), (65, 0, "", 1), (40, 0, "bn", 0), (22, 0, "bn", 0), (3, 0, "b", 0), (9, 9, "b", 0)]),
     (0, [(9, 0, "h", 1), (25, 0, "i", 1), (30, 1, "i", 1), (28, 0, "i", 1), (50, 0, "", 1), (35, 0, "b", 0), (3, 3, "i", 0), (3, 3, "i", 0), (4, 4, "i", 0), (2, 0, "", 0)]),
     (0, [(60, 0, "b", 0), (2, 2, "b", 0), (200, 5, "", 1), (1, 0, "", 1), (180, 0, "", 1), (90, 0, "n", 0), (30, 0, "n", 0), (70, 60, "", 0), (20, 18, "", 0), (5, 0, "", 0)]),
+    (1, [(2, 2, "bi", 0), (5, 0, "ah", 1), (100, 0, "a", 1)]),
+    (1, [(240, 4, "a", 1)]),
+    (1, [(7, 0, "a", 1), (3, 0, "a", 1)]),
+    (1, [(9, 0, "ah", 1), (4, 4, "a", 1), (20, 0, "a", 1)]),
+    (0, [(60, 0, "", 1)]),
+    (0, [(3, 3, "", 0), (3, 3, "", 0), (8, 0, "h", 1), (90, 0, "", 1), (30, 0, "", 1), (25, 1, "", 1)]),
 ]
 DEPTH = 8
 

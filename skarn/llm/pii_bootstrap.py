@@ -184,7 +184,8 @@ def listed(spans: Column) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base spans by kind, base_sha256 and spans of every document."""
     found = personal_data(docs, ["doc_id"])
-    counts = [F.size(F.filter("base", lambda b, k=k: b["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    of_kind = lambda k: F.size(F.filter("base", lambda b: b["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc.doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 

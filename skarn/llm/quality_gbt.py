@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Boosted:
     found = rows.toPandas().sort_values("label", kind="stable")
     order = np.lexsort(np.array(found.x.tolist()).T) if len(found) else []  # a fixed order, whatever the tasks' order
     found = found.iloc[order]
-    return Boosted.train(np.array(found.x.tolist(), dtype=float).reshape(len(found), -1), found.label.to_numpy(dtype=float))
+    return Boosted.train(np.array(found.x.tolist(), dtype=float).reshape(-1, len(STATISTICS)), found.label.to_numpy(dtype=float))
 
 
 def scores(docs: DataFrame, model: Boosted) -> DataFrame:
@@ -156,7 +156,7 @@ def scores(docs: DataFrame, model: Boosted) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = np.array([statistics(t) for t in batch.text], dtype=float).reshape(len(batch), -1)
+            x = np.array([statistics(t) for t in batch.text], dtype=float).reshape(-1, len(STATISTICS))
             yield pd.DataFrame({"doc_id": batch.doc_id.map(lambda v: None if v is None else int(v)).astype("Int64"), "score": model.score(x) if len(batch) else []})
 
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, score double")

@@ -119,7 +119,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for label, text in zip(batch.label, batch.text, strict=True):
             found[label].update({t for w in set(words_of(text)) for t in tokens_of(w)})
     for label, counts in enumerate(found):
-        yield pd.DataFrame({"token": list(counts), "label": label, "n": list(counts.values())}, columns=["token", "label", "n"])
+        if counts:
+            yield pd.DataFrame({"token": list(counts), "label": label, "n": list(counts.values())})
 
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

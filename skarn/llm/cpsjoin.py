@@ -7,8 +7,8 @@ chooses one function and, with a chance of a quarter, another: 1 / 0.8 in mean,
 common child in mean and less similar ones die out. The roots, where nearly all nodes are small enough, miss such a pair with
 a chance of 0.2 ** 10 = 1e-7; down to the fourth level of large nodes it is under 0.001.
 
-A node is done when it has one class or its classes are already linked into one group. At the roots, and in all large nodes,
-each class is compared with the node's pivot first, so a group of copies of any size is linked by one comparison each; then a
+A node is done when it has one class or its classes are already linked into one group. At the roots, each class is compared
+with the node's pivot first, so a group of copies of any size is linked by one comparison each; then a
 node of at most LEAF classes goes to one task, which compares all classes that are still in different groups and returns
 links that join groups, fewer than it has classes. Larger nodes branch on; what is left at DEPTH is compared exhaustively in
 blocks of LEAF by LEAF classes. Candidates pass a
@@ -157,21 +157,30 @@ def _confirmed(pairs: DataFrame, count: int, sets: DataFrame, size: int, percent
 def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
     """cid and comp (smallest cid reachable) of every vertex that has an edge, by large-star and small-star steps.
 
-    Smallest neighbours are written before they are joined, so that a hub's edges can be split over tasks.
+    The smallest neighbours go to all executors if there are few vertices; else they are written before they are joined, so
+    that a hub's edges can be split over tasks.
     """
     now = materialise(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct(), "star")
     while True:
+        few, written = 2 * now.count() <= BROADCAST_ROWS, [now]
+
+        def side(df: DataFrame) -> DataFrame:
+            if few:
+                return F.broadcast(df)
+            written.append(materialise(df, "low"))
+            return written[-1]
+
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        low = side(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = materialise(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "star")
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        least = side(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        small = materialise(small, "star")
-        for old in (now, low, large, least):
+        now = materialise(small, "star")
+        for old in (*written, large):
             discard(old)
-        now = small
         # Done when every vertex has one edge and no centre has one: a forest of stars.
-        if now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")), F.struct(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("in")))).alias("e")).select("e.*")
+        if ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or out = 1 and in = 1").isEmpty():
             break
     stars = now.select(F.col("u").alias("cid"), F.col("v").alias("comp"))
     return stars.unionByName(stars.select(F.col("comp").alias("cid"), "comp").distinct())
@@ -186,7 +195,8 @@ class Groups:
     def marked(self, nodes: DataFrame) -> DataFrame:
         if self.comps is None:
             return nodes.withColumn("comp", F.col("cid"))
-        return nodes.join(self.comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        comps = F.broadcast(self.comps) if self.comps.count() <= BROADCAST_ROWS else self.comps
+        return nodes.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
 
     def link(self, pairs: DataFrame) -> None:
         pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -336,7 +346,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
             break
         if large.isEmpty():
             break
-        groups.link(_stars(large))
         nodes = _children(large, sets)
     discard(rows)
     keyed = groups.marked(sets.select("doc_id", "n_shingles", "cid")).withColumn("group", F.coalesce(F.col("comp"), F.encode(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8")))

@@ -41,7 +41,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 COORDINATES = 64
 ROOTS = 10
-LEAF = 1024
+LEAF = 4096
 DEPTH = 8
 #: Sketch bits that may differ: mean 6.4 and deviation 2.4 at similarity 0.8.
 SKETCH_BITS = 20
@@ -257,11 +257,18 @@ def _node_links(size: int, percent: int):
                     parent[k] = k = parent[parent[k]]
                 return k
 
-            own: dict[int, np.ndarray] = {}
+            own: OrderedDict[int, frozenset[int]] = OrderedDict()
+            room = 0
 
-            def of(k: int) -> np.ndarray:
+            def of(k: int) -> frozenset[int]:
+                nonlocal room
                 if k not in own:
-                    own[k] = shingles(open_.decompress(bytes(rows[k].packed)), size, hashes)
+                    own[k] = frozenset(shingles(open_.decompress(bytes(rows[k].packed)), size, hashes).tolist())
+                    room += len(own[k])
+                    while room > 1_000_000 and len(own) > 2:
+                        room -= len(own.popitem(last=False)[1])
+                else:
+                    own.move_to_end(k)
                 return own[k]
 
             sketch = np.array([r.sketch for r in rows], dtype=np.int64).view(np.uint64)
@@ -272,8 +279,11 @@ def _node_links(size: int, percent: int):
                 equal = (least[near] == least[i]).sum(axis=1)
                 for j in near[np.argsort(-equal, kind="stable")][: int((equal >= MIN_EQUAL).sum())].tolist():
                     if (x := top(group[i])) != (y := top(group[j])):
-                        common = len(np.intersect1d(of(i), of(j), assume_unique=True))
-                        if 100 * common >= percent * (len(of(i)) + len(of(j)) - common):
+                        a, b = of(i), of(j)
+                        if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+                            continue
+                        common = len(a & b)
+                        if 100 * common >= percent * (len(a) + len(b) - common):
                             parent[x] = y
                             found.append((bytes(rows[i].cid), bytes(rows[j].cid)))
             return found

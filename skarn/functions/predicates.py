@@ -52,9 +52,9 @@ def like_pattern(pattern: str) -> str:
 
 
 def condition(c: Column, op: str, value: Any, mode: str = "core", nan: bool = False) -> Column:
-    """Whether the comparison holds: never null."""
+    """Whether the comparison holds: never null. Nulls are ruled out by IS NOT NULL, which scans understand."""
     yes, no = F.lit(True), F.lit(False)
-    sure = lambda x: F.coalesce(x, no)
+    sure = lambda x: c.isNotNull() & x
     number = (lambda x: x & ~F.isnan(c)) if nan else (lambda x: x)
     if op == "eq":
         return c.eqNullSafe(value)
@@ -63,12 +63,14 @@ def condition(c: Column, op: str, value: Any, mode: str = "core", nan: bool = Fa
     if op in ("gt", "gte", "lt", "lte"):
         if value is None:
             return no if mode == "stream" else {"gt": c.isNotNull(), "gte": yes, "lt": no, "lte": c.isNull()}[op]
-        holds = sure(number({"gt": c > value, "gte": c >= value, "lt": c < value, "lte": c <= value}[op]))
-        return holds if op in ("gt", "gte") or mode == "stream" else c.isNull() | holds
+        holds = number({"gt": c > value, "gte": c >= value, "lt": c < value, "lte": c <= value}[op])
+        return sure(holds) if op in ("gt", "gte") or mode == "stream" else c.isNull() | holds
     if op == "between":
         if value is None or len(value) != 2:
             return no
-        return condition(c, "gte", value[0], mode, nan) & condition(c, "lte", value[1], mode, nan) & (c.isNotNull() if value[0] is not None else yes)
+        if None in value:
+            return condition(c, "gte", value[0], mode, nan) & condition(c, "lte", value[1], mode, nan)
+        return sure(number((c >= value[0]) & (c <= value[1])))
     if op in ("in", "notIn"):
         known = [v for v in value or [] if v is not None]
         holds = sure(c.isin(known)) if known else no

@@ -42,7 +42,7 @@ query("union_all", "select n_name as name from nation union all select r_name fr
 query("distinct_keep_first", "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts, event_id) as n from events) where n = 1")(lambda spark, d: sets.distinct_first(t(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type"))
 query("append_evolved", "select n_nationkey as key, n_name as name, cast(null as double) as balance from nation union all select c_custkey, null, c_acctbal from customer")(lambda spark, d: sets.append_evolved(t(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")), t(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"))))
 query("intersect_except", "select o_custkey as k from orders where o_orderstatus = 'F' intersect select o_custkey from orders where o_orderstatus = 'O' except select c_custkey from customer where c_mktsegment = 'MACHINERY'")(lambda spark, d: (lambda o: o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")).intersect(o.where("o_orderstatus = 'O'").select("o_custkey")).subtract(t(spark, d, "customer").where("c_mktsegment = 'MACHINERY'").select("c_custkey")))(t(spark, d, "orders")))
-query("take_while", "select event_id, ts from events where (ts, event_id) < (select (ts, event_id) from events where event_type = 'error' order by ts, event_id limit 1)")(lambda spark, d: sets.take_while(t(spark, d, "events"), F.col("event_type") != "error", [F.col("ts"), F.col("event_id")]).select("event_id", "ts"))
+query("take_while", "select event_id, ts from events where (ts, event_id) < (select (ts, event_id) from events where user_id = 3 order by ts, event_id limit 1)")(lambda spark, d: sets.take_while(t(spark, d, "events"), F.col("user_id") != 3, [F.col("ts"), F.col("event_id")]).select("event_id", "ts"))
 
 query("xform_parts", "select event_id, cast(year(ts) as integer) as y, cast(month(ts) as integer) as m, cast(day(ts) as integer) as dd, cast(hour(ts) as integer) as h from events")(lambda spark, d: t(spark, d, "events").select("event_id", S.date_part(F.col("ts"), "year").alias("y"), S.date_part(F.col("ts"), "month").alias("m"), S.date_part(F.col("ts"), "day").alias("dd"), S.date_part(F.col("ts"), "hour").alias("h")))
 _HASH = "list_reduce(list_prepend(0::bigint, list_transform(regexp_extract_all({c}, '(?s).'), lambda x: ascii(x)::bigint)), lambda h, u: (h * 31 + u) % 4294967296)"
@@ -177,7 +177,7 @@ def cluster_recall(spark, d):
     index = vectors.ClusterIndex.build(e, "vec_id", "embedding")
     asked = {r["vec_id"]: list(r["embedding"]) for r in e.where("vec_id % 100 = 0").collect()}
     exact = vectors.batch_top_k(e, "vec_id", "embedding", asked, 10, "l2sq").select("query", "vec_id")
-    found = chains.merged([index.search(v, 10, probes=8).select(F.lit(q).cast("long").alias("query"), "vec_id") for q, v in sorted(asked.items())[:20]])
+    found = chains.merged([index.search(v, 10, probes=13).select(F.lit(q).cast("long").alias("query"), "vec_id") for q, v in sorted(asked.items())[:20]])
     asked_first = exact.where(F.col("query").isin([q for q, _ in sorted(asked.items())[:20]]))
     return spark.createDataFrame([(vectors.recall(found, asked_first, ["query", "vec_id"]),)], "recall double")
 

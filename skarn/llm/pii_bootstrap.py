@@ -40,7 +40,7 @@ MATCH = {
 }
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: A token that may be an identifier: five digits or more, or an @.
-UNKNOWN = r"(?<![A-Za-z0-9])[A-Za-z0-9](?:[A-Za-z0-9._@:+/-]*+(?<=[A-Za-z0-9]))?"
+UNKNOWN = r"(?<![A-Za-z0-9])(?=(?:[A-Za-z._:+/-]*+[0-9]){5}|[A-Za-z0-9._:+/-]*+@)[A-Za-z0-9](?:[A-Za-z0-9._@:+/-]*+(?<=[A-Za-z0-9]))?"
 CONTEXT_CHARS = 80
 ROUNDS = 3
 #: Least distinct known values of a pattern, least confidence, and least score of an instance (sum of confidence times log of the values).
@@ -126,8 +126,7 @@ def _few(df: DataFrame) -> DataFrame:
 def _context_counts(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """How often the words of each context (a written table) stand in all texts."""
     words = docs.select(F.array_remove(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), SPACE), "").alias("words"))
-    first = words.select("words", F.posexplode("words").alias("at", "word"))
-    pairs = first.select(F.concat_ws(" ", "word", F.get("words", F.col("at") + 1)).alias("context"))
+    pairs = words.select(F.explode(F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat_ws(" ", a, b))).alias("context"))
     return pairs.join(_few(contexts), "context", "left_semi").groupBy("context").agg(F.count("*").alias("places"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -64,6 +65,12 @@ def discard(df: DataFrame) -> None:
             _remove(df.sparkSession, folder)
 
 
+def free_shuffles(df: DataFrame) -> None:
+    """Let the driver forget finished plans, so that executors drop their shuffle files; loops over many tables call it."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

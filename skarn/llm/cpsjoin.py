@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, spread
+from .common import discard, free_shuffles, materialise, spread
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -48,11 +48,15 @@ SKETCH_BITS = 20
 #: Least equal minwise shingles: mean 51.2 and deviation 3.2 at similarity 0.8.
 MIN_EQUAL = 35
 BROADCAST_ROWS = 500_000
+#: Files of a table that is small enough to be sent to all executors.
+FEW_FILES = 8
 SETS = "doc_id long, n_shingles long, cid binary, sketch long, minwise array<int>, packed binary"
 
 _random = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 32, (2, COORDINATES), dtype=np.uint32)
 FACTORS, SHIFTS = _random[0] | np.uint32(1), _random[1]
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: The coordinate of each root.
+ROOT_COORDINATES = np.random.Generator(np.random.PCG64(4)).permutation(COORDINATES)[:ROOTS].tolist()
 
 
 class WordHashes(dict):
@@ -163,6 +167,7 @@ def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
     now = materialise(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct(), "star")
     while True:
         few, written = 2 * now.count() <= BROADCAST_ROWS, [now]
+        packed = (lambda df: df.coalesce(FEW_FILES)) if few else (lambda df: df)
 
         def side(df: DataFrame) -> DataFrame:
             if few:
@@ -172,10 +177,10 @@ def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
 
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = side(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = materialise(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "star")
+        large = materialise(packed(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()), "star")
         least = side(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = materialise(small, "star")
+        now = materialise(packed(small), "star")
         for old in (*written, large):
             discard(old)
         # Done when every vertex has one edge and no centre has one: a forest of stars.
@@ -205,11 +210,15 @@ class Groups:
         discard(pairs)
 
     def compare(self, rows: DataFrame) -> None:
-        """Compare the classes of each node (node, cid, comp) that are in different groups."""
+        """Compare the classes of each node (node, root, cid, sketch, comp) that are in different groups.
+
+        Classes that meet in nodes of several roots are compared in the first: seen has a class's roots, bit by bit.
+        """
         rows = materialise(rows, "near")
         if count := rows.count():
             members = _members(self.sets, rows.select("cid").distinct(), count, "packed", "minwise")
-            whole = spread(rows.join(members, "cid"), "node").sortWithinPartitions("node", "cid")
+            seen = rows.where("root >= 0").groupBy("cid").agg(F.bit_or(F.expr("shiftleft(1, root)")).alias("seen"))
+            whole = spread(rows.join(members.join(seen, "cid", "left"), "cid"), "node").sortWithinPartitions("node", "cid")
             self._join(materialise(whole.mapInPandas(_node_links(self.size, self.percent), "a binary, b binary"), "edges"))
         discard(rows)
 
@@ -274,8 +283,13 @@ def _node_links(size: int, percent: int):
             sketch = np.array([r.sketch for r in rows], dtype=np.int64).view(np.uint64)
             least = np.stack([r.minwise for r in rows])
             number = np.array(group)
+            seen = np.array([0 if r.seen is None or r.seen != r.seen else int(r.seen) for r in rows], dtype=np.int64)
+            earlier = [(1 << k, c) for k, c in enumerate(ROOT_COORDINATES) if k < rows[0].root]
             for i in range(len(rows) - 1):
                 near = i + 1 + np.flatnonzero((np.bitwise_count(sketch[i + 1 :] ^ sketch[i]) <= SKETCH_BITS) & (number[i + 1 :] != number[i]))
+                for bit, coordinate in earlier:
+                    if seen[i] & bit and len(near):
+                        near = near[((seen[near] & bit) == 0) | (least[near, coordinate] != least[i, coordinate])]
                 equal = (least[near] == least[i]).sum(axis=1)
                 for j in near[np.argsort(-equal, kind="stable")][: int((equal >= MIN_EQUAL).sum())].tolist():
                     if (x := top(group[i])) != (y := top(group[j])):
@@ -304,9 +318,9 @@ def _node_links(size: int, percent: int):
 
 def _near_rows(rows: DataFrame, *keys: str) -> DataFrame:
     """node (of bounded size), cid and comp of the classes that have a close sketch in another group of their node."""
-    nodes = rows.groupBy(*keys).agg(F.collect_list(F.struct("cid", "comp", "sketch")).alias("all"))
+    nodes = rows.groupBy(*keys).agg(F.first("root").alias("root"), F.collect_list(F.struct("cid", "comp", "sketch")).alias("all"))
     near = F.filter("all", lambda x: F.exists("all", lambda y: (F.bit_count(x["sketch"].bitwiseXOR(y["sketch"])) <= SKETCH_BITS) & (x["comp"] != y["comp"])))
-    return nodes.select(F.xxhash64(*keys).alias("node"), F.explode(near).alias("x")).select("node", "x.*")
+    return nodes.select(F.xxhash64(*keys).alias("node"), "root", F.explode(near).alias("x")).select("node", "root", "x.*")
 
 
 def _blocks(rows: DataFrame, leaf: int) -> DataFrame:
@@ -314,14 +328,13 @@ def _blocks(rows: DataFrame, leaf: int) -> DataFrame:
     count = F.ceil(F.col("n") / leaf).cast("int")
     own = F.pmod(F.xxhash64(F.lit(-1), "cid"), count).cast("int")
     cells = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, own) as lo, greatest(k, own) as hi))")
-    return rows.withColumn("blocks", count).withColumn("own", own).withColumn("cell", F.explode(cells)).select("key", F.col("cell.lo").alias("lo"), F.col("cell.hi").alias("hi"), "cid", "sketch", "comp")
+    return rows.withColumn("blocks", count).withColumn("own", own).withColumn("cell", F.explode(cells)).select("key", F.col("cell.lo").alias("lo"), F.col("cell.hi").alias("hi"), F.lit(-1).alias("root"), "cid", "sketch", "comp")
 
 
 def _roots(sets: DataFrame) -> DataFrame:
     """The first level: each tree's root has a coordinate of its own."""
-    order = np.random.Generator(np.random.PCG64(4)).permutation(COORDINATES)[:ROOTS].tolist()
-    keys = F.array(*[F.xxhash64(F.lit(k), F.lit(i), F.col("minwise")[i]) for k, i in enumerate(order)])
-    return sets.where("cid is not null").select(F.explode(keys).alias("key"), "cid", "sketch").distinct()
+    keys = F.array(*[F.struct(F.xxhash64(F.lit(k), F.lit(i), F.col("minwise")[i]).alias("key"), F.lit(k).alias("root")) for k, i in enumerate(ROOT_COORDINATES)])
+    return sets.where("cid is not null").select(F.explode(keys).alias("k"), "cid", "sketch").select("k.*", "cid", "sketch").distinct()
 
 
 def _children(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -333,7 +346,7 @@ def _children(rows: DataFrame, sets: DataFrame) -> DataFrame:
     second = F.pmod(first + 1 + pick(2, COORDINATES - 1), F.lit(COORDINATES))
     child = lambda c: F.xxhash64("key", c, F.element_at("minwise", (c + 1).cast("int")))
     keys = F.when(pick(3, 4) == 0, F.array(child(first), child(second))).otherwise(F.array(child(first)))
-    return signed.select(F.explode(keys).alias("key"), "cid", "sketch").distinct()
+    return signed.select(F.explode(keys).alias("key"), F.lit(-1).alias("root"), "cid", "sketch").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
@@ -345,7 +358,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     rows = _open_nodes(nodes, groups, 0)
     groups.link(_stars(rows))
     discard(nodes)
-    nodes = rows.select("key", "cid", "sketch")
+    nodes = rows.select("key", "root", "cid", "sketch")
     for level in range(depth + 1):
         old, rows = rows, _open_nodes(nodes, groups, level + 1)
         discard(old)
@@ -357,6 +370,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
         if large.isEmpty():
             break
         nodes = _children(large, sets)
+        free_shuffles(sets)
     discard(rows)
     keyed = groups.marked(sets.select("doc_id", "n_shingles", "cid")).withColumn("group", F.coalesce(F.col("comp"), F.encode(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8")))
     keyed = materialise(keyed.select("doc_id", "n_shingles", "group"), "keyed")

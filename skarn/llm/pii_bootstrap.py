@@ -1,7 +1,7 @@
 """Personal data: base patterns, and identifiers found by contexts that the base finds induce.
 
 Base spans (email, ip, card, phone) are regular expressions with checks, leftmost and without overlap for each kind. From them
-as seeds, lexical patterns are induced: the two words before a find. A bipartite graph of patterns and instances (values) is
+as seeds, lexical patterns are induced: the two words before a find, where MIN_VALUES different finds have them. A bipartite graph of patterns and instances (values) is
 scored in rounds: a pattern's confidence is its share of known instances among all places in the corpus where its words
 stand; an unknown value (a token with digits or an @ that no base span touches) of a shape that seeds of the kind have is
 accepted when confident patterns speak for it enough, and is then known in the next round. Accepted values in confident
@@ -136,7 +136,7 @@ def induced(found: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFram
     others = found.select(F.explode("others").alias("x")).select(F.lit(None).cast("int").alias("kind"), "x.value", "x.context")
     graph = seeds.unionByName(others).where("context <> ''").groupBy("kind", "value", "context").agg(F.count("*").alias("n"))
     graph = materialise(graph.withColumn("shape", _shape(F.col("value"))), "graph")
-    contexts = materialise(graph.groupBy("context").agg(F.approx_count_distinct("value").alias("v"), F.count("kind").alias("known")).where(f"v >= {MIN_VALUES - 1} and known > 0").select("context"), "contexts")
+    contexts = materialise(graph.groupBy("context").agg(F.count_distinct(F.when(F.col("kind").isNotNull(), F.col("value"))).alias("v")).where(f"v >= {MIN_VALUES}").select("context"), "contexts")
     if graph.where("kind is null").isEmpty() or contexts.isEmpty():
         return None
     places = materialise(_context_counts(docs, contexts), "places")

@@ -139,6 +139,12 @@ def induced(found: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFram
     contexts = materialise(graph.groupBy("context").agg(F.count_distinct(F.when(F.col("kind").isNotNull(), F.col("value"))).alias("v")).where(f"v >= {MIN_VALUES}").select("context"), "contexts")
     if graph.where("kind is null").isEmpty() or contexts.isEmpty():
         return None
+    # No confidence can pass a context's instances by its places in the texts that have any: few contexts are left to be counted in all texts.
+    near = _context_counts(found.where("size(seeds) + size(others) > 0").select("text"), contexts)
+    held = graph.groupBy("context").agg(F.sum("n").alias("held"))
+    contexts = materialise(near.join(held, "context").where(F.col("held") >= MIN_CONFIDENCE * F.col("places")).select("context"), "contexts")
+    if contexts.isEmpty():
+        return None
     places = materialise(_context_counts(docs, contexts), "places")
     shapes = materialise(graph.where("kind is not null").groupBy("kind", "shape").agg(F.count("*").alias("n")).where(f"n >= {MIN_SHAPE}").select("kind", "shape"), "shapes")
     linked = materialise(graph.join(places, "context"), "linked")

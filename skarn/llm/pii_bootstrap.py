@@ -49,6 +49,8 @@ MIN_CONFIDENCE = 0.6
 MIN_SCORE = 1.5
 MIN_SHAPE = 3
 BROADCAST_ROWS = 100_000
+#: So many contexts are looked for inside each text; more are joined with all word pairs.
+LISTED = 5_000
 
 
 def _digits(value: Column) -> Column:
@@ -126,8 +128,13 @@ def _few(df: DataFrame) -> DataFrame:
 def _context_counts(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """How often the words of each context (a written table) stand in all texts."""
     words = docs.select(F.array_remove(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), SPACE), "").alias("words"))
-    pairs = words.select(F.explode(F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat_ws(" ", a, b))).alias("context"))
-    return pairs.join(_few(contexts), "context", "left_semi").groupBy("context").agg(F.count("*").alias("places"))
+    pairs = F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
+    if contexts.count() <= LISTED:
+        wanted = [r["context"] for r in contexts.collect()]
+        found = words.select(F.explode(F.filter(pairs, lambda x: x.isin(wanted))).alias("context"))
+    else:
+        found = words.select(F.explode(pairs).alias("context")).join(contexts, "context", "left_semi")
+    return found.groupBy("context").agg(F.count("*").alias("places"))
 
 
 def induced(found: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:

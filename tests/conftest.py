@@ -3,7 +3,9 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+for folder in (ROOT, f"{ROOT}/tests", f"{ROOT}/tests/llm"):
+    sys.path.insert(0, folder)
 
 
 @pytest.fixture(scope="session")

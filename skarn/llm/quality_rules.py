@@ -21,7 +21,7 @@ from .common import SPACE, materialise
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
+WORD = r"[^\x20\x09-\x0D]"
 MIN_WORDS = 50
 ITERATIONS = 30
 #: A document goes only where bad quality is at least 0.95 sure.
@@ -57,30 +57,33 @@ def statistics(docs: DataFrame, carry: list[str]) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     step = docs.select(F.struct(*[F.col(c) for c in carry]).alias("doc"), text.alias("text"))
-    step = step.select("doc", "text", F.array_remove(F.split("text", SPACE), "").alias("words"), F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, BLANKS, " ")) != "").alias("lines"))
+    step = step.select("doc", "text", F.array_remove(F.split("text", SPACE), "").alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)).alias("lines"))
     at = lambda k: F.get("words", k)
-    window = lambda i: F.struct(F.xxhash64(at(i), at(i + 1), at(i + 2)).alias("h"), at(i).alias("a"), at(i + 1).alias("b"), at(i + 2).alias("c"), i.alias("i"))
-    windows = F.when(F.size("words") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size("words") - 3), window))).otherwise(F.array().cast("array<struct<h:bigint,a:string,b:string,c:string,i:int>>"))
+    window = lambda i: F.struct(F.xxhash64(at(i), at(i + 1), at(i + 2)).alias("h"), i.alias("i"))
+    windows = F.when(F.size("words") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size("words") - 3), window))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
     step = step.select(
         "doc",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
         F.size(F.filter("words", lambda w, i: F.coalesce(w == at(i - 1), F.lit(False)))).cast("long").alias("n_same_next"),
-        (F.length("text") - F.length(F.translate("text", "!", ""))).cast("long").alias("n_exclamations"),
+        F.regexp_count("text", F.lit("!")).cast("long").alias("n_exclamations"),
         F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
         F.regexp_count("text", F.lit(r"[.!?](?=[\x20\x09-\x0D]|\z)")).cast("long").alias("n_ends"),
         F.length(F.regexp_replace("text", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
         F.regexp_count("text", F.lit(r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])")).cast("long").alias("n_bare"),
         F.regexp_count("text", F.lit(r"[^\p{L}\p{N}\x20\x09-\x0D]{3,}")).cast("long").alias("n_runs"),
+        "words",
         windows.alias("windows"),
     )
-    same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+    # Windows of equal hash stand together; their words are compared.
+    equal = lambda x, y, k: at(x["i"] + k) == at(y["i"] + k)
+    same = lambda x, y: F.coalesce((x["h"] == y["h"]) & equal(x, y, 0) & equal(x, y, 1) & equal(x, y, 2), F.lit(False))
     again = F.filter("windows", lambda x, i: same(x, F.get("windows", i - 1)) | same(x, F.get("windows", i + 1)))
-    plain = [c for c in step.columns if c != "windows"]
+    plain = [c for c in step.columns if c not in ("words", "windows")]
     step = step.select(*plain, F.sort_array(F.transform(again, lambda x: x["i"])).alias("places"))
     # A window covers three words, fewer where the next one starts earlier.
     covered = F.aggregate(F.transform("places", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("places", i + 1) - p, F.lit(3)))), F.lit(0).cast("long"), lambda s, x: s + x)

@@ -76,12 +76,12 @@ def bm25(df: DataFrame, key: str, text: str, words: list[str], every: bool = Fal
     """key and score of the documents that hold any (or every) word: only these words' postings are shuffled."""
     lengths = df.select(F.col(key), tokens(F.col(text)).alias("words")).select(key, F.size("words").alias("len"), "words")
     wanted = F.array(*[F.lit(w) for w in sorted(set(words))])
-    totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
+    n_docs, mean_len = lengths.agg(F.count("*"), F.coalesce(F.avg("len"), F.lit(0.0))).first()
     hits = lengths.where(F.arrays_overlap("words", wanted)).select(key, "len", F.explode(F.transform(wanted, lambda w: F.struct(w.alias("term"), F.size(F.filter("words", lambda x: x == w)).alias("tf")))).alias("h")).select(key, "len", "h.*").where("tf > 0")
     held = hits.groupBy("term").agg(F.count("*").alias("df"))
-    whole = hits.join(F.broadcast(held), "term").join(F.broadcast(totals))  # one row of totals, as many as words of terms
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
+    whole = hits.join(F.broadcast(held), "term")  # as many rows as words are asked for
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean_len or 1.0)))
     scored = whole.groupBy(key).agg(F.sum(idf * tf).alias("score"), F.count("*").alias("matched"))
     return scored.where(F.col("matched") == len(set(words))) if every else scored
 

@@ -190,3 +190,32 @@ def test_stream_of_latest_rows_is_the_batch_result(spark, tmp_path):
 
     last = max(os.listdir(target), key=lambda x: int(x[1:]))
     assert sorted(map(tuple, spark.read.parquet(f"file://{target}/{last}").collect())) == sorted(map(tuple, changelog.latest(rows, ["k"], ["lsn"]).collect()))
+
+
+def test_streams_drop_repeats_and_count_windows(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    rows = [(i % 3, start + timedelta(seconds=20 * i), f"e{i // 2}") for i in range(12)]
+    spark.createDataFrame(rows, "k int, ts timestamp, id string").coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    source = spark.readStream.schema("k int, ts timestamp, id string").parquet(f"file://{tmp_path}/in")
+
+    def result(df, mode, name):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"file://{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination(120)
+        return spark.table(name)
+
+    assert result(streams.deduplicated(source, ["id"], "ts"), "append", "once").count() == 6
+    assert {r["n"] for r in result(streams.windowed(source, "ts", "1 minute", []), "complete", "counted").collect()} == {3}
+    spec = QuerySpec.of({"table": "t", "predicates": [{"column": "k", "operator": ">", "value": 1}], "projection": ["id"]})
+    assert result(streams.live(source, spec), "append", "live").count() == 4
+
+
+def test_row_policies(spark):
+    from skarn.operators.policy import Policies
+
+    rules, df = Policies(), spark.range(6)
+    assert rules.visible("t", df, {}).count() == 6
+    rules.add("t", "select", lambda user: F.col("id") == user["id"])
+    rules.add("t", "select", lambda user: F.col("id") > 4)
+    assert [r[0] for r in rules.visible("t", df, {"id": 1}).collect()] == [1, 5]
+    assert rules.visible("t", df, {"id": 1, "bypass": True}).count() == 6

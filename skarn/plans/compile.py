@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +62,27 @@ def run(spec: QuerySpec, df: DataFrame, mode: str = "core") -> DataFrame:
 
 def page(spec: QuerySpec, df: DataFrame) -> tuple[DataFrame, bool]:
     """A page and whether more rows follow, found by looking one row ahead."""
-    from dataclasses import replace
-
     rows = run(replace(spec, limit=None if spec.limit is None else spec.limit + 1, columns=()), df)
     more = spec.limit is not None and rows.count() > spec.limit
     return run(spec, df), more
+
+
+def cursor(offset: int) -> str:
+    """The token of a row's place in an ordered result."""
+    return base64.urlsafe_b64encode(f"row:{offset}".encode()).decode()
+
+
+def place(token: str) -> int:
+    kind, _, number = base64.urlsafe_b64decode(token.encode()).decode().partition(":")
+    if kind != "row" or not number.isdigit():
+        raise ValueError(f"not a cursor: {token}")
+    return int(number)
+
+
+def connection(spec: QuerySpec, df: DataFrame, first: int, after: str | None = None) -> tuple[DataFrame, dict]:
+    """The first rows after a cursor, and whether pages lie before and behind, with the cursors of both ends."""
+    if not spec.order_by:
+        raise ValueError("paging by cursor needs an order")
+    start = place(after) + 1 if after else 0
+    rows, more = page(replace(spec, limit=first, offset=start), df)
+    return rows, {"hasNextPage": more, "hasPreviousPage": start > 0, "startCursor": cursor(start), "endCursor": cursor(start + first - 1)}

@@ -219,3 +219,22 @@ def test_row_policies(spark):
     rules.add("t", "select", lambda user: F.col("id") > 4)
     assert [r[0] for r in rules.visible("t", df, {"id": 1}).collect()] == [1, 5]
     assert rules.visible("t", df, {"id": 1, "bypass": True}).count() == 6
+
+
+def test_pages_by_cursor(spark):
+    spec = QuerySpec.of({"table": "t", "orderBy": [{"column": "id"}]})
+    rows, info = plan.connection(spec, spark.range(5), 2)
+    assert [r[0] for r in rows.collect()] == [0, 1] and info["hasNextPage"] and not info["hasPreviousPage"]
+    rows, info = plan.connection(spec, spark.range(5), 3, info["endCursor"])
+    assert [r[0] for r in rows.collect()] == [2, 3, 4] and not info["hasNextPage"] and info["hasPreviousPage"]
+    with pytest.raises(ValueError):
+        plan.place("eHg6MQ==")
+
+
+def test_backup_and_metadata_totals(spark, tmp_path):
+    table = Table(spark, f"file://{tmp_path}/a")
+    table.append(spark.range(10).withColumn("k", F.lit("x")))
+    table.append(spark.range(5).withColumn("k", F.lit(None).cast("string")))
+    assert table.totals()["rows"] == 15 and sum(table.partitions().values()) == 15
+    copy = table.backup(f"file://{tmp_path}/b", table.as_of(id=1))
+    assert copy.checksum()[0] == 10 and copy.checksum() != table.checksum()

@@ -55,7 +55,7 @@ query("checksums", "select c_custkey, levenshtein(c_mktsegment, 'BUILDINGS') as
 
 query("shred_long", "select event_id, key as path, cast(json_extract(props, '$.' || key) as varchar) as value from events, unnest(json_keys(props)) k(key)")(lambda spark, d: schema.shred_long(t(spark, d, "events"), ["event_id"], "props").select("event_id", "path", "value"))
 query("infer_schema", "select key as path, count(*) as n, cast(0 as bigint) as nulls, 'bigint' as kind from events, unnest(json_keys(props)) k(key) group by key")(lambda spark, d: schema.path_types(schema.shred_long(t(spark, d, "events"), ["event_id"], "props")))
-query("unshred", """select event_id, json_object('k', cast(json_extract(props, '$.k') as varchar)) as document from events""")(lambda spark, d: schema.unshred(schema.shred_long(t(spark, d, "events"), ["event_id"], "props"), ["event_id"]).select("event_id", "document"))
+query("unshred", """select event_id, cast(json_object('k', cast(json_extract(props, '$.k') as varchar)) as varchar) as document from events""")(lambda spark, d: schema.unshred(schema.shred_long(t(spark, d, "events"), ["event_id"], "props"), ["event_id"]).select("event_id", "document"))
 
 
 @query("validate_documents", "select sum(case when bad then 0 else 1 end)::bigint as valid, sum(case when bad then 1 else 0 end)::bigint as invalid from (select o_totalprice > 400000 or o_totalprice < 1000 or o_orderstatus not in ('F', 'O') as bad from orders)")

@@ -58,11 +58,11 @@ both("wa_date_range_top", "select o_custkey, count(*) as n from {orders} where o
 both("wa_offset", "select o_custkey, count(*) as n from {orders} where o_orderstatus = 'F' group by o_custkey order by n desc, o_custkey limit 10 offset 100")
 both("wa_case_group", "select l_suppkey, case when l_returnflag = 'R' and l_linestatus = 'F' then 'returned' else '' end as src, count(*) as n from {lineitem} group by all order by n desc, l_suppkey, src limit 10 offset 20")
 both("wa_in_list", "select o_custkey, o_orderdate, count(*) as n from {orders} where o_custkey in (1, 5, 8, 13, 21) group by all order by n desc, o_custkey, o_orderdate limit 10")
-both("wa_minute_series", "select date_trunc('minute', ts) as m, count(*) as n from {events} where ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-08' group by 1 order by m limit 10 offset 20", "select date_trunc('minute', ts) as m, count(*) as n from events where ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-08' group by 1 order by m limit 10 offset 20")
+both("wa_minute_series", "select cast(date_trunc('minute', ts) as timestamp_ntz) as m, count(*) as n from {events} where ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-08' group by 1 order by m limit 10 offset 20", "select date_trunc('minute', ts) as m, count(*) as n from events where ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-08' group by 1 order by m limit 10 offset 20")
 both("wa_unordered_limit", "select count(*) as n from (select l_orderkey, count(*) from {lineitem} group by l_orderkey limit 10)")
 # collections with arrays
 both("mv_genre_filter", "select o_orderkey, size(flags) as n from (select l_orderkey as o_orderkey, collect_set(l_returnflag) as flags from {lineitem} group by l_orderkey) where array_contains(flags, 'R')", "select o_orderkey, cast(len(flags) as integer) as n from (select l_orderkey as o_orderkey, list(distinct l_returnflag) as flags from lineitem group by l_orderkey) where list_contains(flags, 'R')")
-both("mv_decade_rollup", "select floor(year(o_orderdate) / 5) * 5 as half_decade, count(*) as n, round(avg(o_totalprice), 4) as mean, slice(sort_array(collect_list(struct(o_totalprice, o_orderkey)), false), 1, 3).o_orderkey as top from {orders} group by 1", "select floor(year(o_orderdate) / 5) * 5 as half_decade, count(*) as n, round(avg(o_totalprice), 4) as mean, list(o_orderkey order by o_totalprice desc, o_orderkey desc)[1:3] as top from orders group by 1")
+both("mv_decade_rollup", "select floor(year(o_orderdate) / 5) * 5 as half_decade, count(*) as n, round(avg(o_totalprice), 4) as mean, slice(sort_array(collect_list(struct(o_totalprice, o_orderkey)), false), 1, 3).o_orderkey as top from {orders} group by 1", "select cast(floor(year(o_orderdate) / 5) * 5 as bigint) as half_decade, count(*) as n, round(avg(o_totalprice), 4) as mean, list(o_orderkey order by o_totalprice desc, o_orderkey desc)[1:3] as top from orders group by 1")
 both("mv_explode_stats", "select f as flag, count(*) as orders, round(avg(o_totalprice), 4) as mean from (select o_totalprice, explode(flags) as f from {orders} join (select l_orderkey, collect_set(l_returnflag) as flags from {lineitem} group by l_orderkey) on o_orderkey = l_orderkey) group by f", "select f as flag, count(*) as orders, round(avg(o_totalprice), 4) as mean from (select o_totalprice, unnest(flags) as f from orders join (select l_orderkey, list(distinct l_returnflag) as flags from lineitem group by l_orderkey) on o_orderkey = l_orderkey) group by f")
 both("mv_weighted_score", "select p_partkey, round(p_retailprice * log10(p_size + 1), 6) as score from {part} order by score desc, p_partkey limit 20")
 both("mv_any_every", "select l_orderkey, exists(collect_list(l_discount), x -> x > 0.08) as any_high, forall(collect_list(l_quantity), x -> x >= 5) as all_five from {lineitem} group by l_orderkey", "select l_orderkey, bool_or(l_discount > 0.08) as any_high, bool_and(l_quantity >= 5) as all_five from lineitem group by l_orderkey")

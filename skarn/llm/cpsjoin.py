@@ -48,6 +48,7 @@ SKETCH_BITS = 20
 #: Least equal minwise shingles: mean 51.2 and deviation 3.2 at similarity 0.8.
 MIN_EQUAL = 35
 BROADCAST_ROWS = 500_000
+WORDS = 200_000
 #: Files of a table that is small enough to be sent to all executors.
 FEW_FILES = 8
 SETS = "doc_id long, n_shingles long, cid binary, sketch long, minwise array<int>, packed binary"
@@ -60,10 +61,10 @@ ROOT_COORDINATES = np.random.Generator(np.random.PCG64(4)).permutation(COORDINAT
 
 
 class WordHashes(dict):
-    """Hashes of words; starts anew at a million words."""
+    """Hashes of words; starts anew at WORDS words, as a worker's memory stays with it in later stages."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= WORDS:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value

@@ -3,10 +3,15 @@
 Base spans (email, ip, card, phone) are regular expressions with checks, leftmost and without overlap for each kind. From them
 as seeds, lexical patterns are induced: the two words before a find, where MIN_VALUES different finds have them. A bipartite graph of patterns and instances (values) is
 scored in rounds: a pattern's confidence is its share of known instances among all places in the corpus where its words
-stand; an unknown value (a token with digits or an @ that no base span touches) of a shape that seeds of the kind have is
-accepted when confident patterns speak for it enough, and is then known in the next round. Accepted values in confident
+stand; an unknown value (whole tokens with digits, or an address, that no base span touches) of a loose shape that seeds of
+the kind have is accepted when confident patterns speak for it enough, and is then known in the next round. Accepted values in confident
 contexts become spans.
 
+Loose shapes: for a phone, how many digits it has, where country and area may be missing; for a card, how many digits; for an ip,
+four numbers with dots; for an email, an at sign (@, (at) or [at], also between blanks) with any host. What can be found beyond the base
+is so: phones without +, cards in any groups or with a wrong check digit, ips of numbers beyond 255, emails whose host has no dot or
+whose at sign is spelt.
+
 Everything is DataFrame functions. Texts are split at matches, which gives the places without any user code. The graph has
 one row for each distinct pattern and value, summed before the shuffle, so a value or context that a third of all rows hold is
 one row. Contexts are counted over all words of all texts.
@@ -39,8 +44,18 @@ MATCH = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: A token that may be an identifier: five digits or more, or an @.
-UNKNOWN = r"(?<![A-Za-z0-9])(?=(?:[A-Za-z._:+/-]*+[0-9]){5}|[A-Za-z0-9._:+/-]*+@)[A-Za-z0-9](?:[A-Za-z0-9._@:+/-]*+(?<=[A-Za-z0-9]))?"
+#: The first digits of a number that may be an identifier, where a token starts; the group holds it with what digit groups follow, to the last token's end.
+NUMBER = r"(?<![A-Za-z0-9])(?<![A-Za-z0-9@][._+/()-]{1,3})[+(]{0,2}+(?=[0-9](?:[\x20().0-9/-]{0,3}?[0-9]){4})(?=([0-9]++(?:[\x20()./-]{1,3}[0-9]++){0,18}+[A-Za-z0-9._@:+/()-]*+))[0-9]++"
+#: What a text with such a number has, and the whole form of one.
+NUMBERS = r"[0-9](?:[\x20()./-]{0,3}[0-9]){4}"
+GROUPS = r"\A[0-9]+(?:[\x20()./-]{1,3}[0-9]+)*\z"
+#: An address whose host has no dot, whose at sign is spelt or stands between blanks, or whose letters are not of ASCII.
+ADDRESS = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*+"
+ADDRESSES = r"@|\(at\)|\[at\]"
+#: Least and most digits of a number, and of a phone; so many digits of country and area may be left out of a phone.
+DIGITS = (5, 19)
+PHONE_DIGITS = 7
+LEFT_OUT = 4
 CONTEXT_CHARS = 80
 ROUNDS = 3
 #: Least distinct known values of a pattern, least confidence, and least score of an instance (sum of confidence times log of the values).
@@ -104,8 +119,51 @@ def _context(start: Column) -> Column:
     return F.lower(F.regexp_replace(whole, SPACE, " "))
 
 
-def _shape(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), "[A-Za-z]+", "a")
+def _layout(value: Column) -> Column:
+    """The digit groups of a number: 999 999 9999."""
+    return F.trim(F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), "[^9]+", " "))
+
+
+def _count(digits: Column) -> Column:
+    return F.concat(F.lit("#"), digits.cast("string"))
+
+
+def _shapes(value: Column) -> Column:
+    """Loose shapes of an unknown value, the closest first: its at sign, or its groups and dots, and how many digits it has."""
+    dotted = F.regexp_replace(F.regexp_replace(value, r"\x20", ""), "[0-9]+", "9")
+    number = F.array(F.when(dotted == "9.9.9.9", dotted).otherwise(_layout(value)), _count(F.length(_digits(value))))
+    return F.when(value.rlike(ADDRESSES), F.array(F.lit("@"))).otherwise(number)
+
+
+def _seed_shapes(kind: Column, value: Column) -> Column:
+    """The loose shapes that a known value lets others have. A phone may lack its country and area."""
+    layout, digits = _layout(value), F.length(_digits(value))
+    groups = F.split(layout, " ")
+    ends = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda k: F.array_join(F.slice(groups, k, F.size(groups)), " "))
+    ends = F.filter(ends, lambda x: F.length(F.regexp_replace(x, " ", "")) >= F.greatest(F.lit(PHONE_DIGITS), digits - LEFT_OUT))
+    counts = F.transform(F.sequence(F.greatest(F.lit(PHONE_DIGITS), digits - LEFT_OUT), digits), _count)
+    of = lambda name: kind == KINDS.index(name)
+    return F.when(of("email"), F.array(F.lit("@"))).when(of("ip"), F.array(F.lit("9.9.9.9"))).when(of("card"), F.array(layout, _count(digits))).otherwise(F.array_union(ends, counts))
+
+
+def _numbers(text: Column) -> Column:
+    """Array of (start, stop, value) of unknown numbers: from each token with digits on, every run of whole tokens that has few enough digits."""
+    gaps, heads, tails = F.split(text, NUMBER, -1), F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), F.regexp_extract_all(text, F.lit(NUMBER), F.lit(1))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,head:string,tail:string>>").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        begin = state["at"] + F.length(x["gap"])
+        return F.struct((begin + F.length(x["head"])).alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), x["head"].alias("head"), x["tail"].alias("tail")))).alias("out"))
+
+    def runs(x: Column) -> Column:
+        signs = F.regexp_extract(x["head"], r"\A[+(]*", 0)
+        tokens = F.split(x["tail"], " ")
+        some = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda k: F.regexp_replace(F.array_join(F.slice(tokens, F.lit(1), k), " "), r"[^A-Za-z0-9]+\z", ""))
+        whole = F.filter(F.array_distinct(some), lambda v: v.rlike(GROUPS) & F.length(_digits(v)).between(*DIGITS))
+        return F.transform(whole, lambda v: F.struct(x["start"].alias("start"), (x["start"] + F.length(signs) + F.length(v)).alias("stop"), F.concat(signs, v).alias("value")))
+
+    pairs = F.zip_with(F.arrays_zip(heads.alias("head"), tails.alias("tail")), F.slice(gaps, F.lit(1), F.size(heads)), lambda v, g: F.struct(v["head"].alias("head"), v["tail"].alias("tail"), g.alias("gap")))
+    return F.flatten(F.transform(F.aggregate(pairs, start, step, lambda s: s["out"]), runs))
 
 
 def base_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -113,9 +171,10 @@ def base_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     step = docs.select(F.struct(*[F.col(c) for c in carry]).alias("doc"), text.alias("text"))
     step = step.withColumn("base", F.sort_array(F.concat(*[_base(k) for k in KINDS])))
-    numbers = F.filter(_places(F.col("text"), UNKNOWN), lambda x: (F.length(_digits(x["value"])) >= 5) | x["value"].contains("@"))
-    apart = F.filter(numbers, lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
-    step = step.withColumn("apart", F.when(F.col("text").rlike(r"@|(?:[0-9][A-Za-z._:+/-]{0,40}){5}"), apart).otherwise(F.array().cast("array<struct<start:bigint,stop:bigint,value:string>>")))
+    none = F.array().cast("array<struct<start:bigint,stop:bigint,value:string>>")
+    numbers = F.when(F.col("text").rlike(NUMBERS), _numbers(F.col("text"))).otherwise(none)
+    addresses = F.when(F.col("text").rlike(ADDRESSES), _places(F.col("text"), ADDRESS)).otherwise(none)
+    step = step.withColumn("apart", F.filter(F.concat(numbers, addresses), lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))))
     seeds = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["value"].alias("value"), _context(b["start"]).alias("context")))
     others = F.transform("apart", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"), _context(x["start"]).alias("context")))
     return step.select("doc", "text", "base", seeds.alias("seeds"), others.alias("others"))
@@ -137,14 +196,30 @@ def _context_counts(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     return found.groupBy("context").agg(F.count("*").alias("places"))
 
 
+def _fitting(found: DataFrame) -> DataFrame:
+    """row, start, stop, value, context and kind of the unknown values whose loose shape known ones of the kind have; one a place and kind.
+
+    Of the runs of tokens from one place on, that of the closest shape is taken, then the longest.
+    """
+    seeds = found.select(F.explode("seeds").alias("x")).select("x.kind", "x.value").distinct()
+    shapes = seeds.select("kind", F.explode(F.array_distinct(_seed_shapes(F.col("kind"), F.col("value")))).alias("shape"))
+    shapes = materialise(shapes.groupBy("kind", "shape").agg(F.count("*").alias("n")).where(f"n >= {MIN_SHAPE}").select("kind", "shape"), "shapes")
+    others = found.select("row", F.explode("others").alias("x")).select("row", "x.*").where("context <> ''")
+    shaped = others.select("*", F.posexplode(_shapes(F.col("value"))).alias("far", "shape")).join(_few(shapes), "shape")
+    best = F.min(F.struct("far", (-F.col("stop")).alias("less"), "stop", "value", "context")).alias("x")
+    fitting = materialise(shaped.groupBy("row", "start", "kind").agg(best).select("row", "start", "kind", "x.stop", "x.value", "x.context"), "fitting")
+    discard(shapes)
+    return fitting
+
+
 def induced(found: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
-    """Accepted (context, value, kind) of unknown values, or None; found is written by base_spans()."""
-    seeds = found.select(F.explode("seeds").alias("x")).select("x.*")
-    others = found.select(F.explode("others").alias("x")).select(F.lit(None).cast("int").alias("kind"), "x.value", "x.context")
-    graph = seeds.unionByName(others).where("context <> ''").groupBy("kind", "value", "context").agg(F.count("*").alias("n"))
-    graph = materialise(graph.withColumn("shape", _shape(F.col("value"))), "graph")
-    contexts = materialise(graph.groupBy("context").agg(F.count_distinct(F.when(F.col("kind").isNotNull(), F.col("value"))).alias("v")).where(f"v >= {MIN_VALUES}").select("context"), "contexts")
-    if graph.where("kind is null").isEmpty() or contexts.isEmpty():
+    """Accepted places (row, start, kind, stop) of unknown values, or None; found is written by personal_data()."""
+    fitting = _fitting(found)
+    seeds = found.select(F.explode("seeds").alias("x")).select("x.kind", "x.value", "x.context", F.lit(True).alias("known"))
+    others = fitting.select("kind", "value", "context", F.lit(False).alias("known"))
+    graph = materialise(seeds.unionByName(others).where("context <> ''").groupBy("kind", "value", "context", "known").agg(F.count("*").alias("n")), "graph")
+    contexts = materialise(graph.groupBy("context").agg(F.count_distinct(F.when(F.col("known"), F.col("value"))).alias("v")).where(f"v >= {MIN_VALUES}").select("context"), "contexts")
+    if graph.where("not known").isEmpty() or contexts.isEmpty():
         return None
     # No confidence can pass a context's instances by its places in the texts that have any: few contexts are left to be counted in all texts.
     near = _context_counts(found.where("size(seeds) + size(others) > 0").select("text"), contexts)
@@ -153,26 +228,24 @@ def induced(found: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFram
     if contexts.isEmpty():
         return None
     places = materialise(_context_counts(docs, contexts), "places")
-    shapes = materialise(graph.where("kind is not null").groupBy("kind", "shape").agg(F.count("*").alias("n")).where(f"n >= {MIN_SHAPE}").select("kind", "shape"), "shapes")
     linked = materialise(graph.join(places, "context"), "linked")
-    known = linked.where("kind is not null").select("kind", "value", "context", "n", "places")
+    unknown = linked.where("not known")
     accepted = None
     for _ in range(rounds):
-        everywhere = known
+        everywhere = linked.where("known")
         if accepted is not None:
-            fresh = linked.where("kind is null").drop("kind").join(accepted.select("value", "kind").distinct(), "value").select("kind", "value", "context", "n", "places")
-            everywhere = known.unionByName(fresh)
+            everywhere = everywhere.unionByName(unknown.join(accepted.select("value", "kind").distinct(), ["value", "kind"]).select(*linked.columns))
         patterns = everywhere.groupBy("context", "kind").agg(F.countDistinct("value").alias("values"), (F.sum("n") / F.max("places")).alias("confidence")).where(f"values >= {MIN_VALUES} and confidence >= {MIN_CONFIDENCE}")
-        support = linked.where("kind is null").drop("kind").join(materialise(patterns, "patterns"), "context").join(shapes, ["kind", "shape"])
+        support = unknown.join(materialise(patterns, "patterns"), ["context", "kind"])
         scored = support.withColumn("score", F.sum(F.expr("confidence * ln(values + 1)")).over(Window.partitionBy("kind", "value")))
         now = materialise(scored.where(f"score >= {MIN_SCORE}").select("context", "value", "kind"), "accepted")
         count, before = now.count(), accepted.count() if accepted is not None else 0
         accepted = now
         if count == before:
             break
-    for done in (graph, contexts, places, shapes):
+    for done in (graph, contexts, places):
         discard(done)
-    return accepted if count else None
+    return fitting.join(_few(accepted), ["context", "value", "kind"]).select("row", "start", "kind", "stop") if count else None
 
 
 def personal_data(docs: DataFrame, carry: list[str], rounds: int = ROUNDS) -> DataFrame:
@@ -181,8 +254,7 @@ def personal_data(docs: DataFrame, carry: list[str], rounds: int = ROUNDS) -> Da
     plain = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["stop"].alias("stop")))
     result = found.select("row", "doc", "text", "base", plain.alias("spans"))
     if (accepted := induced(found, docs, rounds)) is not None:
-        places = found.select("row", F.explode("others").alias("x")).select("row", "x.*")
-        more = places.join(_few(accepted), ["context", "value"]).groupBy("row").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("more"))
+        more = accepted.groupBy("row").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("more"))
         result = result.join(more, "row", "left").withColumn("spans", F.sort_array(F.concat("spans", F.coalesce("more", F.array().cast("array<struct<start:bigint,kind:int,stop:bigint>>")))))
     return result.select("doc", "text", "base", "spans")
 

@@ -306,6 +306,31 @@ def test_contexts_find_more_and_redaction(spark, documents):
     assert clean[100] == ("then card number <CARD> stands here", 35) and clean[101] == (rows[-2][1], len(rows[-2][1])) and clean[102] == (None, None)
 
 
+def test_contexts_find_unseen_forms(spark, documents):
+    """Phones without +, cards in groups and addresses without a dotted host have no seed of their exact form."""
+    cards = [d for i in range(200) if luhn(d := str(4_000_000_000_000_000 + i * 7919))][:12]
+    rows = [(i, f"their phone number +1 (084) 555-{3000 + i} rings") for i in range(12)] + [(20 + i, f"then card number {d} is gone") for i, d in enumerate(cards)]
+    rows += [(40 + i, f"please mail to user{i}@example.com today") for i in range(12)] + [(60 + i, f"from the host 10.0.0.{i} again") for i in range(12)]
+    asked = {
+        "phone": ["084 555-3661", "(084) 555-3662", "0845553663", "+1 555-3664", "084 555-3665 2 times"],
+        "card": ["4000 0000 0000 0001", "4000-0000-0000-0001", "4000 0000 0000 0001 48451"],
+        "email": ["root@localhost", "ann (at) example.com", "ann @ localhost"],
+        "ip": ["300.1.1.1"],
+    }
+    stop = {"084 555-3665 2 times": 12, "4000 0000 0000 0001 48451": 19}
+    before = {"phone": "their phone number", "card": "then card number", "email": "please mail to", "ip": "from the host"}
+    wanted = {}
+    for kind, values in asked.items():
+        for value in values:
+            start = len(before[kind]) + 1
+            wanted[100 + len(wanted)] = f"{kind}:{start}:{start + stop.get(value, len(value))}"
+            rows.append((99 + len(wanted), f"{before[kind]} {value} so"))
+    rows += [(200, "the order code 084 555-3661 is odd"), (201, "their phone number 12345 so"), (202, "then card number 084 555-3661 so"), (203, "their phone number 084 555-36x1 so")]
+    found = {r["doc_id"]: r["spans"] for r in pii_bootstrap.report(documents(rows)).collect()}
+    assert {i: found[i] for i in wanted} == wanted
+    assert [found[i] for i in (200, 201, 202, 203)] == [""] * 4
+
+
 # decontamination
 
 

@@ -1,7 +1,7 @@
 """Personal data: base patterns, and identifiers found by contexts that the base finds induce.
 
 Base spans (email, ip, card, phone) are regular expressions with checks, leftmost and without overlap for each kind. From them
-as seeds, lexical patterns are induced: the two words before a find, where MIN_VALUES different finds have them. A bipartite graph of patterns and instances (values) is
+as seeds, lexical patterns are induced: the two words before a find, known or accepted in a round before. A bipartite graph of patterns and instances (values) is
 scored in rounds: a pattern's confidence is its share of known instances among all places in the corpus where its words
 stand; an unknown value (whole tokens with digits, or an address, that no base span touches) of a loose shape that seeds of
 the kind have is accepted when confident patterns speak for it enough, and is then known in the next round. Accepted values in confident
@@ -58,7 +58,7 @@ PHONE_DIGITS = 7
 LEFT_OUT = 4
 CONTEXT_CHARS = 80
 ROUNDS = 3
-#: Least distinct known values of a pattern, least confidence, and least score of an instance (sum of confidence times log of the values).
+#: Least distinct known or accepted values of a pattern, least confidence, and least score of an instance (sum of confidence times log of the values).
 MIN_VALUES = 5
 MIN_CONFIDENCE = 0.6
 MIN_SCORE = 1.5
@@ -218,12 +218,13 @@ def induced(found: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFram
     seeds = found.select(F.explode("seeds").alias("x")).select("x.kind", "x.value", "x.context", F.lit(True).alias("known"))
     others = fitting.select("kind", "value", "context", F.lit(False).alias("known"))
     graph = materialise(seeds.unionByName(others).where("context <> ''").groupBy("kind", "value", "context", "known").agg(F.count("*").alias("n")), "graph")
-    contexts = materialise(graph.groupBy("context").agg(F.count_distinct(F.when(F.col("known"), F.col("value"))).alias("v")).where(f"v >= {MIN_VALUES}").select("context"), "contexts")
-    if graph.where("not known").isEmpty() or contexts.isEmpty():
+    if graph.where("not known").isEmpty():
         return None
-    # No confidence can pass a context's instances by its places in the texts that have any: few contexts are left to be counted in all texts.
-    near = _context_counts(found.where("size(seeds) + size(others) > 0").select("text"), contexts)
-    held = graph.groupBy("context").agg(F.sum("n").alias("held"))
+    # In no round has a pattern more values, or more instances, than known and unknown ones of its kind together; and it has no fewer places
+    # than in the texts that have any. So few contexts are left to be counted in all texts, and none that could become a pattern is lost.
+    held = graph.groupBy("context", "kind").agg(F.countDistinct("value").alias("values"), F.sum("n").alias("held")).where(f"values >= {MIN_VALUES}")
+    held = materialise(held.groupBy("context").agg(F.max("held").alias("held")), "held")
+    near = _context_counts(found.where("size(seeds) + size(others) > 0").select("text"), held.select("context"))
     contexts = materialise(near.join(held, "context").where(F.col("held") >= MIN_CONFIDENCE * F.col("places")).select("context"), "contexts")
     if contexts.isEmpty():
         return None
@@ -243,7 +244,7 @@ def induced(found: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFram
         accepted = now
         if count == before:
             break
-    for done in (graph, contexts, places):
+    for done in (graph, held, contexts, places):
         discard(done)
     return fitting.join(_few(accepted), ["context", "value", "kind"]).select("row", "start", "kind", "stop") if count else None
 

@@ -331,6 +331,16 @@ def test_contexts_find_unseen_forms(spark, documents):
     assert [found[i] for i in (200, 201, 202, 203)] == [""] * 4
 
 
+def test_accepted_values_make_patterns(spark, documents):
+    """A context with no seed at all becomes a pattern by values that were accepted in the round before."""
+    cards = [d for i in range(200) if luhn(d := str(4_000_000_000_000_000 + i * 7919))][:12]
+    other = [d for i in range(200) if not luhn(d := str(5_000_000_000_000_000 + i * 7919))][:7]
+    rows = [(i, f"my card number {d} is lost") for i, d in enumerate(cards)]
+    rows += [(100 + i, f"my card number {d} is lost") for i, d in enumerate(other[:6])] + [(200 + i, f"then charged to {d} again") for i, d in enumerate(other)]
+    found = {r["doc_id"]: r["spans"] for r in pii_bootstrap.report(documents(rows)).collect()}
+    assert found[100] == "card:15:31" and all(found[200 + i] == "card:16:32" for i in range(7))
+
+
 # decontamination
 
 

@@ -2,10 +2,12 @@
 
 A document is the set of its distinct word shingles. Documents with equal sets are one class; the join runs over classes.
 Each of ROOTS independent trees branches recursively: a node chooses minwise hash functions out of COORDINATES by a hash of its
-path, and sends each of its classes to one child for each, named by the class's minwise shingle. Below the roots a node
-chooses one function and, with a chance of a quarter, another: 1 / 0.8 in mean, so that pairs of similarity 0.8 have one
-common child in mean and less similar ones die out. The roots, where nearly all nodes are small enough, miss such a pair with
-a chance of 0.2 ** 10 = 1e-7; down to the fourth level of large nodes it is under 0.001.
+path, and sends each of its classes to one child for each, named by the class's minwise shingle. A root chooses one function,
+a node below the roots two, so that a pair of similarity 0.8 has 1.6 common children in mean and the chance that it dies out in a
+node stays at or below the fixed point q = 0.0625 of q = (0.2 + 0.8 q) ** 2, down any depth. The roots, where nearly all
+nodes are small enough, miss such a pair with a chance of 0.2 ** 10 = 1e-7, and with large nodes on all levels it is
+(0.2 + 0.8 * 0.0625) ** 10 = 1e-6 at most. That holds for independent functions; as all nodes share COORDINATES, of which a
+pair has a binomial number in common, it is 8e-7 at the roots and under 4e-5 down any depth.
 
 A node is done when it has one class or its classes are already linked into one group. At the roots, each class is compared
 with the node's pivot first, so a group of copies of any size is linked by one comparison each; then a
@@ -339,14 +341,14 @@ def _roots(sets: DataFrame) -> DataFrame:
 
 
 def _children(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """The next level of large nodes: each chooses one coordinate by its key, and a quarter of them a second one."""
+    """The next level of large nodes: each chooses two coordinates by its key."""
     wanted = rows.select("cid").distinct()
     signed = rows.select("key", "cid", "sketch").join(_members(sets, wanted, rows.count(), "minwise"), "cid")
     pick = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "key"), F.lit(n))
     first = pick(1, COORDINATES)
     second = F.pmod(first + 1 + pick(2, COORDINATES - 1), F.lit(COORDINATES))
     child = lambda c: F.xxhash64("key", c, F.element_at("minwise", (c + 1).cast("int")))
-    keys = F.when(pick(3, 4) == 0, F.array(child(first), child(second))).otherwise(F.array(child(first)))
+    keys = F.array(child(first), child(second))
     return signed.select(F.explode(keys).alias("key"), F.lit(-1).alias("root"), "cid", "sketch").distinct()
 
 

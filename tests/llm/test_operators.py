@@ -14,6 +14,7 @@ import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import connect, duck_rows, spark_rows
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skarn.llm import bpe_codec, cpsjoin, html_extract, pii_bootstrap, quality_gbt, quality_rules, suffix_decontam, token_counts, toxic_segments, warc_bundles
@@ -192,6 +193,22 @@ def test_near_duplicate_groups(spark, documents, monkeypatch, leaf, depth, few):
     assert found == groups_by_force(rows, 5, 80)
 
 
+def test_pairs_stay_together_in_large_nodes(spark):
+    """Pairs with 51 of 64 equal minwise shingles (0.8) have a common node after five levels on which every node is large."""
+    draw, rows = np.random.default_rng(11), []
+    for k in range(1000):
+        one = draw.integers(-(1 << 31), 1 << 31, 64)
+        two = one.copy()
+        two[draw.choice(64, 13, replace=False)] ^= 1
+        rows += [(k.to_bytes(4) + bytes([side]), 0, x.tolist()) for side, x in enumerate((one, two))]
+    sets = cpsjoin.materialise(spark.createDataFrame(rows, "cid binary, sketch long, minwise array<int>"), "sets")
+    nodes = cpsjoin._roots(sets)
+    for _ in range(5):
+        nodes = cpsjoin._children(cpsjoin.materialise(nodes, "nodes"), sets)
+    together = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min(F.substring("cid", 1, 4)).alias("pair")).where("n > 1")
+    assert together.select("pair").distinct().count() == 1000
+
+
 def test_near_duplicates_of_odd_rows(spark, documents):
     found = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in cpsjoin.near_duplicates(documents(ROWS), 4).collect()))
     by = Counter(found)

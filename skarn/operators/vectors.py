@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import distance
 
+#: So many queries of a batch are compared at once with a task's rows.
+BLOCK = 256
+
 
 def top_k(df: DataFrame, key: str, vector: str, query: list[float], k: int, metric: str = "cosine", where: Column | None = None) -> DataFrame:
     """The k nearest rows (ties by key): a top-k without a full sort; where filters before."""
@@ -23,34 +26,53 @@ def top_k_then(df: DataFrame, key: str, vector: str, query: list[float], k: int,
     return df.where(where).select(key).join(F.broadcast(near), key).orderBy("distance", key).limit(k)
 
 
-def batch_top_k(df: DataFrame, key: str, vector: str, queries: dict[int, list[float]], k: int, metric: str = "cosine") -> DataFrame:
+def batch_top_k(df: DataFrame, key: str, vector: str, queries: dict[int, list[float]], k: int, metric: str = "cosine", probed: dict[int, list[int]] | None = None) -> DataFrame:
     """query, key, distance and rank of the k nearest rows of each query, a stated set that goes to all tasks.
 
-    A task multiplies its rows with all queries at once and keeps k a query, so k rows a query and task are shuffled.
+    A task multiplies its rows with BLOCK queries at once and keeps k a query, so k rows a query and task are shuffled. With
+    probed, a query reads only the rows whose list is among its own.
     """
     names = sorted(queries)
     table = np.array([queries[n] for n in names], dtype=np.float64)
     kind = dict(df.dtypes)[key]
 
+    asking: dict[int, list[int]] = {}
+    for i, n in enumerate(names):
+        for number in probed[n] if probed is not None else ():
+            asking.setdefault(number, []).append(i)
+    block = BLOCK
+
     def run(batches):
         best: list[list[tuple[float, int]]] = [[] for _ in names]
+
+        def keep(x, keys, own):
+            for first in range(0, len(own), block):
+                part = own[first : first + block]
+                some = table[part]
+                if metric == "cosine":
+                    size = np.linalg.norm(some, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+                    d = 1 - np.divide(some @ x.T, size, out=np.zeros_like(size), where=size > 0)
+                elif metric == "dot":
+                    d = -(some @ x.T)
+                else:
+                    d = np.maximum((some**2).sum(1)[:, None] - 2 * some @ x.T + (x**2).sum(1)[None, :], 0)
+                    d = d if metric == "l2sq" else np.sqrt(d)
+                for row, i in enumerate(part):
+                    near = np.lexsort((keys, d[row]))[:k]
+                    best[i] = sorted(best[i] + [(float(d[row][j]), keys[j]) for j in near])[:k]
+
         for batch in batches:
-            x = np.stack(batch[vector].to_list()).astype(np.float64) if len(batch) else np.zeros((0, table.shape[1]))
-            if metric == "cosine":
-                size = np.linalg.norm(table, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                d = 1 - np.divide(table @ x.T, size, out=np.zeros_like(size), where=size > 0)
-            elif metric == "dot":
-                d = -(table @ x.T)
-            else:
-                d = np.maximum((table**2).sum(1)[:, None] - 2 * table @ x.T + (x**2).sum(1)[None, :], 0)
-                d = d if metric == "l2sq" else np.sqrt(d)
-            keys = batch[key].to_numpy()
-            for i in range(len(names)):
-                near = np.lexsort((keys, d[i]))[:k]
-                best[i] = sorted(best[i] + [(float(d[i][j]), keys[j]) for j in near])[:k]
+            if len(batch):
+                x, keys = np.stack(batch[vector].to_list()).astype(np.float64), batch[key].to_numpy()
+                if probed is None:
+                    keep(x, keys, list(range(len(names))))
+                else:
+                    lists = batch["list"].to_numpy()
+                    for number in np.unique(lists).tolist():
+                        keep(x[lists == number], keys[lists == number], asking.get(number, []))
         yield pd.DataFrame([(n, b[1], b[0]) for n, found in zip(names, best, strict=True) for b in found], columns=["query", key, "distance"])
 
-    near = df.select(key, vector).mapInPandas(run, f"query long, {key} {kind}, distance double")
+    near = df.select(key, vector, *(["list"] if probed is not None else [])).mapInPandas(run, f"query long, {key} {kind}, distance double")
     window = Window.partitionBy("query").orderBy("distance", key)
     return near.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
@@ -103,6 +125,13 @@ class ClusterIndex:
 
         return df.withColumn("list", nearest(F.col(self.vector)))
 
+    def nearest_lists(self, query: list[float], probes: int) -> list[int]:
+        return np.argsort(((self.centres - np.asarray(query)) ** 2).sum(1))[:probes].tolist()
+
     def search(self, query: list[float], k: int, probes: int = 4, metric: str = "l2sq", where: Column | None = None) -> DataFrame:
-        near = np.argsort(((self.centres - np.asarray(query)) ** 2).sum(1))[:probes].tolist()
+        near = self.nearest_lists(query, probes)
         return top_k(self.rows.where(F.col("list").isin(near)), self.key, self.vector, query, k, metric, where)
+
+    def search_batch(self, queries: dict[int, list[float]], k: int, probes: int = 4, metric: str = "l2sq") -> DataFrame:
+        """As batch_top_k(), each query in its nearest lists only: one pass over the rows for all queries."""
+        return batch_top_k(self.rows, self.key, self.vector, queries, k, metric, {n: self.nearest_lists(q, probes) for n, q in queries.items()})

@@ -170,16 +170,25 @@ def rrf(spark, d):
 query("normalise", "select vec_id, round(list_sum(list_transform(embedding::double[], lambda x: x / n)), 5) as total from (select vec_id, embedding, sqrt(list_inner_product(embedding::double[], embedding::double[])) as n from embeddings)")(lambda spark, d: t(spark, d, "embeddings").select("vec_id", S.normalised(F.col("embedding")).alias("v")).select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total")))
 
 
+def _clustered(spark, d):
+    """The index and the stated query set."""
+    e = t(spark, d, "embeddings")
+    return vectors.ClusterIndex.build(e, "vec_id", "embedding"), {r["vec_id"]: list(r["embedding"]) for r in e.where("vec_id % 100 = 0").collect()}
+
+
+@query("cluster_search", None)
+def cluster_search(spark, d):
+    index, asked = _clustered(spark, d)
+    return index.search_batch(asked, 10, probes=13).select("query", "vec_id", "rank")
+
+
 @query("cluster_search_recall", None)
 def cluster_recall(spark, d):
     """Recall of clustered search against exact search, for the stated query set."""
-    e = t(spark, d, "embeddings")
-    index = vectors.ClusterIndex.build(e, "vec_id", "embedding")
-    asked = {r["vec_id"]: list(r["embedding"]) for r in e.where("vec_id % 100 = 0").collect()}
-    exact = vectors.batch_top_k(e, "vec_id", "embedding", asked, 10, "l2sq").select("query", "vec_id")
-    found = chains.merged([index.search(v, 10, probes=13).select(F.lit(q).cast("long").alias("query"), "vec_id") for q, v in sorted(asked.items())[:20]])
-    asked_first = exact.where(F.col("query").isin([q for q, _ in sorted(asked.items())[:20]]))
-    return spark.createDataFrame([(vectors.recall(found, asked_first, ["query", "vec_id"]),)], "recall double")
+    index, asked = _clustered(spark, d)
+    exact = vectors.batch_top_k(t(spark, d, "embeddings"), "vec_id", "embedding", asked, 10, "l2sq").select("query", "vec_id")
+    found = index.search_batch(asked, 10, probes=13).select("query", "vec_id")
+    return spark.createDataFrame([(vectors.recall(found, exact, ["query", "vec_id"]),)], "recall double")
 
 
 query("pipeline_etl", "select o_orderpriority, count(*) as n, round(sum(o_totalprice * 1.1), 1) as gross from orders where o_totalprice between 1000 and 300000 group by all")(lambda spark, d: chains.pipeline(t(spark, d, "orders"), [lambda x: x.withColumn("gross", F.col("o_totalprice") * 1.1)], F.col("o_totalprice").between(1000, 300000), [lambda x: x.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("gross"), 1).alias("gross"))])[0])

@@ -37,9 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a verbatim run of eight or more words of a benchmark item go."""
+    """Documents that hold a verbatim run of eight or more words of a benchmark item go, and those with two or more whole items of fewer."""
     found = suffix_decontam.decontamination_report(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where(F.col("longest_match") >= suffix_decontam.WINDOW))
+    return without(docs, found.where((F.col("longest_match") >= suffix_decontam.WINDOW) | F.col("contaminated")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,5 +59,15 @@ def test_rows_without_or_with_a_repeated_id(spark):
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, ""), (0, "x y z"), (1, "a b c d e f")]
 
 
+def test_short_benchmark_items_count(spark, tmp_path):
+    """Two whole items of fewer than eight words make a document contaminated; one does not."""
+    items = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    rows = [tuple(f"{k}" if c != "text" else t for c in items.columns) for k, t in enumerate(["who wrote the iliad", "name the largest moon"])]
+    spark.createDataFrame(rows, ", ".join(f"{c} string" for c in items.columns)).write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["so who wrote the iliad and name the largest moon of all", "so who wrote the iliad then", "nothing of it"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()) == [1, 2]
+
+
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0

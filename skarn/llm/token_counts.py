@@ -49,6 +49,10 @@ class Lengths(dict):
         if len(self) - len(self.frequent) + len(words) > self.limit:
             self.clear()
             self.update(self.frequent)
+        self.add(words)
+
+    def add(self, words: set[str]) -> None:
+        """Learn words without beginning anew, so that a text's words can all be held at once."""
         ordered = list(words)
         for k in range(0, len(ordered), 10_000):
             part = ordered[k : k + 10_000]
@@ -70,8 +74,8 @@ def counts_of(texts: list[str], lengths: Lengths, find, special) -> list[int]:
         missing = {w for w in words if w not in lengths} if len(words) else None
         if missing:
             lengths.learn(missing)
-            if not all(map(lengths.__contains__, words)):  # the cache began anew
-                lengths.learn({w for w in words if w not in lengths})
+            if again := {w for w in words if w not in lengths}:  # the cache began anew
+                lengths.add(again)
         out.append(sum(map(lengths.__getitem__, words)) + extra)
     return out
 

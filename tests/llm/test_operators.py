@@ -253,6 +253,15 @@ def test_the_cache_begins_anew_without_loss():
     assert token_counts.counts_of(texts, lengths, find, None) == [len(coder.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_a_text_with_more_words_than_the_cache():
+    coder = token_counts.load_tokenizer(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    import regex
+
+    find, lengths = regex.compile(public_tokenizers.PATTERN).findall, token_counts.Lengths(coder, {}, limit=4)
+    texts = ["one two three", "one two three four five", "six one"]
+    assert token_counts.counts_of(texts, lengths, find, None) == [len(coder.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 # archives
 
 

@@ -1,7 +1,7 @@
 """Token counts by a two-tier table of pre-token lengths, without any shuffle.
 
-The first tier is a broadcast table: how many tokens each of the most frequent pre-tokens has. It is taken from a sample of
-SAMPLE_DOCS documents and holds at most FREQUENT words of at most FREQUENT_BYTES bytes each, whatever the corpus; what it
+The first tier is a broadcast table: how many tokens each of the most frequent pre-tokens has. It is taken from the
+SAMPLE_DOCS documents whose ids have the smallest hashes and holds at most FREQUENT words of at most FREQUENT_BYTES bytes each, whatever the corpus; what it
 lacks costs time, never a wrong count. The second tier is each worker's own cache: pre-tokens met for the first time are
 encoded together, a batch at a time, and kept until the cache has CACHE words, when it starts anew.
 
@@ -90,9 +90,11 @@ def special_pattern(coder: Tokenizer):
 
 
 def frequent_lengths(docs: DataFrame, definition: str, pattern: str, sample_docs: int = SAMPLE_DOCS, size: int = FREQUENT) -> dict[str, int]:
-    """The first tier, from a bounded sample of documents (any will do)."""
+    """The first tier, from the documents with the smallest hashes of their ids: from all of the corpus, in whatever order it lies."""
     find, seen = regex.compile(pattern).findall, Counter()
-    for (text,) in docs.select(F.col("text").cast("string")).take(sample_docs):
+    hashed = F.xxhash64(F.col("doc_id").cast("string"))
+    least = docs.select(hashed.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    for (text,) in docs.where(hashed <= F.lit(least).cast("long")).select(F.col("text").cast("string")).take(sample_docs):
         seen.update(w for w in find(text or "") if len(w.encode()) <= FREQUENT_BYTES)
     lengths = Lengths(load_tokenizer(definition), {}, limit=1 << 62)
     lengths.learn({w for w, _ in seen.most_common(size)})

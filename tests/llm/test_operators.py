@@ -262,6 +262,14 @@ def test_a_text_with_more_words_than_the_cache():
     assert token_counts.counts_of(texts, lengths, find, None) == [len(coder.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_frequent_words_are_of_the_whole_table(spark, documents):
+    definition = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    docs = documents([(i, "first words" if i < 300 else "other language") for i in range(600)])
+    found = token_counts.frequent_lengths(docs, definition, public_tokenizers.PATTERN, 50)
+    assert set(found) == {"first", " words", "other", " language"}
+    assert token_counts.frequent_lengths(docs.limit(0), definition, public_tokenizers.PATTERN) == {}
+
+
 # archives
 
 

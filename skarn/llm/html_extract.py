@@ -8,13 +8,14 @@ numbers; pages are read where they lie, without a shuffle.
 
 Defined cases: a null or empty html has an empty text; a page without any main block has an empty text; unclosed elements and
 comments run to the end of the page; repeated pages are each extracted; other columns are ignored; an empty table gives an
-empty result; pages of any length are read whole, in one pass.
+empty result; pages of any length are read whole, in one pass whose time grows with the page's length; blocks that are alike are
+judged alike.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -24,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hands_back, small_batches
+
 #: Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -119,43 +122,40 @@ def blocks_of(html: str) -> list[Block]:
     """The flat blocks of a page that have words, in page order."""
     out: list[Block] = []
     stack: list[Open] = [Open("", frozenset(), False)]
-    counts: Counter[str] = Counter()
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of a tag in the stack
     pieces: list[str] = []
-    links = 0
+    links, blank = 0, True
     flags: frozenset[str] = frozenset()
 
     def flush() -> None:
-        nonlocal links
-        if pieces:
+        nonlocal links, blank
+        if not blank:
             words = "".join(pieces).split()
-            if words:
-                out.append(Block(" ".join(words), len(words), links, "".join(sorted(flags))))
-            pieces.clear()
-        links = 0
+            out.append(Block(" ".join(words), len(words), links, "".join(sorted(flags))))
+        pieces.clear()
+        links, blank = 0, True
 
     def write(text: str) -> None:
-        nonlocal links, flags
+        nonlocal links, flags, blank
         top = stack[-1]
         if text and not top.hidden:
             if "&" in text:
                 text = unescape(text)
-            if not pieces or not any(not p.isspace() for p in pieces):
-                flags = top.flags
+            if blank:
+                flags, blank = top.flags, text.isspace()
             pieces.append(text)
             if "l" in top.flags:
                 links += len(text.split())
 
     def pop(k: int) -> None:
-        for gone in stack[k:]:
-            counts[gone.tag] -= 1
+        for gone in reversed(stack[k:]):
+            places[gone.tag].pop()
         del stack[k:]
 
     def close(names: tuple[str, ...], stops: tuple[str, ...] = ()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                return pop(k)
-            if stack[k].tag in stops:
-                return None
+        last = lambda tags: max((places[t][-1] for t in tags if places[t]), default=0)
+        if (k := last(names)) > last(stops):
+            pop(k)
 
     at, n = 0, len(html)
     while at < n:
@@ -176,19 +176,16 @@ def blocks_of(html: str) -> list[Block]:
         if m[1]:
             if tag in BLOCK:
                 flush()
-            if counts[tag] > 0:
-                close((tag,))
+            close((tag,))
             continue
         if tag in BLOCK:
             flush()
-            if counts["p"] > 0:
-                close(("p",), ("button", "table"))
+            close(("p",), ("button", "table"))
             if tag in HEADINGS and stack[-1].tag in HEADINGS:
                 pop(len(stack) - 1)
             if tag in CLOSES:
                 names, stops = CLOSES[tag]
-                if any(counts[x] > 0 for x in names.split()):
-                    close(tuple(names.split()), stops)
+                close(tuple(names.split()), stops)
         if tag == "br":
             write(" ")
         if tag in VOID:
@@ -197,15 +194,15 @@ def blocks_of(html: str) -> list[Block]:
             found = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             at = found.end() if found else n
             continue
-        if tag == "a" and counts["a"] > 0:
+        if tag == "a":
             close(("a",))
         marks, hidden = _marks(tag, m[3])
         top = stack[-1]
         # A page header is boilerplate; a header inside the article holds its title.
         if "r" in marks:
             marks = marks - {"r"} if "a" in top.flags else (marks - {"r"}) | {"b"}
+        places[tag].append(len(stack))
         stack.append(Open(tag, top.flags | marks, top.hidden or hidden))
-        counts[tag] += 1
     flush()
     return out
 
@@ -281,7 +278,9 @@ def main_texts(pages: list[str | None], tree: Tree) -> list[str]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     tree = trained()
+    small_batches(pages.sparkSession)
 
+    @hands_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k in range(0, len(batch), 500):

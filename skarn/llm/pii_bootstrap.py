@@ -17,8 +17,9 @@ one row for each distinct pattern and value, summed before the shuffle, so a val
 one row. Contexts are counted over all words of all texts.
 
 Defined cases: a null text is empty; spans are in code points, the end exclusive; a failing match is dropped without another
-try; repeated documents are each read; the carried columns travel inside `doc`, so names cannot clash; an empty table gives an
-empty result.
+try; repeated documents are each read; a text of any length is read whole; of runs of tokens from one place on, that of the closest
+shape is taken, then the longest; the carried columns travel inside `doc`, so names cannot clash, whatever dots are in them; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, discard, materialise
+from .common import SPACE, discard, materialise, quoted
 
 KINDS = ("email", "ip", "card", "phone")
 #: For each kind: what a text must hold at all, the match, and what it must pass. A match can begin inside a run of its first characters only where
@@ -56,8 +57,8 @@ ADDRESSES = r"@|\(at\)|\[at\]"
 DIGITS = (5, 19)
 PHONE_DIGITS = 7
 LEFT_OUT = 4
-CONTEXT_CHARS = 80
-ROUNDS = 3
+#: The words before a span are looked for in so many characters before it, then, where these hold no two whole words, in more, at last in all.
+LOOK_BACK = (80, 1_000, 20_000)
 #: Least distinct known or accepted values of a pattern, least confidence, and least score of an instance (sum of confidence times log of the values).
 MIN_VALUES = 5
 MIN_CONFIDENCE = 0.6
@@ -112,11 +113,21 @@ def _base(kind: str) -> Column:
     return F.when(F.col("text").rlike(FIRST[kind]), typed).otherwise(F.array().cast("array<struct<start:bigint,kind:int,stop:bigint,value:string>>"))
 
 
+def _last_two(before: Column, first: str) -> Column:
+    """The last two whole words of a text, behind its last white space; a word begins behind `first`. Reads the text once."""
+    whole = F.regexp_replace(before, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++\z", "")
+    return F.regexp_extract(whole, first + r"([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]++\z", 1)
+
+
 def _context(start: Column) -> Column:
-    """The two words before the token in which a span starts, in lower case; empty if there are fewer near."""
-    before = F.substring(F.col("text"), F.greatest(start - CONTEXT_CHARS, F.lit(0)).cast("int") + 1, F.least(start, F.lit(CONTEXT_CHARS)).cast("int"))
-    whole = F.regexp_extract(F.regexp_replace(before, r"[^\x20\x09-\x0D]+\z", ""), r"(?:\A|[\x20\x09-\x0D])([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]+\z", 1)
-    return F.lower(F.regexp_replace(whole, SPACE, " "))
+    """The two words before the token in which a span starts, in lower case; empty if there are fewer."""
+    blank, begin = r"[\x20\x09-\x0D]", r"(?:\A|[\x20\x09-\x0D])"
+    words = _last_two(F.substring(F.col("text"), F.lit(1), start.cast("int")), begin)
+    for size in reversed(LOOK_BACK):
+        near = F.substring(F.col("text"), F.greatest(start - size, F.lit(0)).cast("int") + 1, F.least(start, F.lit(size)).cast("int"))
+        cut = _last_two(near, blank)
+        words = F.when(start <= size, _last_two(near, begin)).when(cut != "", cut).otherwise(words)
+    return F.lower(F.regexp_replace(words, SPACE, " "))
 
 
 def _layout(value: Column) -> Column:
@@ -167,9 +178,9 @@ def _numbers(text: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """doc, text, base (spans by start, then kind), seeds and others (spans with value and context)."""
+    """doc, absent (the text is null), text, base (spans by start, then kind), seeds and others (spans with value and context)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    step = docs.select(F.struct(*[F.col(c) for c in carry]).alias("doc"), text.alias("text"))
+    step = docs.select(F.struct(*[quoted(c).alias(c) for c in carry]).alias("doc"), F.col("text").isNull().alias("absent"), text.alias("text"))
     step = step.withColumn("base", F.sort_array(F.concat(*[_base(k) for k in KINDS])))
     none = F.array().cast("array<struct<start:bigint,stop:bigint,value:string>>")
     numbers = F.when(F.col("text").rlike(NUMBERS), _numbers(F.col("text"))).otherwise(none)
@@ -177,7 +188,7 @@ def base_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
     step = step.withColumn("apart", F.filter(F.concat(numbers, addresses), lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))))
     seeds = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["value"].alias("value"), _context(b["start"]).alias("context")))
     others = F.transform("apart", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"), _context(x["start"]).alias("context")))
-    return step.select("doc", "text", "base", seeds.alias("seeds"), others.alias("others"))
+    return step.select("doc", "absent", "text", "base", seeds.alias("seeds"), others.alias("others"))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -212,8 +223,11 @@ def _fitting(found: DataFrame) -> DataFrame:
     return fitting
 
 
-def induced(found: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
-    """Accepted places (row, start, kind, stop) of unknown values, or None; found is written by personal_data()."""
+def induced(found: DataFrame, docs: DataFrame, rounds: int | None = None) -> DataFrame | None:
+    """Accepted places (row, start, kind, stop) of unknown values, or None; found is written by personal_data().
+
+    Without a number of rounds they go on until one accepts nothing new. They end, as known values only ever become more.
+    """
     fitting = _fitting(found)
     seeds = found.select(F.explode("seeds").alias("x")).select("x.kind", "x.value", "x.context", F.lit(True).alias("known"))
     others = fitting.select("kind", "value", "context", F.lit(False).alias("known"))
@@ -231,8 +245,8 @@ def induced(found: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFram
     places = materialise(_context_counts(docs, contexts), "places")
     linked = materialise(graph.join(places, "context"), "linked")
     unknown = linked.where("not known")
-    accepted = None
-    for _ in range(rounds):
+    accepted, done = None, 0
+    while rounds is None or done < rounds:
         everywhere = linked.where("known")
         if accepted is not None:
             everywhere = everywhere.unionByName(unknown.join(accepted.select("value", "kind").distinct(), ["value", "kind"]).select(*linked.columns))
@@ -241,23 +255,23 @@ def induced(found: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFram
         scored = support.withColumn("score", F.sum(F.expr("confidence * ln(values + 1)")).over(Window.partitionBy("kind", "value")))
         now = materialise(scored.where(f"score >= {MIN_SCORE}").select("context", "value", "kind"), "accepted")
         count, before = now.count(), accepted.count() if accepted is not None else 0
-        accepted = now
+        accepted, done = now, done + 1
         if count == before:
             break
-    for done in (graph, held, contexts, places):
-        discard(done)
+    for old in (graph, held, contexts, places):
+        discard(old)
     return fitting.join(_few(accepted), ["context", "value", "kind"]).select("row", "start", "kind", "stop") if count else None
 
 
-def personal_data(docs: DataFrame, carry: list[str], rounds: int = ROUNDS) -> DataFrame:
-    """doc, text, base and spans (start, kind, stop) of every document."""
+def personal_data(docs: DataFrame, carry: list[str], rounds: int | None = None) -> DataFrame:
+    """doc, absent, text, base and spans (start, kind, stop) of every document."""
     found = materialise(base_spans(docs, [*carry]).withColumn("row", F.monotonically_increasing_id()), "pii")
     plain = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["stop"].alias("stop")))
-    result = found.select("row", "doc", "text", "base", plain.alias("spans"))
+    result = found.select("row", "doc", "absent", "text", "base", plain.alias("spans"))
     if (accepted := induced(found, docs, rounds)) is not None:
         more = accepted.groupBy("row").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("more"))
         result = result.join(more, "row", "left").withColumn("spans", F.sort_array(F.concat("spans", F.coalesce("more", F.array().cast("array<struct<start:bigint,kind:int,stop:bigint>>")))))
-    return result.select("doc", "text", "base", "spans")
+    return result.select("doc", "absent", "text", "base", "spans")
 
 
 def listed(spans: Column) -> Column:
@@ -287,8 +301,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     def finish(state: Column) -> Column:
         return F.concat(F.array_join(state["out"], ""), F.substring(F.col("text"), (state["at"] + 1).cast("int"), F.length("text")))
 
-    others = [c for c in docs.columns if c != "text"]
-    found = personal_data(docs.withColumn("__no_text", F.col("text").isNull()), [*others, "__no_text"])
-    clean = F.when(F.col("doc.__no_text"), F.lit(None).cast("string")).when(F.size("spans") > 0, F.aggregate("spans", start, step, finish)).otherwise(F.col("text"))
+    found = personal_data(docs, [c for c in docs.columns if c != "text"])
+    clean = F.when(F.col("absent"), F.lit(None).cast("string")).when(F.size("spans") > 0, F.aggregate("spans", start, step, finish)).otherwise(F.col("text"))
     rows = found.select("doc", clean.alias("clean"))
     return rows.select(*[F.col("clean").alias(c) if c == "text" else F.coalesce(F.length("clean").cast("long"), F.col("doc")[c]).alias(c) if c == "n_chars" else F.col("doc")[c].alias(c) for c in docs.columns])

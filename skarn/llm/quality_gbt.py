@@ -6,7 +6,8 @@ documents goes through all of them at once in numpy. The model (some kilobytes)
 
 Defined cases: a null text is an empty text; an empty text has statistics of zeros and is scored; without any labelled
 document, or with one class only, every score is the share of that class (0.5 without labels); repeated documents are each
-scored; doc_id is only used to tell the held-out fold; other columns are ignored; an empty table gives an empty result.
+scored, all alike; a text of any length is measured whole; equal gains of splits go to the first statistic and limit; doc_id is
+only used to tell the held-out fold; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_remainder
+from .common import doc_remainder, hands_back, small_batches
 from .training import SAMPLE, labelled_sample
 
 FOLDS = 5
@@ -137,6 +138,7 @@ class Boosted:
         return 1 / (1 + np.exp(-(self.start + self.value[at].sum(axis=1))))
 
 
+@hands_back
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield pd.DataFrame({"label": batch.label, "x": [statistics(t) for t in batch.text]})
@@ -154,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Boosted:
 def scores(docs: DataFrame, model: Boosted) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
 
+    @hands_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.array([statistics(t) for t in batch.text], dtype=float).reshape(-1, len(STATISTICS))
@@ -164,4 +167,5 @@ def scores(docs: DataFrame, model: Boosted) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return scores(docs, fit(docs, labels))

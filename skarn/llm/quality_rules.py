@@ -8,8 +8,9 @@ For each rule it holds the chance of a good vote among its votes on good and on
 of junk is not taken to clear all others.
 
 Defined cases: a null text has no words; a text without words gets no vote and fails the base rules; repeated documents count
-and are judged each; other columns are carried only inside the column `doc` when asked for, so names cannot clash; an empty
-table gives an empty result.
+and are judged each; a text of any length is measured whole, in one row; a posterior of just the limit is kept; other columns are
+carried only inside the column `doc` when asked for, so names cannot clash, whatever dots are in them; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise
+from .common import SPACE, materialise, quoted
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -56,7 +57,7 @@ def statistics(docs: DataFrame, carry: list[str]) -> DataFrame:
     they are computed once a row.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    step = docs.select(F.struct(*[F.col(c) for c in carry]).alias("doc"), text.alias("text"))
+    step = docs.select(F.struct(*[quoted(c).alias(c) for c in carry]).alias("doc"), text.alias("text"))
     step = step.select("doc", "text", F.array_remove(F.split("text", SPACE), "").alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)).alias("lines"))
     at = lambda k: F.get("words", k)
     window = lambda i: F.struct(F.xxhash64(at(i), at(i + 1), at(i + 2)).alias("h"), i.alias("i"))

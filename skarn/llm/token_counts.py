@@ -1,8 +1,8 @@
 """Token counts by a two-tier table of pre-token lengths, without any shuffle.
 
 The first tier is a broadcast table: how many tokens each of the most frequent pre-tokens has. It is taken from the
-SAMPLE_DOCS documents whose ids have the smallest hashes and holds at most FREQUENT words of at most FREQUENT_BYTES bytes each, whatever the corpus; what it
-lacks costs time, never a wrong count. The second tier is each worker's own cache: pre-tokens met for the first time are
+SAMPLE_DOCS documents whose ids have the smallest hashes, whose words are counted in tasks (their texts stay there), and holds
+at most FREQUENT words of at most FREQUENT_BYTES bytes each, whatever the corpus; what it lacks costs time, never a wrong count. The second tier is each worker's own cache: pre-tokens met for the first time are
 encoded together, a batch at a time, and kept until the cache has CACHE words, when it starts anew.
 
 Defined cases: a null text is empty; empty texts have 0 tokens; strings of special tokens inside texts count as the library
@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import hands_back, small_batches
+
 FREQUENT = 1 << 16
 FREQUENT_BYTES = 64
 SAMPLE_DOCS = 1_000
@@ -91,13 +93,20 @@ def special_pattern(coder: Tokenizer):
 
 def frequent_lengths(docs: DataFrame, definition: str, pattern: str, sample_docs: int = SAMPLE_DOCS, size: int = FREQUENT) -> dict[str, int]:
     """The first tier, from the documents with the smallest hashes of their ids: from all of the corpus, in whatever order it lies."""
-    find, seen = regex.compile(pattern).findall, Counter()
+    @hands_back
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = regex.compile(pattern).findall
+        for batch in batches:
+            seen = Counter(w for text in batch.text for w in find(text) if len(w.encode()) <= FREQUENT_BYTES)
+            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+
+    small_batches(docs.sparkSession)
     hashed = F.xxhash64(F.col("doc_id").cast("string"))
     least = docs.select(hashed.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    for (text,) in docs.where(hashed <= F.lit(least).cast("long")).select(F.col("text").cast("string")).take(sample_docs):
-        seen.update(w for w in find(text or "") if len(w.encode()) <= FREQUENT_BYTES)
+    sample = docs.where(hashed <= F.lit(least).cast("long")).select(F.col("text").cast("string").alias("text")).where("text is not null")
+    seen = sample.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
     lengths = Lengths(load_tokenizer(definition), {}, limit=1 << 62)
-    lengths.learn({w for w, _ in seen.most_common(size)})
+    lengths.learn({r["word"] for r in seen.collect()})
     return dict(lengths)
 
 
@@ -110,6 +119,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, pattern: str, limit: int
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((definition, frequent_lengths(docs, definition, pattern)))
 
+    @hands_back
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         definition, frequent = held.value
         coder, find = load_tokenizer(definition), regex.compile(pattern).findall

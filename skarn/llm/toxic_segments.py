@@ -8,12 +8,14 @@ table; all other words have a small negative score. A linear-time scan (Ruzzo an
 documents without the label follow an extreme-value law, E = K n exp(-lambda s), whose parameters are taken from the sample; a
 document's evidence is the sum of -ln E over its significant segments, and a logistic curve turns it into a probability.
 
-Tokens are counted in tasks before they are summed; the table is bounded by TOKENS, the curve is fitted on the evidence of a
-bounded sample of labelled documents. Scoring has no shuffle.
+Tokens are counted in tasks before they are summed. Significance decides what goes into the table; TOKENS bounds it for the
+broadcast, the most significant first (a sample of SAMPLE documents had far fewer significant tokens on all tables tried, see
+README). The curve is fitted on the evidence of a bounded sample of labelled documents: two numbers each. Scoring has no shuffle.
 
 Defined cases: a null text is an empty text; texts without words have no segment and the curve's lowest score; without any
 labelled document, or with one class only, every score is the share of that class (0 without labels); repeated documents are
-each scored; doc_id is only used to tell the held-out fold; other columns are ignored; an empty table gives an empty result.
+each scored; a text of any length is scanned whole; equally significant tokens are ordered by name; doc_id is only used to tell
+the held-out fold; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_remainder
+from .common import discard, doc_remainder, hands_back, materialise, small_batches
 from .cpsjoin import SHINGLE, WordHashes, shingles
 from .training import SAMPLE, labelled_sample
 
@@ -113,6 +115,7 @@ class Model:
         return 1 / (1 + np.exp(-(self.base + self.slope * np.log1p(evidence))))
 
 
+@hands_back
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     found = (Counter(), Counter())
     for batch in batches:
@@ -123,6 +126,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"token": list(counts), "label": label, "n": list(counts.values())})
 
 
+@hands_back
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = WordHashes()
     for batch in batches:
@@ -150,6 +154,7 @@ def token_table(sample: DataFrame, size: int = TOKENS) -> dict[str, float]:
 
 
 def _scan(held):
+    @hands_back
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scores = Scores(held.value)
         for batch in batches:
@@ -167,20 +172,23 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     sample = labelled_sample(docs, labels, "toxic", doc_remainder(FOLDS) != HELD_OUT, size).select("label", "text").dropDuplicates()
     table = token_table(sample)
     held = docs.sparkSession.sparkContext.broadcast(table)
-    rows = sample.mapInPandas(_scan(held), "label int, n long, found array<double>").toPandas()
-    model, y = Model(table), rows.label.to_numpy(dtype=float)
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
+    rows = materialise(sample.mapInPandas(_scan(held), "label int, n long, found array<double>"), "segments")
+    model, n, positive = Model(table), *rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if positive in (0, n):
+        share = positive / n if n else 0.0
         return Model({}, base=float(np.log((share + 1e-6) / (1 - share + 1e-6))), slope=0.0)
-    plain = rows[rows.label == 0]
-    scores = np.sort(np.concatenate([np.asarray(f, dtype=float) for f in plain.found] + [np.zeros(0)]))
-    if len(scores) >= 10:
-        least = float(np.quantile(scores, 0.5))
-        tail = scores[scores >= least]
-        model.scale = 1 / max(float((tail - least).mean()), 1e-2)
-        model.rate = (len(tail) + 1) * float(np.exp(min(model.scale * least, 50))) / max(int(plain.n.sum()), 1)
-    evidence = np.array([model.evidence([(0, 0, s) for s in f], n) for f, n in zip(rows.found, rows.n, strict=True)])
-    model.base, model.slope = _curve(np.log1p(evidence), y)
+    plain = rows.where("label = 0")
+    scores = plain.select(F.explode("found").alias("s"))
+    least, many = scores.agg(F.percentile("s", 0.5), F.count("*")).first()
+    if many >= 10:
+        tail, mean = scores.where(F.col("s") >= least).agg(F.count("*"), F.avg(F.col("s") - least)).first()
+        model.scale = 1 / max(mean, 1e-2)
+        model.rate = (tail + 1) * float(np.exp(min(model.scale * least, 50))) / max(plain.agg(F.sum("n")).first()[0], 1)
+    surprise = lambda s: model.scale * s - F.log(model.rate * F.greatest("n", F.lit(1)))
+    evidence = F.aggregate(F.transform("found", lambda s: F.greatest(surprise(s), F.lit(0.0))), F.lit(0.0), lambda t, s: t + s)
+    points = rows.select("label", evidence.alias("evidence")).orderBy("evidence", "label").toPandas()
+    discard(rows)
+    model.base, model.slope = _curve(np.log1p(points.evidence.to_numpy(dtype=float)), points.label.to_numpy(dtype=float))
     return model
 
 
@@ -205,6 +213,7 @@ def passages(docs: DataFrame, model: Model, significant: float = SIGNIFICANT) ->
     """doc_id, score and the significant passages (word offsets; surprise is -ln E) of every document."""
     held = docs.sparkSession.sparkContext.broadcast(vars(model))
 
+    @hands_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(**held.value)
         scores = Scores(model.table)
@@ -224,5 +233,6 @@ def passages(docs: DataFrame, model: Model, significant: float = SIGNIFICANT) ->
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and passages of every document."""
+    small_batches(docs.sparkSession)
     found = passages(docs, fit(docs, labels))
     return found.select("doc_id", F.coalesce(doc_remainder(FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "passages")

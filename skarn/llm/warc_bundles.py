@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hands_back, materialise, small_batches
 
 #: Fixed values of the seekable Zstandard format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -159,6 +159,7 @@ def _bundle_row(writer: BundleWriter, name: str) -> pd.DataFrame:
     return pd.DataFrame({"bundle": [name], "data": [data], "n_records": [len(ids)], "record_ids": [ids], "frames": [frames], "offsets": [offsets], "lengths": [lengths]})
 
 
+@hands_back
 def _write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     part, count, writer = TaskContext.get().partitionId(), 0, BundleWriter()
     for batch in batches:
@@ -174,10 +175,12 @@ def _write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def write_bundles(pages: DataFrame, min_bytes: int = REVISIT_MIN_BYTES) -> DataFrame:
     """Bundles of all pages: bundle, data, n_records and the index columns."""
+    small_batches(pages.sparkSession)
     rows = classified(pages, min_bytes).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     return rows.mapInPandas(_write, BUNDLES)
 
 
+@hands_back
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples(index=False):

@@ -5,11 +5,14 @@ and each document becomes the row of its words' places in that list, which fixes
 words travel, sorted into buckets by hash: the task of a bucket meets a word from all blocks and encodes it once. The ids go
 back to their block, where each document is put together by position; the blocks lie in a table in buckets, so they stay. Decoding looks every id up in the token-byte table.
 
-A frequent word thus travels once for each block, however many documents hold it, so no key is hot; tasks hold one block or
-one bucket. The blocks are written to the shared folder once, as the later steps read them twice.
+A frequent word thus travels once for each block, however many documents hold it, so no key is hot; tasks hold one block, or the
+words that one block has in a bucket beside the ids of at most KNOWN words met before. A bucket with more distinct words than
+that begins its list anew, which costs time and changes nothing. The blocks are written to the shared folder once, as the later
+steps read them twice. Decoding joins ids with the token-byte table on the map side: the table is the vocabulary, whose size is
+checked before it is sent to all executors, so no id is ever shuffled.
 
 Defined cases: a null text is empty and has no ids; repeated documents are each encoded; other columns are ignored; an empty
-table gives an empty result; a text longer than a block is a block of its own.
+table gives an empty result; a text longer than a block is a block of its own; ties do not arise, as a word has one place.
 """
 
 from __future__ import annotations
@@ -28,9 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise_by
+from .common import hands_back, materialise_by, small_batches
 
 BLOCK_CHARS = 10 << 20
+#: So many words keep their ids in the task of a bucket.
+KNOWN = 100_000
 #: The vocabulary goes to all executors: beyond this it is not one.
 MAX_VOCABULARY_BYTES = 64 << 20
 BLOCKS = "block string, row long, doc_id long, places binary, bucket int, members binary, words binary"
@@ -78,6 +83,7 @@ class Places(dict):
 
 
 def _cut(pattern: str, buckets: int, block_chars: int):
+    @hands_back
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find, part = regex.compile(pattern).findall, TaskContext.get().partitionId()
         count, places, rows, size, at = 0, Places(), [], 0, 0
@@ -113,7 +119,8 @@ def _cut(pattern: str, buckets: int, block_chars: int):
     return cut
 
 
-def _encode_words(held, pattern: str):
+def _encode_words(held, pattern: str, most: int):
+    @hands_back
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=held.value, special_tokens={})
         known: dict[bytes, list[int]] = {}
@@ -123,6 +130,8 @@ def _encode_words(held, pattern: str):
                 ids = []
                 for word in unpack_words(words):
                     if (own := known.get(word)) is None:
+                        if len(known) >= most:
+                            known.clear()
                         known[word] = own = coder.encode_ordinary(word.decode())
                     ids.append(own)
                 out.append((block, bucket, pack(np.array(list(map(len, ids)))), pack(np.array([i for own in ids for i in own], dtype=np.int64))))
@@ -164,12 +173,13 @@ def _decoded(rows: list[np.ndarray], tokens: dict[int, bytes]) -> list[bytes]:
 def _blocks(docs: DataFrame, vocabulary: str, pattern: str, block_chars: int):
     """The documents' places and the encoded words, both by block."""
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = spark.sparkContext.broadcast(load_ranks(vocabulary))
     texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = materialise_by(texts.mapInPandas(_cut(pattern, buckets, block_chars), BLOCKS), "bpe", "block")
     words = blocks.where("bucket is not null").select("block", "bucket", "words")
-    ids = words.repartitionById(buckets, F.col("bucket")).mapInPandas(_encode_words(held, pattern), "block string, bucket int, counts binary, ids binary")
+    ids = words.repartitionById(buckets, F.col("bucket")).mapInPandas(_encode_words(held, pattern, KNOWN), "block string, bucket int, counts binary, ids binary")
     return blocks.select("block", F.col("doc_id").cast("string").alias("doc_id"), "places", "bucket", "members").groupBy("block").cogroup(ids.groupBy("block"))
 
 
@@ -185,7 +195,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, block_chars: int = BL
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """encoded with the column decoded (binary): the bytes of its ids by the token-byte table."""
     tokens = _token_bytes(encoded.sparkSession, vocabulary)
+    small_batches(encoded.sparkSession)
 
+    @hands_back
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.assign(decoded=_decoded(list(batch.ids), tokens.value)).astype({"doc_id": "Int64"})

@@ -22,7 +22,8 @@ driver; tables sent to all executors are counted first, and joined by shuffle be
 
 Defined cases: null texts and texts without words have an empty set and stand alone; fewer words than a shingle are one
 shingle; repeated documents are one class; rows that share a doc_id are rows of their own; a group's id is its smallest
-doc_id that is not null; other columns are ignored; an empty table gives an empty result.
+doc_id that is not null, so ties are decided by id; texts of any length are compared whole; other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_shuffles, materialise, spread
+from .common import discard, free_shuffles, hands_back, materialise, small_batches, spread
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -51,6 +52,8 @@ SKETCH_BITS = 20
 MIN_EQUAL = 35
 BROADCAST_ROWS = 500_000
 WORDS = 200_000
+#: Shingles of texts that a task keeps at hand while it compares them.
+HELD_SHINGLES = 400_000
 #: Files of a table that is small enough to be sent to all executors.
 FEW_FILES = 8
 SETS = "doc_id long, n_shingles long, cid binary, sketch long, minwise array<int>, packed binary"
@@ -102,6 +105,7 @@ def sketch_of(signature: np.ndarray) -> int:
 
 
 def _sets(size: int):
+    @hands_back
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, press = WordHashes(), zstandard.ZstdCompressor(level=3)
         for batch in batches:
@@ -120,6 +124,7 @@ def _sets(size: int):
 
 
 def _similar(size: int, percent: int):
+    @hands_back
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, open_, held, room = WordHashes(), zstandard.ZstdDecompressor(), OrderedDict(), 0
 
@@ -130,7 +135,7 @@ def _similar(size: int, percent: int):
                 return held[cid]
             held[cid] = own = shingles(open_.decompress(packed), size, hashes)
             room += len(own)
-            while room > 2_000_000 and len(held) > 2:
+            while room > HELD_SHINGLES and len(held) > 2:
                 room -= len(held.popitem(last=False)[1])
             return own
 
@@ -256,6 +261,7 @@ def _close(x, y) -> F.Column:
 
 
 def _node_links(size: int, percent: int):
+    @hands_back
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, open_ = WordHashes(), zstandard.ZstdDecompressor()
 
@@ -277,7 +283,7 @@ def _node_links(size: int, percent: int):
                 if k not in own:
                     own[k] = frozenset(shingles(open_.decompress(bytes(rows[k].packed)), size, hashes).tolist())
                     room += len(own[k])
-                    while room > 1_000_000 and len(own) > 2:
+                    while room > HELD_SHINGLES and len(own) > 2:
                         room -= len(own.popitem(last=False)[1])
                 else:
                     own.move_to_end(k)
@@ -354,6 +360,7 @@ def _children(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = materialise(texts.mapInPandas(_sets(shingle), SETS), "sets")
     groups = Groups(sets, shingle, round(100 * similarity))

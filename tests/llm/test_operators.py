@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -56,6 +57,18 @@ def test_pages_as_their_template_says(spark):
         assert found[r["page_id"]] == "\n".join(" ".join(x) for x in parts if x)
 
 
+def test_long_and_odd_pages(spark):
+    """Time grows with a page's length, and columns that clash or have dots are ignored."""
+    tree = html_extract.trained()
+    words = "long words here and more of them " * 9
+    start = time.perf_counter()
+    pages = [f"<p>{words}" + "<br>" * 200_000 + "end</p>", "<p><table>" + "<div>a" * 30_000, "<ul><li>" + "<b>" * 30_000 + "<li>x" * 3, "<h1>" * 30_000 + "</p>" * 30_000, '<a "' * 50_000, "<!--" * 50_000]
+    assert html_extract.main_texts(pages[:1], tree) == [words + "end"] and len(html_extract.main_texts(pages, tree)) == 6
+    assert time.perf_counter() - start < 20
+    rows = spark.createDataFrame([(1, "u", f"<p>{words}", "x", 5, "y"), (1, None, None, "x", 5, "y")], "page_id long, url string, html string, text string, n_chars int, `a.b` string")
+    assert sorted((r["n_chars"], r["text"]) for r in html_extract.extract(rows).collect()) == [(0, ""), (len(words) - 1, words.strip())]
+
+
 # quality rules
 
 
@@ -96,6 +109,20 @@ def test_estimates_follow_agreement(spark):
     assert abs(good - bad) < 0.35
 
 
+def test_estimates_by_force(spark):
+    draw, n = random.Random(5), len(quality_rules.RULES)
+    rows = [tuple(draw.choice([1, 1, 1, 0, -1]) if k % 3 else draw.choice([1, 0]) for k in range(n)) for _ in range(60)] * 2
+    model = quality_rules.fit(spark.createDataFrame([(list(r),) for r in rows], "votes array<int>"))
+    prior, good, bad = 0.8, [quality_rules.FIRST_GOOD] * n, [quality_rules.FIRST_BAD] * n
+    for _ in range(quality_rules.ITERATIONS):
+        odds = [np.log(prior / (1 - prior)) + sum({1: np.log(g / b), -1: np.log((1 - g) / (1 - b)), 0: 0.0}[v] for v, g, b in zip(r, good, bad, strict=True)) for r in rows]
+        p = [1 / (1 + np.exp(-x)) for x in odds]
+        prior = (sum(p) + 0.8) / (len(rows) + 1)
+        share = lambda w, j, first: (sum(x for x, r in zip(w, rows, strict=True) if r[j] == 1) + quality_rules.PRIOR_WEIGHT * first) / (sum(x for x, r in zip(w, rows, strict=True) if r[j]) + quality_rules.PRIOR_WEIGHT)
+        good, bad = [share(p, j, quality_rules.FIRST_GOOD) for j in range(n)], [share([1 - x for x in p], j, quality_rules.FIRST_BAD) for j in range(n)]
+    assert model["prior"] == pytest.approx(prior) and list(model["rules"].values()) == [pytest.approx(x) for x in zip(good, bad, strict=True)]
+
+
 # classifiers
 
 
@@ -131,6 +158,73 @@ def test_trees_scored_at_once_are_the_trees():
     assert np.allclose(model.score(x[:50]), [walk(r) for r in x[:50]]) and ((model.score(x) > 0.5) == y).mean() > 0.97
 
 
+def test_first_tree_by_force():
+    """Every split of it gains most among all cuts, and every leaf has the step of its rows."""
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(400, 5))
+    y = (x[:, 1] + x[:, 3] ** 2 + 0.3 * draw.normal(size=400) > 1).astype(float)
+    model = quality_gbt.Boosted.train(x, y)
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality_gbt.BINS + 1)[1:-1])) for f in range(5)]
+    g, h = y - y.mean(), np.full(400, y.mean() * (1 - y.mean()))
+    part = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + quality_gbt.SMOOTH)
+
+    def check(k, rows, depth):
+        gains = {}
+        for f in range(5):
+            for c in cuts[f]:
+                low = rows[x[rows, f] <= c]
+                if quality_gbt.MIN_LEAF <= len(low) <= len(rows) - quality_gbt.MIN_LEAF:
+                    gains[(f, c)] = part(low) + part(rows[x[rows, f] > c]) - part(rows)
+        most = max(gains.values(), default=0.0)
+        if model.left[k] == k:
+            assert depth == quality_gbt.LEAVES_DEPTH or len(rows) < 2 * quality_gbt.MIN_LEAF or most <= 1e-6
+            assert model.value[k] == pytest.approx(quality_gbt.RATE * g[rows].sum() / (h[rows].sum() + quality_gbt.SMOOTH))
+            return 1
+        assert gains[(model.feature[k], model.limit[k])] == pytest.approx(most)
+        low = x[rows, model.feature[k]] <= model.limit[k]
+        return check(model.left[k], rows[low], depth + 1) + check(model.right[k], rows[~low], depth + 1)
+
+    assert check(model.roots[0], np.arange(400), 0) > 4
+
+
+def test_token_table_and_law_by_force(spark):
+    draw = random.Random(8)
+    rows = []
+    for i in range(400):
+        toxic = i % 8 == 0
+        words = [f"w{draw.randrange(300)}" for _ in range(40)] + (["vile", f"scum{draw.choice('abc')}"] if toxic or i % 90 == 1 else [])
+        draw.shuffle(words)
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxic_segments.fit(docs, labels)
+    kept = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    n1 = sum(y for _, y in kept)
+    share, table, counts = n1 / len(kept), {}, {0: Counter(), 1: Counter()}
+    for t, y in kept:
+        counts[y].update({k for w in set(t.split()) for k in [w] + [w[:m] + "*" for m in toxic_segments.BEGINNINGS if len(w) > m]})
+    for token in counts[0] | counts[1]:
+        y1, y0 = counts[1][token], counts[0][token]
+        chance = (y1 + toxic_segments.PRIOR * share) / (y1 + y0 + toxic_segments.PRIOR)
+        ratio = 2 * sum(y * np.log(y / ((y1 + y0) * p)) for y, p in ((y1, share), (y0, 1 - share)) if y)
+        if y1 + y0 >= toxic_segments.MIN_DOCS and chance > share and np.sqrt(max(ratio, 0)) >= toxic_segments.MIN_ROOT:
+            table[token] = np.log(chance / (1 - chance)) - np.log(share / (1 - share))
+    assert model.table == pytest.approx(table) and {"vile", "scum*"} <= set(table)
+    score = lambda w: next((table[k] for k in toxic_segments.tokens_of(w) if k in table), toxic_segments.DRIFT)
+    found = [(y, len(t.split()), [s for _, _, s in toxic_segments.segments(np.array([score(w) for w in t.split()]))]) for t, y in kept]
+    plain = sorted(s for y, _, f in found if not y for s in f)
+    if len(plain) >= 10:
+        least = float(np.quantile(plain, 0.5))
+        tail = [s for s in plain if s >= least]
+        scale = 1 / max(np.mean(tail) - least, 1e-2)
+        assert model.scale == pytest.approx(scale) and model.rate == pytest.approx((len(tail) + 1) * np.exp(min(scale * least, 50)) / sum(n for y, n, _ in found if not y))
+    evidence = np.array([model.evidence([(0, 0, s) for s in f], n) for _, n, f in found])
+    y = np.array([y for y, _, _ in found], dtype=float)
+    # at the curve's best place the slopes of the penalised likelihood are nothing
+    p = model.chance(evidence)
+    assert abs((y - p).sum() - 0.01 * model.base) < 1e-3 and abs(((y - p) * np.log1p(evidence)).sum() - 0.01 * model.slope) < 1e-3
+
+
 def test_folds_and_empty_texts(spark, documents):
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, 1), (None, 1, 1), (10, None, None), (11, 1, 0)], "doc_id long, quality int, toxic int")
     for run, modulus, held in ((quality_gbt.classify, 5, 0), (toxic_segments.classify, 4, 2)):
@@ -153,8 +247,14 @@ def test_maximal_segments(scores):
         top = max(pairs, default=(0,))
         return [] if top[0] <= 0 else best(a, top[3]) + [(top[3], top[4], float(top[0]))] + best(top[4], b)
 
-    assert sum(s for _, _, s in found) == pytest.approx(sum(s for _, _, s in best(0, len(scores))))
+    wanted = best(0, len(scores))
+    assert sum(s for _, _, s in found) == pytest.approx(sum(s for _, _, s in wanted))
     assert all(b <= c for (_, b, _), (c, _, _) in zip(found, found[1:], strict=False))
+    # the borders: by definition every proper part of a segment scores less, and no longer stretch around it has that property
+    sums = np.concatenate([[0], np.cumsum(scores)])
+    minimal = lambda a, b: all(sums[j] - sums[i] < sums[b] - sums[a] for i in range(a, b) for j in range(i + 1, b + 1) if (i, j) != (a, b))
+    good = [(a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1) if sums[b] > sums[a] and minimal(a, b)]
+    assert [(a, b) for a, b, _ in found] == sorted((a, b) for a, b in good if not any((c, d) != (a, b) and c <= a and b <= d for c, d in good))
 
 
 # near-duplicates
@@ -365,16 +465,99 @@ def test_contexts_find_unseen_forms(spark, documents):
     assert [found[i] for i in (200, 201, 202, 203)] == [""] * 4
 
 
-def test_accepted_values_make_patterns(spark, documents):
-    """A context with no seed at all becomes a pattern by values that were accepted in the round before."""
+def planted_contexts():
+    """Cards behind a context that seeds make a pattern, and behind one that only accepted values do."""
     cards = [d for i in range(200) if luhn(d := str(4_000_000_000_000_000 + i * 7919))][:12]
     other = [d for i in range(200) if not luhn(d := str(5_000_000_000_000_000 + i * 7919))][:7]
-    rows = [(i, f"my card number {d} is lost") for i, d in enumerate(cards)]
-    rows += [(100 + i, f"my card number {d} is lost") for i, d in enumerate(other[:6])] + [(200 + i, f"then charged to {d} again") for i, d in enumerate(other)]
+    rows = [(10_000_000 + i, f"my card number {d} is lost") for i, d in enumerate(cards)]
+    return rows + [(10_000_100 + i, f"my card number {d} is lost") for i, d in enumerate(other[:6])] + [(10_000_200 + i, f"then charged to {d} again") for i, d in enumerate(other)]
+
+
+def test_accepted_values_make_patterns(spark, documents):
+    """A context with no seed at all becomes a pattern by values that were accepted in the round before."""
+    rows = [(i - 10_000_000, t) for i, t in planted_contexts()]
     found = {r["doc_id"]: r["spans"] for r in pii_bootstrap.report(documents(rows)).collect()}
     assert found[100] == "card:15:31" and all(found[200 + i] == "card:16:32" for i in range(7))
 
 
+def accepted_by_force(rows):
+    """What the graph of patterns and values accepts: (row, start, kind, stop), from each row's text, seeds and others."""
+    digits = lambda v: re.sub("[^0-9]", "", v)
+    layout = lambda v: re.sub("[^9]+", " ", re.sub("[0-9]", "9", v)).strip()
+    at = re.compile(pii_bootstrap.ADDRESSES)
+
+    def shapes(v):
+        if at.search(v):
+            return ["@"]
+        dotted = re.sub("[0-9]+", "9", v.replace(" ", ""))
+        return [dotted if dotted == "9.9.9.9" else layout(v), f"#{len(digits(v))}"]
+
+    def allowed(kind, v):
+        n, groups = len(digits(v)), layout(v).split(" ")
+        if kind == 0:
+            return {"@"}
+        if kind == 1:
+            return {"9.9.9.9"}
+        if kind == 2:
+            return {layout(v), f"#{n}"}
+        least = max(pii_bootstrap.PHONE_DIGITS, n - pii_bootstrap.LEFT_OUT)
+        return {" ".join(groups[k:]) for k in range(len(groups)) if len("".join(groups[k:])) >= least} | {f"#{k}" for k in range(least, n + 1)}
+
+    known = {(s["kind"], s["value"]) for r in rows for s in r["seeds"]}
+    votes = Counter((kind, shape) for kind, v in known for shape in allowed(kind, v))
+    fits = {}  # (row, start, kind): (far, -stop, stop, value, context)
+    for r in rows:
+        for x in r["others"]:
+            for far, shape in enumerate(shapes(x["value"])):
+                for kind in range(4):
+                    if x["context"] and votes[(kind, shape)] >= pii_bootstrap.MIN_SHAPE:
+                        here = (far, -x["stop"], x["stop"], x["value"], x["context"])
+                        fits[(r["row"], x["start"], kind)] = min(fits.get((r["row"], x["start"], kind), here), here)
+    words = [[w for w in re.split(r"[\x20\x09-\x0D]+", r["text"].lower()) if w] for r in rows]
+    places = Counter(f"{a} {b}" for w in words for a, b in zip(w, w[1:], strict=False))
+    seen = Counter((s["context"], s["kind"], s["value"]) for r in rows for s in r["seeds"] if s["context"])
+    maybe = Counter((c, kind, v) for (_, _, kind), (_, _, _, v, c) in fits.items())
+    accepted = set()
+    while True:
+        count, values = Counter(), {}
+        for source, test in ((seen, lambda k, v: True), (maybe, lambda k, v: (k, v) in {(a, b) for _, a, b in accepted})):
+            for (c, k, v), n in source.items():
+                if test(k, v):
+                    count[(c, k)] += n
+                    values.setdefault((c, k), set()).add(v)
+        sure = {key: (n / places[key[0]], len(values[key])) for key, n in count.items() if len(values[key]) >= pii_bootstrap.MIN_VALUES and n / places[key[0]] >= pii_bootstrap.MIN_CONFIDENCE}
+        score = Counter()
+        for c, k, v in maybe:
+            if (c, k) in sure:
+                score[(k, v)] += sure[(c, k)][0] * np.log(sure[(c, k)][1] + 1)
+        now = {(c, k, v) for c, k, v in maybe if (c, k) in sure and score[(k, v)] >= pii_bootstrap.MIN_SCORE}
+        if now == accepted:
+            return {(row, start, kind, stop) for (row, start, kind), (_, _, stop, v, c) in fits.items() if (c, kind, v) in accepted}
+        accepted = now
+
+
+def test_graph_of_contexts_by_force(spark):
+    draw = random.Random(9)
+    rows = planted_contexts()
+    for i in range(600):
+        plus, bare = f"+1 555 {draw.randrange(200, 230)} {draw.randrange(1000, 1030)}", f"555 {draw.randrange(200, 230)} {draw.randrange(1000, 1030)}"
+        code, ip, mail = str(draw.randrange(10**15, 10**15 + 40)), f"{draw.randrange(300)}.1.1.{draw.randrange(9)}", f"u{draw.randrange(30)}@host"
+        kind, value = draw.choice([("phone at", plus), ("phone at", plus), ("phone at", bare), ("ring me", bare), ("ring me", code), ("room number", draw.choice([bare, code])), ("the server", ip), ("write to", mail + ".de"), ("write to", mail)])
+        rows.append((i, f"so {kind} {value} " * draw.randrange(1, 3) + draw.choice(["", "y" * 90 + " " + "z" * 90 + " call +1 555 222 1001"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii_bootstrap.materialise(pii_bootstrap.base_spans(docs, ["doc_id"]).withColumn("row", F.monotonically_increasing_id()), "pii")
+    wanted = accepted_by_force(found.collect())
+    assert {tuple(r) for r in pii_bootstrap.induced(found, docs).select("row", "start", "kind", "stop").collect()} == wanted and len(wanted) > 13
+
+
+def test_contexts_are_the_two_words_before(spark):
+    """However long these are, and never the rest of a word."""
+    texts = ["a@b.cd", "one a@b.cd", "One  TWO\na@b.cd", f"{'x' * 100} {'Y' * 3000} (a@b.cd", f"p {'q' * 79} a@b.cd", f"{'w' * 30_000} v  a@b.cd", "t " * 50_000 + "a@b.cd"]
+    found = pii_bootstrap.base_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).select("doc.doc_id", "seeds.context").collect()
+    want = {0: "", 1: "", 2: "one two", 3: f"{'x' * 100} {'y' * 3000}", 4: f"p {'q' * 79}", 5: f"{'w' * 30_000} v", 6: "t t"}
+    assert {r["doc_id"]: r["context"][0] for r in found} == want
+
+
 # decontamination
 
 
@@ -395,6 +578,69 @@ def contamination_by_force(docs, items, size=8):
     return out
 
 
+def longest_by_force(words, items):
+    """Most words that stand in both, for each item by name."""
+    out = {}
+    for name, w in items:
+        out[name] = max((k for i in range(len(words)) for j in range(len(w)) for k in [next((m for m in range(min(len(words) - i, len(w) - j)) if words[i + m] != w[j + m]), min(len(words) - i, len(w) - j))]), default=0)
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=40), st.lists(st.integers(0, 3), max_size=20), st.integers(1, 3))
+def test_suffixes_are_sorted_and_searched_in_full(numbers, other, least):
+    numbers, other = np.array([*numbers, 0], dtype=np.int32), np.array([*other, 0], dtype=np.int32)
+    runs = lambda row: [(row[i:j].tolist(), i) for i in range(len(row)) for j in [i + int(np.argmax(row[i:] == 0))] if j > i]
+    own, asked = runs(numbers), runs(other)
+    found = suffix_decontam.Suffixes.sort(numbers, least)
+    assert [numbers[a : a + n].tolist() for a, n in zip(found.starts, found.left, strict=True)] == sorted(s for s, _ in own if len(s) >= least)
+    assert sorted(found.starts) == sorted(i for s, i in own if len(s) >= least)
+    best, where = found.longest(other, np.array([i for _, i in asked], dtype=np.int64), np.array([len(s) for s, _ in asked], dtype=np.int64))
+    common = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+    for (s, _), n, at in zip(asked, best, where, strict=True):
+        assert n == max((common(s, x) for x, _ in own if len(x) >= least), default=0)
+        assert not n or common(s, dict((i, x) for x, i in own)[at]) == n
+
+
+def test_longest_matches_of_items_and_long_texts(spark, documents):
+    """In shards smaller than a text, and with a benchmark in blocks."""
+    draw = random.Random(2)
+    say = lambda n: [draw.choice("abcdefg") for _ in range(n)]
+    items = [(f"{k:02d}", say(draw.randrange(8, 40))) for k in range(10)]
+    texts = [say(draw.randrange(200)) + items[k % 10][1][k : k + 12] + say(5) for k in range(20)] + [say(3000) + items[3][1] + say(30)]
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id string, text string")
+    docs = documents([(i, " ".join(w)) for i, w in enumerate(texts)])
+    for blocks in (suffix_decontam.BLOCK_WORDS, 60):
+        found = {r["item_id"]: r for r in suffix_decontam.item_matches(docs, bench, shard_words=300, block_words=blocks).collect()}
+        by = [longest_by_force(w, items) for w in texts[:20]] + [{n: len(w) if n == "03" else 0 for n, w in items}]
+        for name, words in items:
+            r = found.get(name)
+            least = max(x[name] for x in by)
+            assert r is None and least < 8 or r["words"] >= least
+            if r is not None:
+                a, b = r["item_start"], r["doc_start"]
+                assert words[a : a + r["words"]] == texts[r["doc_id"]][b : b + r["words"]]
+        assert found["03"]["words"] == len(items[3][1])
+        for r in suffix_decontam.find_matches(docs, bench, shard_words=300, block_words=blocks).where("doc_id < 20").collect():
+            most = max(by[r["doc_id"]].values())
+            assert r["longest"] == (most if most >= 8 else 0)
+            if r["longest"]:
+                words, a = dict(items)[r["longest_item"]], r["longest_start"]
+                run = texts[r["doc_id"]][a : a + most]
+                assert any(words[j : j + most] == run for j in range(len(words)))
+
+
+def test_a_benchmark_of_a_million_words(spark, documents):
+    """Some blocks of it, one after the other; every planted passage is found, and nothing else."""
+    draw = random.Random(4)
+    lines = [" ".join(f"w{draw.randrange(5000)}" for _ in range(50)) for _ in range(20_000)]
+    bench = spark.createDataFrame(list(enumerate(lines)), "item_id long, text string")
+    rows = [(i, " ".join(f"w{draw.randrange(5000)}" for _ in range(40)) + (" " + " ".join(lines[97 * i].split()[5:20]) if i % 2 else "")) for i in range(200)]
+    found = suffix_decontam.decontamination_report(documents(rows), bench, block_words=400_000).collect()
+    assert {r["doc_id"] for r in found if r["n_hit"]} == set(range(1, 200, 2)) and len(found) == 200
+    assert all(r["longest_match"] >= 15 and r["longest_match_item"] == str(97 * r["doc_id"]) for r in found if r["n_hit"])
+
+
 @pytest.mark.parametrize("blocks", [suffix_decontam.BLOCK_WORDS, 8])
 def test_hits_by_force(spark, documents, blocks):
     draw = random.Random(5)
@@ -426,9 +672,17 @@ def test_empty_tables(spark, documents, tmp_path):
         assert run(spark, str(tmp_path)).collect() == [], name
 
 
-def test_native_operators_run_no_python(spark):
-    for df in (quality_rules.judged(spark.read.parquet(f"{SMALL}/documents.parquet"), ["doc_id"]), pii_bootstrap.report(spark.read.parquet(f"{SMALL}/documents.parquet"))):
-        assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
+def test_native_operators_run_no_python(spark, documents, monkeypatch):
+    """Nor do the plans of what they write on the way."""
+    plans, plan = [], lambda df: df._jdf.queryExecution().toString()
+    for module in (quality_rules, pii_bootstrap):
+        monkeypatch.setattr(module, "materialise", lambda df, label, real=module.materialise: plans.append((label, plan(df))) or real(df, label))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(planted_contexts(), "doc_id long, text string"))
+    plans += [("judged", plan(quality_rules.judged(docs, ["doc_id"]))), ("report", plan(pii_bootstrap.report(docs))), ("kept", plan(quality_rules.kept_documents(docs))), ("redacted", plan(pii_bootstrap.redacted(docs)))]
+    assert {"votes", "pii", "fitting", "graph", "places", "linked", "patterns", "accepted"} <= {label for label, _ in plans}
+    for label, text in plans:
+        assert not re.search("Python|Pandas|MapInArrow|EvalPython", text), label
+    assert re.search("Pandas", plan(docs.mapInPandas(lambda b: b, docs.schema)))  # what the search would find
 
 
 def test_executors_do_not_need_the_package(tmp_path):
@@ -439,7 +693,7 @@ def test_executors_do_not_need_the_package(tmp_path):
 
     from pyspark import cloudpickle
 
-    (tmp_path / "f").write_bytes(cloudpickle.dumps(lambda texts: suffix_decontam.scan_shard(texts, suffix_decontam.TestSide([], 8))))
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(lambda texts: suffix_decontam.scan_shard(texts, suffix_decontam.TestSide(**suffix_decontam.TestSide.build([], 8)))))
     code = "import pickle, importlib.util as u; assert u.find_spec('skarn') is None; print(pickle.load(open('f', 'rb'))([[1, 2]]))"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)

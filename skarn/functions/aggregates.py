@@ -37,6 +37,15 @@ class Aggregate:
         return cls(given.get("function", given.get("fn")), given.get("column"), given.get("alias"), tuple(Predicate.of(p) for p in where), bool(given.get("distinct")), given.get("order"))
 
 
+def statistics(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
+    """For each group, or all rows: of each column least, greatest, nulls and distinct values (low_c, high_c, nulls_c, distinct_c)."""
+    out = []
+    for c in columns:
+        value = column(df, c)
+        out += [F.min(value).alias(f"low_{c}"), F.max(value).alias(f"high_{c}"), F.count_if(value.isNull()).alias(f"nulls_{c}"), F.count_distinct(value).alias(f"distinct_{c}")]
+    return df.groupBy(*[column(df, k) for k in keys]).agg(*out)
+
+
 def expression(df: DataFrame, a: Aggregate) -> Column:
     if a.fn not in NAMES:
         raise ValueError(f"unknown aggregate: {a.fn}")
@@ -53,6 +62,6 @@ def expression(df: DataFrame, a: Aggregate) -> Column:
     else:
         out = {
             "count": lambda: F.count(c), "countDistinct": lambda: F.count_distinct(c), "sum": lambda: F.coalesce(F.sum(c), F.lit(0)), "sumDistinct": lambda: F.coalesce(F.sum_distinct(c), F.lit(0)), "avg": lambda: F.avg(c), "avgDistinct": lambda: F.sum_distinct(c) / F.count_distinct(c),
-            "min": lambda: F.min(c), "max": lambda: F.max(c), "stddev": lambda: spread(F.stddev_pop), "variance": lambda: spread(F.var_pop), "collect": lambda: F.sort_array(F.collect_list(c)), "percentile": lambda: F.percentile(c, a.share),
+            "min": lambda: F.min(c), "max": lambda: F.max(c), "stddev": lambda: spread(F.stddev_pop), "variance": lambda: spread(F.var_pop), "collect": lambda: F.sort_array(F.collect_set(c) if a.distinct else F.collect_list(c)), "percentile": lambda: F.percentile(c, a.share),
         }[fn]()
     return out.alias(a.name)

@@ -7,14 +7,16 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from datetime import date, datetime
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import BooleanType, DataType, DateType, DoubleType, FloatType, NumericType, StringType, TimestampNTZType, TimestampType
 
-from .paths import column
+from .paths import column, kind_of
 
 #: Spellings of the operators.
 ALIASES = {
@@ -51,8 +53,27 @@ def like_pattern(pattern: str) -> str:
     return r"(?i)\A" + "".join(parts) + r"\z"
 
 
-def condition(c: Column, op: str, value: Any, mode: str = "core", nan: bool = False) -> Column:
-    """Whether the comparison holds: never null. Nulls are ruled out by IS NOT NULL, which scans understand."""
+def check_literal(path: str, kind: DataType, value: Any) -> None:
+    """An error where a literal can never equal a value of the column's type: numbers are no text, and neither is a flag."""
+    if value is None:
+        return
+    texts = isinstance(value, str)
+    times = isinstance(value, (date, datetime))
+    flags = isinstance(value, bool)
+    numbers = isinstance(value, (int, float, Decimal)) and not flags
+    fits = (
+        texts if isinstance(kind, StringType) else numbers if isinstance(kind, NumericType) else flags if isinstance(kind, BooleanType)
+        else times or texts if isinstance(kind, (DateType, TimestampType, TimestampNTZType)) else True
+    )
+    if not fits:
+        raise TypeError(f"{path} is {kind.simpleString()} and cannot be compared with {value!r}")
+
+
+def condition(c: Column, op: str, value: Any, mode: str = "core", nan: bool = False, text: bool = True) -> Column:
+    """Whether the comparison holds: never null. Nulls are ruled out by IS NOT NULL, which scans understand.
+
+    nan: the column has floating numbers; text: it has text, which like needs to hold.
+    """
     yes, no = F.lit(True), F.lit(False)
     sure = lambda x: c.isNotNull() & x
     number = (lambda x: x & ~F.isnan(c)) if nan else (lambda x: x)
@@ -68,17 +89,17 @@ def condition(c: Column, op: str, value: Any, mode: str = "core", nan: bool = Fa
     if op == "between":
         if value is None or len(value) != 2:
             return no
-        if None in value:
+        if any(v is None for v in value):
             return condition(c, "gte", value[0], mode, nan) & condition(c, "lte", value[1], mode, nan)
         return sure(number((c >= value[0]) & (c <= value[1])))
     if op in ("in", "notIn"):
         known = [v for v in value or [] if v is not None]
         holds = sure(c.isin(known)) if known else no
-        if value and None in value:
+        if any(v is None for v in value or ()):
             holds = holds | c.isNull()
         return holds if op == "in" else ~holds
     if op == "like":
-        return sure(c.cast("string").rlike(like_pattern(value))) if isinstance(value, str) else no
+        return sure(c.rlike(like_pattern(value))) if isinstance(value, str) and text else no
     if op == "isNull":
         return c.isNull()
     if op == "isNotNull":
@@ -87,9 +108,17 @@ def condition(c: Column, op: str, value: Any, mode: str = "core", nan: bool = Fa
 
 
 def predicate(df: DataFrame, p: Predicate, mode: str = "core") -> Column:
-    c = column(df, p.column)
-    nan = isinstance(df.select(c).schema[0].dataType, (DoubleType, FloatType))
-    holds = condition(c, ALIASES[p.op], p.value, mode, nan)
+    """A comparison over a table's column, refused while planning where the literal's type can never match."""
+    c, op = column(df, p.column), ALIASES[p.op]
+    kind = kind_of(df.schema, p.column)
+    if op not in ("like", "isNull", "isNotNull"):
+        for value in p.value if isinstance(p.value, (list, tuple)) else [p.value]:
+            check_literal(p.column, kind, value)
+    value = p.value
+    if isinstance(kind, TimestampNTZType) and op != "like":  # a literal of the column's own type reaches the scan
+        one = lambda v: F.lit(v.isoformat() if isinstance(v, (date, datetime)) else v).cast("timestamp_ntz") if v is not None else None
+        value = [one(v) for v in value] if isinstance(value, (list, tuple)) else one(value)
+    holds = condition(c, op, value, mode, isinstance(kind, (DoubleType, FloatType)), isinstance(kind, StringType))
     return ~holds if p.negate else holds
 
 
@@ -103,7 +132,7 @@ def any_of(conditions: list[Column]) -> Column:
 
 def equals(df: DataFrame, fields: dict[str, Any]) -> Column:
     """All fields equal; no fields match every row."""
-    return all_of([condition(column(df, k), "eq", v) for k, v in fields.items()])
+    return all_of([predicate(df, Predicate(k, "eq", v)) for k, v in fields.items()])
 
 
 def range_filter(df: DataFrame, given: dict[str, Any]) -> Column:
@@ -111,7 +140,7 @@ def range_filter(df: DataFrame, given: dict[str, Any]) -> Column:
     out = []
     for field, wanted in given.items():
         tests = wanted.items() if isinstance(wanted, dict) else [("$eq", wanted)]
-        out += [condition(column(df, field), RANGE_DIALECT[op], v, "stream") for op, v in tests]
+        out += [predicate(df, Predicate(field, RANGE_DIALECT[op], v), "stream") for op, v in tests]
     return all_of(out)
 
 

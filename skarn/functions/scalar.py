@@ -46,6 +46,19 @@ def partition_path(names: list[str]) -> Column:
     return F.concat_ws("/", *[F.concat(F.lit(f"{n}="), F.coalesce(F.col(n).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))) for n in names])
 
 
+def parsed_partition_path(path: Column) -> Column:
+    """A map of the partition columns of a path; the default partition's value is null, other parts of the path are left out."""
+    parts = F.filter(F.split(path, "/"), lambda x: x.contains("="))
+    value = lambda x: F.substring(x, F.instr(x, "=") + 1, F.length(x))
+    pair = lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.nullif(F.url_decode(value(x)), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("v"))
+    return F.map_from_entries(F.transform(parts, pair))
+
+
+def shard(c: Column, n: int) -> Column:
+    """A value's shard: the 32-bit hash that Spark deals rows by, so that repartition(n, c) puts the shard's rows together."""
+    return F.pmod(F.hash(c), F.lit(n))
+
+
 def coerce(c: Column, kind: str) -> Column:
     """A string as another type by its longest numeric beginning; null where there is none."""
     s = F.trim(c.cast("string"))

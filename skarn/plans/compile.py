@@ -8,7 +8,8 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import expression
+from ..functions.aggregates import expression as aggregated
+from ..functions.expressions import Expression, expression, used
 from ..functions.paths import column, has_path
 from ..functions.predicates import all_of, predicate
 from .spec import QuerySpec, SortKey
@@ -47,24 +48,39 @@ def projected(df: DataFrame, spec: QuerySpec) -> DataFrame:
     return df.select(*out)
 
 
+def computed(df: DataFrame, made: tuple[tuple[str, Expression], ...]) -> DataFrame:
+    """df with columns that may use those made before them; what needs nothing new is made in one step."""
+    step: dict[str, Column] = {}
+    for name, e in made:
+        if name in step or used(e) & step.keys():
+            df, step = df.withColumns(step), {}
+        step[name] = expression(df, e)
+    return df.withColumns(step) if step else df
+
+
 def run(spec: QuerySpec, df: DataFrame, mode: str = "core") -> DataFrame:
     """The query's result; sort keys may be columns that the projection drops."""
-    df = filtered(df, spec, mode)
+    for name, arguments in spec.hints:
+        df = df.hint(name, *arguments)
+    df = filtered(computed(df, spec.compute), spec, mode)
     if spec.aggregates or spec.group_by:
-        keys, measures = [column(df, k) for k in spec.group_by], [expression(df, a) for a in spec.aggregates]
+        keys, measures = [column(df, k) for k in spec.group_by], [aggregated(df, a) for a in spec.aggregates]
         df = df.groupBy(*keys).agg(*measures) if measures else df.select(*keys).distinct()
         if spec.having:
             df = df.where(all_of([predicate(df, p, mode) for p in spec.having]))
+    df = computed(df, spec.finish)
     if spec.order_by:
         df = df.orderBy(*[ordering(column(df, k.column), k) for k in spec.order_by])
     return projected(paged(df, spec.limit, spec.offset), spec)
 
 
 def page(spec: QuerySpec, df: DataFrame) -> tuple[DataFrame, bool]:
-    """A page and whether more rows follow, found by looking one row ahead."""
-    rows = run(replace(spec, limit=None if spec.limit is None else spec.limit + 1, columns=()), df)
-    more = spec.limit is not None and rows.count() > spec.limit
-    return run(spec, df), more
+    """A page and whether more rows follow, found by looking one row ahead; the page's rows are read once."""
+    if spec.limit is None:
+        return run(spec, df), False
+    rows = run(replace(spec, limit=spec.limit + 1), df)
+    held = rows.collect()  # a page
+    return df.sparkSession.createDataFrame(held[: spec.limit], rows.schema), len(held) > spec.limit
 
 
 def cursor(offset: int) -> str:
@@ -79,10 +95,19 @@ def place(token: str) -> int:
     return int(number)
 
 
-def connection(spec: QuerySpec, df: DataFrame, first: int, after: str | None = None) -> tuple[DataFrame, dict]:
-    """The first rows after a cursor, and whether pages lie before and behind, with the cursors of both ends."""
+def connection(spec: QuerySpec, df: DataFrame, first: int | None = None, after: str | None = None, last: int | None = None, before: str | None = None) -> tuple[DataFrame, dict]:
+    """The first rows after a cursor, or the last ones before one, and whether pages lie before and behind, with the cursors of both ends."""
     if not spec.order_by:
         raise ValueError("paging by cursor needs an order")
+    if (first is None) == (last is None):
+        raise ValueError("either first or last")
     start = place(after) + 1 if after else 0
+    if last is not None:
+        end = place(before) if before else run(replace(spec, limit=None, offset=0), df).count()
+        start, first = max(start, end - last), min(last, max(end - start, 0))
+    elif before:
+        first = min(first, max(place(before) - start, 0))
     rows, more = page(replace(spec, limit=first, offset=start), df)
-    return rows, {"hasNextPage": more, "hasPreviousPage": start > 0, "startCursor": cursor(start), "endCursor": cursor(start + first - 1)}
+    n = rows.count()
+    ends = {"startCursor": cursor(start), "endCursor": cursor(start + n - 1)} if n else {"startCursor": None, "endCursor": None}
+    return rows, {"hasNextPage": more, "hasPreviousPage": start > 0, **ends}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Any
 
 from ..functions.aggregates import Aggregate
+from ..functions.expressions import Expression
 from ..functions.predicates import Predicate
 
 
@@ -19,6 +21,11 @@ class SortKey:
 
 @dataclass(frozen=True)
 class QuerySpec:
+    """compute: columns made before anything else, finish: columns made of the grouped or filtered rows; each may use those before it.
+
+    hints: names and arguments for the planner; as_of: id or time of a versioned table's snapshot.
+    """
+
     table: str
     where: tuple[Predicate, ...] = ()
     group_by: tuple[str, ...] = ()
@@ -31,10 +38,15 @@ class QuerySpec:
     offset: int = 0
     metadata: bool = False
     missing: str = "error"
+    compute: tuple[tuple[str, Expression], ...] = ()
+    finish: tuple[tuple[str, Expression], ...] = ()
+    hints: tuple[tuple[str, tuple], ...] = ()
+    as_of: tuple[str, Any] | None = None
+    timeout: float | None = None
 
     @classmethod
     def of(cls, given: dict) -> QuerySpec:
-        """From a mapping: table, predicates, groupBy, aggregations, orderBy, projection, limit, offset.
+        """From a mapping: table, predicates, groupBy, aggregations, orderBy, projection, limit, offset, compute, finish, snapshotId, asOf.
 
         A predicate on an aggregate's alias restricts groups, not rows.
         """
@@ -47,4 +59,6 @@ class QuerySpec:
         return cls(
             given["table"], tuple(p for p in predicates if p.column not in names), tuple(given.get("groupBy") or ()), aggregates, tuple(p for p in predicates if p.column in names), order,
             tuple(projection.get("columns") or ()), tuple((projection.get("aliases") or {}).items()), given.get("limit"), int(given.get("offset") or 0), bool(projection.get("includeMetadata")), given.get("missing", "error"),
+            tuple((given.get("compute") or {}).items()), tuple((given.get("finish") or {}).items()), tuple((n, tuple(a)) for n, a in (given.get("hints") or {}).items()),
+            ("id", given["snapshotId"]) if given.get("snapshotId") is not None else ("at", given["asOf"]) if given.get("asOf") is not None else None, given.get("timeout"),
         )

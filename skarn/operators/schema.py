@@ -4,24 +4,28 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DataType, DateType, DoubleType, IntegerType, NullType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, DoubleType, IntegerType, MapType, NullType, NumericType, StringType, StructField, StructType
 
+from ..functions.paths import steps
 from .sets import promoted
 
 DATE = re.compile(r"^\d{4}-\d{2}-\d{2}$")
-#: Formats of strings.
+#: Patterns of formats that have one; url and iso-datetime are tested by what can be parsed.
 FORMATS = {
     "email": r"^[^\s@]+@[^\s@]+\.[^\s@]+$",
-    "url": r"^https?://.+",
     "uuid": r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     "iso-date": r"^\d{4}-\d{2}-\d{2}$",
-    "iso-datetime": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}",
 }
+#: Objects and arrays within each other that a document may have.
+MAX_DEPTH = 64
 #: What a type may widen to.
 WIDER = {"int": ("bigint", "double", "float"), "bigint": ("double",), "float": ("double",)}
 
@@ -39,23 +43,64 @@ def value_type(value: Any) -> DataType:
     return DateType() if isinstance(value, str) and DATE.match(value) else StringType()
 
 
-def shred_long(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """One row for each leaf of a JSON object: keys, path (a.b, a[0]), kind and value as text. Empty objects and arrays vanish.
+def has_format(c: Column, name: str) -> Column:
+    """Whether a text has a format: a URL has a scheme and something behind it, a date and time is any that can be parsed."""
+    if name == "url":
+        return c.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s]+$") & (~c.rlike(r"^(?i)(https?|ftp|wss?|file):") | c.rlike(r"^(?i)(?:file:|[a-z]+:/*[^\s/?#]+)"))
+    if name == "iso-datetime":
+        return c.try_cast("timestamp").isNotNull()
+    if name not in FORMATS:
+        raise ValueError(f"unknown format: {name}")
+    return c.rlike(FORMATS[name])
 
-    The JSON is parsed as a variant and walked by a generator level by level in the JVM, so no schema is needed before.
+
+def json_depth(text: Column) -> Column:
+    """How many objects and arrays stand within each other at most, by the brackets outside of strings."""
+    brackets = F.split(F.regexp_replace(F.regexp_replace(text, r'"(?:\\.|[^"\\])*+"', ""), r"[^\[\]{}]+", ""), "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(s: Column, x: Column) -> Column:
+        now = s["now"] + F.when(x.isin("[", "{"), 1).when(x.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(brackets, zero, step, lambda s: s["most"])
+
+
+def shred_long(df: DataFrame, keys: list[str], text: str, columns: list[str] | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """One row for each leaf of a JSON document: keys, path (a.b, a[0]), kind and value as text. Empty objects and arrays vanish.
+
+    With columns, only these paths and what lies below them; nothing else is walked. The deepest document is looked for first;
+    if it is deeper than max_depth, that is an error. Then the JSON is parsed once, as a variant, and every level is one generator
+    through which leaves pass and containers are opened, so each document is walked once, whatever its depth, without a schema.
     """
-    # a lateral join per level would need a bound on depth: variant_explode runs until no level has containers left
-    step = df.select(*keys, F.lit("").alias("path"), F.expr(f"try_parse_json(`{text}`)").alias("v")).where("v is not null")
-    out, names = None, ", ".join(f"`{k}`" for k in keys)
-    for depth in range(8):
-        view = f"__shred_{id(df)}_{depth}"
+    given = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").cast("string").alias("__text"))
+    deepest = given.where(F.expr("try_parse_json(__text) is not null")).agg(F.max(json_depth(F.col("__text")))).first()[0] or 0
+    if deepest > max_depth:
+        raise ValueError(f"documents are {deepest} levels deep, more than {max_depth}")
+    names = ", ".join(f"`{k}`" for k in keys)
+    step = given.select(*[F.col(f"`{k}`") for k in keys], F.lit("").alias("path"), F.expr("try_parse_json(__text)").alias("v")).where("v is not null")
+    step = step.withColumn("kind", F.expr("schema_of_variant(v)"))
+    container = "(kind like 'OBJECT%' or kind like 'ARRAY%')"
+    path = f"case when not {container} then path when t.key is not null then if(path = '', t.key, concat(path, '.', t.key)) else concat(path, '[', t.pos, ']') end"
+    for _ in range(deepest):
+        view = f"__shred_{uuid.uuid4().hex}"
         step.createOrReplaceTempView(view)
-        step = df.sparkSession.sql(f"select {names}, case when t.key is not null then if(path = '', t.key, concat(path, '.', t.key)) else concat(path, '[', t.pos, ']') end as path, t.value as v from {view}, lateral variant_explode(v) t")
-        kind = F.expr("schema_of_variant(v)")
-        leaf = step.where(~(kind.startswith("OBJECT") | kind.startswith("ARRAY"))).select(*keys, "path", F.lower(kind).alias("kind"), F.expr("try_variant_get(v, '$', 'string')").alias("value"))
-        out = leaf if out is None else out.unionByName(leaf)
-        step = step.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-    return out
+        step = df.sparkSession.sql(
+            f"select {names}, {path} as path, if({container}, t.value, v) as v, {container} as opened, t.pos is null as bare"
+            f" from {view}, lateral variant_explode_outer(if({container}, v, null)) t"
+        )
+        df.sparkSession.catalog.dropTempView(view)
+        step = step.where("not (opened and bare)").drop("opened", "bare")
+        if columns is not None:
+            ways = [F.col("path").isin(columns)]
+            ways += [(F.col("path") == "") | F.lit(c).startswith(F.concat("path", F.lit("."))) | F.lit(c).startswith(F.concat("path", F.lit("["))) for c in columns]
+            ways += [F.col("path").startswith(c + ".") | F.col("path").startswith(c + "[") for c in columns]
+            step = step.where(reduce(lambda a, b: a | b, ways))
+        step = step.withColumn("kind", F.expr("schema_of_variant(v)"))
+    leaf = step.where(f"not {container}")
+    if columns is not None:
+        leaf = leaf.where(reduce(lambda a, b: a | b, [(F.col("path") == c) | F.col("path").startswith(c + ".") | F.col("path").startswith(c + "[") for c in columns], F.lit(False)))
+    return leaf.select(*[F.col(f"`{k}`") for k in keys], "path", F.lower("kind").alias("kind"), F.expr("try_variant_get(v, '$', 'string')").alias("value"))
 
 
 def path_types(long: DataFrame) -> DataFrame:
@@ -67,9 +112,63 @@ def path_types(long: DataFrame) -> DataFrame:
     )
 
 
+def _document(leaves: list[tuple[str, str, str | None]]) -> str:
+    """The JSON of a document from its leaves (path, kind, value): objects by name in the order of the paths, arrays by index."""
+    root: Any = None
+    for path, kind, value in sorted(leaves):
+        leaf = _Raw("null" if value is None or kind == "void" else json.dumps(value, ensure_ascii=False) if kind == "string" or kind.startswith(("date", "timestamp", "binary")) else value)
+        steps_ = steps(path)
+        if not steps_:
+            return leaf.text
+        if root is None:
+            root = {} if isinstance(steps_[0], str) else []
+        at = root
+        for i, step in enumerate(steps_):
+            below = leaf if i == len(steps_) - 1 else [] if isinstance(steps_[i + 1], int) else {}
+            if isinstance(at, list):
+                at.extend([None] * (step + 1 - len(at)))
+                at[step] = below if at[step] is None else at[step]
+            else:
+                at.setdefault(step, below)
+            at = at[step]
+    return _written({} if root is None else root)
+
+
+class _Raw:
+    """A value as it is written."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+
+def _written(node: Any) -> str:
+    if isinstance(node, _Raw):
+        return node.text
+    if isinstance(node, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_written(v)}" for k, v in node.items()) + "}"
+    return "[" + ",".join(map(_written, node)) + "]" if isinstance(node, list) else "null"
+
+
 def unshred(long: DataFrame, keys: list[str]) -> DataFrame:
-    """Documents as JSON again, as an object from path to value (flat)."""
-    return long.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", "value")))).alias("fields")).select(*keys, F.to_json("fields").alias("document"))
+    """keys and document: the JSON of each document again, nested and with its types, from path, kind and value of its leaves.
+
+    Names come in the order of their paths; an index that no leaf has is null. Depth has no bound that expressions could spell out,
+    so a vectorised function builds the text of one document from its own leaves.
+    """
+
+    @F.pandas_udf("string")
+    def build(leaves: pd.Series) -> pd.Series:
+        return leaves.map(lambda rows: _document([(r["path"], r["kind"], r["value"]) for r in rows]))
+
+    grouped = long.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.collect_list(F.struct("path", "kind", "value")).alias("__leaves"))
+    return grouped.select(*[F.col(f"`{k}`") for k in keys], build("__leaves").alias("document"))
+
+
+def schema_report(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """For each path of JSON documents: kind, in how many documents, nulls, and least and greatest length of the value as text."""
+    long = shred_long(df, keys, text)
+    about = long.groupBy("path").agg(F.min(F.length("value")).alias("shortest"), F.max(F.length("value")).alias("longest"))
+    return path_types(long).join(about, "path")
 
 
 def infer(documents: list[dict], prefix: str = "") -> dict[str, DataType]:
@@ -187,12 +286,20 @@ class Rule:
     max_length: int | None = None
 
 
+VERSION = "_schemaVersion"
+
+
 @dataclass
 class DocumentSchema:
-    """Rules by field; mode locked refuses unknown fields, evolve lets them pass."""
+    """Rules by field, and a mode for what else documents have.
+
+    locked and strict refuse unknown fields (strict names those there are); evolve lets them pass, and updates() lists them for the
+    schema; versioned is locked, and a document's version must not be above the schema's: below it or missing is a warning.
+    """
 
     rules: dict[str, Rule] = field(default_factory=dict)
     mode: str = "locked"
+    version: int = 1
 
     def errors(self, df: DataFrame, partial: bool = False) -> Column:
         """An array of what is wrong with a row (partial: missing required fields are no error)."""
@@ -211,7 +318,7 @@ class DocumentSchema:
             if rule.enum:
                 out.append(say(~c.isin(list(rule.enum)), "not listed"))
             if rule.format:
-                out.append(say(~c.cast("string").rlike(FORMATS[rule.format]), f"not {rule.format}"))
+                out.append(say(~has_format(c.cast("string"), rule.format), f"not {rule.format}"))
             if rule.min is not None:
                 out.append(say(c < rule.min, "too small"))
             if rule.max is not None:
@@ -220,10 +327,39 @@ class DocumentSchema:
                 out.append(say(F.length(c.cast("string")) < rule.min_length, "too short"))
             if rule.max_length is not None:
                 out.append(say(F.length(c.cast("string")) > rule.max_length, "too long"))
-        if self.mode == "locked":
-            out += [F.when(F.col(f"`{n}`").isNotNull(), F.lit(f"{n}: unknown")) for n in df.columns if n not in self.rules]
+        if self.mode != "evolve":
+            more = f" (known: {', '.join(self.rules)})" if self.mode == "strict" else ""
+            unknown = [n for n in df.columns if n not in self.rules and not (self.mode == "versioned" and n == VERSION)]
+            out += [F.when(F.col(f"`{n}`").isNotNull(), F.lit(f"{n}: unknown{more}")) for n in unknown]
+        if self.mode == "versioned" and VERSION in df.columns:
+            out.append(F.when(F.col(f"`{VERSION}`").try_cast("int") > self.version, F.lit(f"{VERSION}: newer than {self.version}")))
+        return F.array_compact(F.array(*out)) if out else F.array().cast("array<string>")
+
+    def warnings(self, df: DataFrame) -> Column:
+        """An array of what is no error: versions that are older or missing, fields that will become part of the schema."""
+        out: list[Column] = []
+        if self.mode == "versioned":
+            found = F.col(f"`{VERSION}`").try_cast("int") if VERSION in df.columns else F.lit(None).cast("int")
+            out.append(F.when(found.isNull(), F.lit(f"{VERSION}: will be {self.version}")).when(found < self.version, F.lit(f"{VERSION}: older than {self.version}")))
+        if self.mode == "evolve":
+            out += [F.when(F.col(f"`{n}`").isNotNull(), F.lit(f"{n}: new")) for n in df.columns if n not in self.rules]
         return F.array_compact(F.array(*out)) if out else F.array().cast("array<string>")
 
+    def updates(self, df: DataFrame) -> dict[str, str]:
+        """In mode evolve, the fields that the documents add and their types; fields without any value add nothing."""
+        new = [f for f in df.schema if f.name not in self.rules] if self.mode == "evolve" else []
+        if not new:
+            return {}
+        held = df.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(new)]).first()
+        return {f.name: f.dataType.simpleString() for i, f in enumerate(new) if held[f"c{i}"]}
+
+    def check(self, df: DataFrame, partial: bool = False) -> DataFrame:
+        """df itself, or an error that names the first thing wrong: for writers that must not go on."""
+        bad = df.select(F.explode(self.errors(df, partial)).alias("e")).limit(1).collect()
+        if bad:
+            raise ValueError(bad[0]["e"])
+        return df
+
     def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Valid rows, and invalid ones with their errors."""
         marked = df.withColumn("_errors", self.errors(df))
@@ -241,6 +377,25 @@ def difference(old: StructType, new: StructType) -> dict[str, list[str]]:
     return {"added": sorted(b.keys() - a.keys()), "dropped": sorted(a.keys() - b.keys()), "changed": sorted(n for n in a.keys() & b.keys() if a[n].dataType != b[n].dataType or a[n].nullable != b[n].nullable)}
 
 
+#: How other languages name the types.
+SCRIPT_TYPES = {"string": "string", "boolean": "boolean", "date": "Date", "timestamp": "Date", "timestamp_ntz": "Date", "binary": "Uint8Array"}
+
+
+def to_interface(name: str, schema: StructType, indent: str = "  ") -> str:
+    """The schema as a TypeScript interface."""
+
+    def kind(t: DataType, pad: str) -> str:
+        if isinstance(t, StructType):
+            return "{\n" + "".join(f"{pad}{indent}{f.name}{'?' if f.nullable else ''}: {kind(f.dataType, pad + indent)};\n" for f in t) + pad + "}"
+        if isinstance(t, ArrayType):
+            return f"Array<{kind(t.elementType, pad)}>"
+        if isinstance(t, MapType):
+            return f"Record<string, {kind(t.valueType, pad)}>"
+        return SCRIPT_TYPES.get(t.simpleString(), "number" if isinstance(t, NumericType) else "unknown")
+
+    return f"export interface {name} {kind(schema, '')}"
+
+
 def to_json_schema(schema: StructType) -> str:
     return json.dumps(json.loads(schema.json()), sort_keys=True)
 

@@ -1,89 +1,132 @@
-"""Full-text search: tokens, postings, BM25, prefixes, near spellings, phrases, facets and highlights."""
+"""Full-text search: tokens, postings, a stored inverted index, BM25 and TF-IDF, prefixes, near spellings, phrases, facets, highlights."""
 
 from __future__ import annotations
 
+import json
+import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stems import stem, stop_words
+
 #: A token: ASCII letters and digits and the Latin letters up to U+024F.
 TOKEN = r"[a-zA-Z0-9À-ɏ]+"
+BETWEEN = r"[^a-zA-Z0-9À-ɏ]+"
 K1, B = 1.2, 0.75
+#: Parts of a stored index; a term's postings lie in one of them.
+PARTS = 32
+#: A list of wanted terms up to so many rows goes to all executors.
+BROADCAST_ROWS = 100_000
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
-def postings(df: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = ()) -> DataFrame:
+def postings(df: DataFrame, key: str, text: str, stop: tuple[str, ...] = ()) -> DataFrame:
     """key, term, tf and positions of every term of every text."""
-    words = df.select(F.col(key), F.posexplode(tokens(F.col(text))).alias("pos", "term"))
-    if stop_words:
-        words = words.where(~F.col("term").isin(list(stop_words)))
+    words = df.select(F.col(f"`{key}`"), F.posexplode(tokens(F.col(f"`{text}`"))).alias("pos", "term"))
+    if stop:
+        words = words.where(~F.col("term").isin(list(stop)))
     return words.groupBy(key, "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def term_statistics(df: DataFrame, text: str) -> DataFrame:
-    """term, documents that hold it, and its count."""
-    rows = df.select(tokens(F.col(text)).alias("words")).select(F.array_distinct("words").alias("once"), "words")
-    per = rows.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    held = rows.select(F.explode("once").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return per.join(held, "term")
+    """term, its count and the documents that hold it.
+
+    A document's tokens are sorted, so that the first of each term is marked inside the row: one generator, one sum per term in the
+    tasks, and one shuffle of distinct terms.
+    """
+    rows = df.select(F.sort_array(tokens(F.col(f"`{text}`"))).alias("words"))
+    once = F.transform("words", lambda w, i: F.struct(w.alias("term"), (~F.coalesce(F.get("words", i - 1) == w, F.lit(False))).cast("long").alias("first")))
+    return rows.select(F.explode(once).alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.count("*").alias("n"), F.sum("x.first").alias("df"))
+
+
+@dataclass
+class Part:
+    """One part of a query: a word, a phrase (in order), a prefix or a near word, perhaps of one field, perhaps excluded."""
+
+    kind: str
+    words: list[str]
+    field: str | None = None
+    excluded: bool = False
 
 
 @dataclass
 class TextQuery:
-    """words (any of them), phrases (in order), excluded words, prefixes, near words, and whether all parts must match."""
-
-    words: list[str] = field(default_factory=list)
-    phrases: list[list[str]] = field(default_factory=list)
-    excluded: list[str] = field(default_factory=list)
-    prefixes: list[str] = field(default_factory=list)
-    near: list[str] = field(default_factory=list)
-    fields: dict[str, list[str]] = field(default_factory=dict)
+    """The parts of a query, and whether all of them must match."""
+
+    parts: list[Part] = field(default_factory=list)
     every: bool = True
 
+    def of(self, kind: str, excluded: bool = False) -> list[list[str]]:
+        return [p.words for p in self.parts if p.kind == kind and p.excluded == excluded]
+
 
 def parse(query: str) -> TextQuery:
-    """word, "a phrase", -word, NOT word, field:word, pre*, near~, AND, OR (any OR makes the whole query OR)."""
+    """word, "a phrase", -part, NOT part, field:part, pre*, near~, AND, OR (any OR makes the whole query OR)."""
     out, negate = TextQuery(), False
-    split = lambda s: re.findall(TOKEN, s.lower())
-    for part in re.findall(r'"[^"]*"|\S+', query):
-        if part in ("AND", "OR", "NOT"):
-            out.every, negate = out.every and part != "OR", part == "NOT"
+    for token in re.findall(r'-?(?:\w+:)?"[^"]*"|\S+', query):
+        if token in ("AND", "OR", "NOT"):
+            out.every, negate = out.every and token != "OR", token == "NOT"
             continue
-        if part.startswith('"'):
-            if words := split(part):
-                out.phrases.append(words)
-        elif negate or part.startswith("-"):
-            out.excluded += split(part)
-        elif part.endswith("*"):
-            out.prefixes += split(part)[:1]
-        elif part.endswith("~"):
-            out.near += split(part)[:1]
-        elif ":" in part:
-            name, _, value = part.partition(":")
-            out.fields.setdefault(name, []).extend(split(value))
-        else:
-            out.words += split(part)
+        excluded, token = negate or token.startswith("-"), token.removeprefix("-")
         negate = False
+        name = re.match(r'(\w+):(?=[^\s:])', token)
+        token = token[name.end() :] if name else token
+        kind = "phrase" if token.startswith('"') else "prefix" if token.endswith("*") else "near" if token.endswith("~") else "word"
+        words = re.findall(TOKEN, token.lower())
+        if not words:
+            continue
+        if kind == "word" and len(words) > 1:
+            kind = "phrase"  # a-b is two tokens next to each other
+        elif kind in ("prefix", "near"):
+            words = words[:1]
+        out.parts.append(Part(kind, words, name[1] if name else None, excluded))
     return out
 
 
+def idf(n_docs: Column, df: Column) -> Column:
+    return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+
+
+def bm25_weight(tf: Column, df: Column, n_docs: Column, length: Column, mean: Column, k1: float = K1, b: float = B) -> Column:
+    return idf(n_docs, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+
+
+def tf_idf(tf: Column, df: Column, n_docs: Column, length: Column | None = None, mean: Column | None = None) -> Column:
+    """1 + ln tf, times a smooth inverse document frequency."""
+    return (1 + F.log(tf)) * (F.log((n_docs + 1) / (df + 1)) + 1)
+
+
 def bm25(df: DataFrame, key: str, text: str, words: list[str], every: bool = False, k1: float = K1, b: float = B) -> DataFrame:
-    """key and score of the documents that hold any (or every) word: only these words' postings are shuffled."""
-    lengths = df.select(F.col(key), tokens(F.col(text)).alias("words")).select(key, F.size("words").alias("len"), "words")
-    wanted = F.array(*[F.lit(w) for w in sorted(set(words))])
-    n_docs, mean_len = lengths.agg(F.count("*"), F.coalesce(F.avg("len"), F.lit(0.0))).first()
-    hits = lengths.where(F.arrays_overlap("words", wanted)).select(key, "len", F.explode(F.transform(wanted, lambda w: F.struct(w.alias("term"), F.size(F.filter("words", lambda x: x == w)).alias("tf")))).alias("h")).select(key, "len", "h.*").where("tf > 0")
-    held = hits.groupBy("term").agg(F.count("*").alias("df"))
-    whole = hits.join(F.broadcast(held), "term")  # as many rows as words are asked for
-    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean_len or 1.0)))
-    scored = whole.groupBy(key).agg(F.sum(idf * tf).alias("score"), F.count("*").alias("matched"))
-    return scored.where(F.col("matched") == len(set(words))) if every else scored
+    """key and score of the documents that hold any (or every) word, without an index: two scans and no shuffle of postings.
+
+    The first scan counts documents, tokens and the documents of each word; in the second, each document adds its own words up.
+    """
+    wanted = sorted(set(words))
+    own = df.select(F.col(f"`{key}`"), tokens(F.col(f"`{text}`")).alias("words"))
+    own = own.select(key, F.size("words").alias("len"), F.filter("words", lambda w: w.isin(wanted)).alias("own"))
+    held = [F.count_if(F.array_contains("own", F.lit(w))).alias(f"df_{i}") for i, w in enumerate(wanted)]
+    about = own.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("mean"), *held).first()
+    rows = own.where(F.size("own") > 0).select(key, "len", F.array(*[_occurrences(w) for w in wanted]).alias("tf"))
+    weights = F.array(*[F.lit(float(_idf(about["n"], about[f"df_{i}"]))) for i in range(len(wanted))])
+    size = 1 - b + b * F.col("len") / F.lit(about["mean"] or 1.0)
+    parts = F.zip_with("tf", weights, lambda tf, w: F.when(tf > 0, w * tf * (k1 + 1) / (tf + k1 * size)).otherwise(0.0))
+    scored = rows.select(key, F.aggregate(parts, F.lit(0.0), lambda s, x: s + x).alias("score"), F.size(F.filter("tf", lambda x: x > 0)).cast("long").alias("matched"))
+    return scored.where(F.col("matched") == len(wanted)) if every else scored
+
+
+def _occurrences(word: str) -> Column:
+    return F.size(F.filter("own", lambda x: x == word))
+
+
+def _idf(n: int, df: int) -> float:
+    return math.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
 def prefix_terms(terms: DataFrame, prefix: str) -> DataFrame:
@@ -92,7 +135,9 @@ def prefix_terms(terms: DataFrame, prefix: str) -> DataFrame:
 
 def near_terms(terms: DataFrame, word: str, edits: int = 2, shared: int = 0) -> DataFrame:
     """Terms within so many edits that share the first letters, with boost 1 / (edits + 1)."""
-    close = terms.where(F.abs(F.length("term") - len(word)) <= edits).where(F.substring("term", 1, shared) == word[:shared]) if shared else terms.where(F.abs(F.length("term") - len(word)) <= edits)
+    close = terms.where(F.abs(F.length("term") - len(word)) <= edits)
+    if shared:
+        close = close.where(F.substring("term", 1, shared) == word[:shared])
     return close.withColumn("edits", F.levenshtein(F.col("term"), F.lit(word))).where(F.col("edits") <= edits).withColumn("boost", 1 / (F.col("edits") + 1))
 
 
@@ -101,24 +146,173 @@ def holds_phrase(text: Column, words: list[str]) -> Column:
     return F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" ")).contains(" " + " ".join(words) + " ")
 
 
+class TextIndex:
+    """A stored inverted index over weighted fields: postings by part of the terms, a term table, lengths and totals.
+
+    Postings of a term lie in one of PARTS folders, sorted by term, so a search reads the parts and row groups of its terms alone.
+    Stems are made of distinct terms. Statistics are those of the whole corpus, whatever a search filters.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        about = json.loads(spark.read.text(f"{self.folder}/about", wholetext=True).first()[0])
+        self.key, self.weights, self.language, self.parts, self.n_docs, self.mean = (about[k] for k in ("key", "weights", "language", "parts", "n_docs", "mean"))
+
+    @classmethod
+    def build(cls, df: DataFrame, key: str, fields: dict[str, float], folder: str, language: str = "none", stop: list[str] | None = None, parts: int = PARTS) -> TextIndex:
+        spark, folder = df.sparkSession, folder.rstrip("/")
+        left_out = stop_words(language) if stop is None else stop
+        name = F.col(f"`{key}`").alias("key")
+        texts = df.select(name, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("text")) for f in fields])).alias("x"))
+        words = texts.select("key", "x.field", F.posexplode(tokens(F.col("x.text"))).alias("pos", "raw"))
+        if left_out:
+            words = words.where(~F.col("raw").isin(left_out))
+        held = words.groupBy("key", "field", "raw").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+        if language == "none":
+            held = held.withColumnRenamed("raw", "term").withColumn("tf", F.size("positions"))
+        else:  # forms of a stem join; what is stemmed is one row a form and document, not each occurrence
+            held = held.withColumn("term", stem(F.col("raw"), language)).groupBy("key", "field", "term").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+            held = held.withColumn("tf", F.size("positions"))
+        held = held.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+        held.repartition(parts, "part").sortWithinPartitions("part", "term", "key").write.partitionBy("part").parquet(f"{folder}/postings")
+        stored = spark.read.parquet(f"{folder}/postings")
+        stored.groupBy("part", "term").agg(F.count_distinct("key").alias("df"), F.sum("tf").alias("n")).sortWithinPartitions("term").write.parquet(f"{folder}/terms")
+        stored.groupBy("key").agg(F.sum("tf").alias("len")).write.parquet(f"{folder}/lengths")
+        n = df.count()
+        total = spark.read.parquet(f"{folder}/lengths").agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
+        about = {"key": key, "weights": fields, "language": language, "parts": parts, "n_docs": n, "mean": total / n if n else 0.0}
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{folder}/about")
+        return cls(spark, folder)
+
+    def terms(self) -> DataFrame:
+        """part, term, documents that hold it and its count."""
+        return self.spark.read.parquet(f"{self.folder}/terms")
+
+    def _wanted(self, query: TextQuery, edits: int) -> DataFrame:
+        """number of the part, term, boost and place in a phrase, of every term that a part of the query means."""
+        exact = [(i, w, 1.0, k) for i, p in enumerate(query.parts) if p.kind in ("word", "phrase") for k, w in enumerate(p.words)]
+        rows = self.spark.createDataFrame(exact, "n int, term string, boost double, place int")
+        out = rows.select("n", stem(F.col("term"), self.language).alias("term"), "boost", "place")
+        for i, p in enumerate(query.parts):
+            if p.kind == "prefix":
+                found = prefix_terms(self.terms(), p.words[0]).select(F.lit(i).alias("n"), "term", F.lit(1.0).alias("boost"), F.lit(0).alias("place"))
+                out = out.unionByName(found)
+            elif p.kind == "near":
+                found = near_terms(self.terms(), p.words[0], edits).select(F.lit(i).alias("n"), "term", "boost", F.lit(0).alias("place"))
+                out = out.unionByName(found)
+        return out.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(self.parts)).cast("int"))
+
+    def search(
+        self, query: str | TextQuery, limit: int | None = 10, offset: int = 0, docs: DataFrame | None = None, where: Column | None = None, exact_boost: float | None = None,
+        scorer: Callable[..., Column] = bm25_weight, edits: int = 2,
+    ) -> DataFrame:
+        """key and score, best first, ties by key. docs (with the key) is needed for where and for exact_boost.
+
+        A document must match every part, or with OR any; the terms of a prefix or a near word are one part. A phrase's words stand next
+        to each other in one field. exact_boost multiplies a word's score where a field's whole value is that word.
+        """
+        q = parse(query) if isinstance(query, str) else query
+        name = self.key
+        if not [p for p in q.parts if not p.excluded]:
+            empty = self.spark.read.parquet(f"{self.folder}/lengths").limit(0)
+            return empty.select(F.col("key").alias(name), F.lit(0.0).alias("score"))
+        wanted = self._wanted(q, edits)
+        few = wanted.count() <= BROADCAST_ROWS
+        parts = [r["part"] for r in wanted.select("part").distinct().collect()]  # at most PARTS
+        held = self.spark.read.parquet(f"{self.folder}/postings").where(F.col("part").isin(parts))
+        hits = held.join(F.broadcast(wanted.drop("part")) if few else wanted.drop("part"), "term")
+        narrowed = [(i, p.field) for i, p in enumerate(q.parts) if p.field is not None]
+        for i, f in narrowed:
+            hits = hits.where((F.col("n") != i) | (F.col("field") == f))
+        for i, p in enumerate(q.parts):
+            if p.kind == "phrase":
+                hits = hits.where(F.col("n") != i).unionByName(self._phrase(hits.where(F.col("n") == i), len(p.words)))
+        bad = [i for i, p in enumerate(q.parts) if p.excluded]
+        good = [i for i, p in enumerate(q.parts) if not p.excluded]
+        excluded = hits.where(F.col("n").isin(bad)).select("key").distinct() if bad else None
+        hits = hits.where(F.col("n").isin(good))
+        lengths = self.spark.read.parquet(f"{self.folder}/lengths")
+        terms = self.terms().where(F.col("part").isin(parts)).select("term", "df")
+        hits = hits.join(terms, "term").join(lengths, "key")
+        weights = F.create_map(*[F.lit(x) for f, w in self.weights.items() for x in (f, float(w))])
+        weight = scorer(F.col("tf"), F.col("df"), F.lit(self.n_docs), F.col("len"), F.lit(self.mean or 1.0))
+        hits = hits.withColumn("score", weight * F.element_at(weights, F.col("field")) * F.col("boost"))
+        if exact_boost is not None and docs is not None:
+            values = F.array(*[F.lower(F.col(f"`{f}`").cast("string")) for f in self.weights])
+            hits = hits.join(docs.select(F.col(f"`{name}`").alias("key"), values.alias("values")), "key")
+            spoken = F.create_map(*[x for i, p in enumerate(q.parts) for x in (F.lit(i), F.lit(" ".join(p.words)))])
+            hits = hits.withColumn("score", F.col("score") * F.when(F.array_contains("values", F.element_at(spoken, F.col("n"))), exact_boost).otherwise(1.0))
+        scored = hits.groupBy("key").agg(F.sum("score").alias("score"), F.count_distinct("n").alias("matched"))
+        if q.every:
+            scored = scored.where(F.col("matched") == len(good))
+        if excluded is not None:
+            scored = scored.join(excluded, "key", "left_anti")
+        scored = scored.select(F.col("key").alias(name), F.round("score", 9).alias("score"))  # so that ties are ties
+        if where is not None and docs is not None:
+            scored = scored.join(docs.where(where).select(F.col(f"`{name}`")), name, "left_semi")
+        ranked = scored.orderBy(F.desc("score"), name)
+        ranked = ranked.offset(offset) if offset else ranked
+        return ranked if limit is None else ranked.limit(limit)
+
+    def _phrase(self, hits: DataFrame, size: int) -> DataFrame:
+        """The hits of a phrase in the fields where its words stand in order, next to each other."""
+        starts = F.transform("positions", lambda p: p - F.col("place"))
+        whole = hits.select("key", "field", "place", starts.alias("starts")).groupBy("key", "field").agg(F.collect_list(F.struct("place", "starts")).alias("x"))
+        first = F.filter("x", lambda e: e["place"] == 0)
+        others = lambda s: F.forall("x", lambda e: F.array_contains(e["starts"], s))
+        found = whole.where((F.size("x") == size) & F.exists(F.flatten(F.transform(first, lambda e: e["starts"])), others))
+        return hits.join(found.select("key", "field"), ["key", "field"], "left_semi").select(*hits.columns)
+
+
+def _holds(words: Column, p: Part) -> Column:
+    """Whether a document's tokens have what a part of a query means."""
+    if p.kind == "prefix":
+        return F.exists(words, lambda w: w.startswith(p.words[0]))
+    if p.kind == "near":
+        return F.exists(words, lambda w: F.levenshtein(w, F.lit(p.words[0])) <= 2)
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).contains(" " + " ".join(p.words) + " ")
+
+
 def search(df: DataFrame, key: str, text: str, query: str, limit: int | None = 10) -> DataFrame:
-    """Ranked documents of a query; ties by key."""
-    q = parse(query)
-    rows = df
-    if q.excluded:
-        rows = rows.where(~F.arrays_overlap(tokens(F.col(text)), F.array(*[F.lit(w) for w in q.excluded])))
-    for name, words in q.fields.items():
-        rows = rows.where(F.arrays_overlap(tokens(F.col(name)), F.array(*[F.lit(w) for w in words])))
-    for words in q.phrases:
-        rows = rows.where(holds_phrase(F.col(text), words))
-    words = q.words + [w for p in q.phrases for w in p]
-    if q.prefixes or q.near:
+    """Ranked documents of a query over one text without a stored index, by the rules of TextIndex.search(); ties by key.
+
+    Statistics are those of all documents. What a prefix or a near word means is joined as a list of terms of any length. A part of
+    another field restricts the documents and adds nothing to their scores.
+    """
+    q, spark = parse(query), df.sparkSession
+    words = {f: tokens(F.col(f"`{f}`")) for f in {text} | {p.field for p in q.parts if p.field}}
+    rows = df.select(F.col(f"`{key}`").alias("key"), *[c.alias(f"words_{f}") for f, c in words.items()])
+    own, of = F.col(f"words_{text}"), lambda p: F.col(f"words_{p.field or text}")
+    scoring = [(i, p) for i, p in enumerate(q.parts) if not p.excluded and p.field in (None, text)]
+    kept = rows
+    for p in q.parts:
+        if p.excluded or p.field not in (None, text):
+            kept = kept.where(~_holds(of(p), p) if p.excluded else _holds(of(p), p))
+    if not scoring:
+        ranked = kept.select(F.col("key").alias(key), F.lit(0.0).alias("score")).orderBy(key)
+        return ranked if limit is None else ranked.limit(limit)
+    wanted = spark.createDataFrame([(i, w, 1.0) for i, p in scoring if p.kind in ("word", "phrase") for w in p.words], "n int, term string, boost double")
+    if any(p.kind in ("prefix", "near") for _, p in scoring):
         terms = term_statistics(df, text)
-        words += [r["term"] for p in q.prefixes for r in prefix_terms(terms, p).orderBy(F.desc("df"), "term").limit(50).collect()]
-        words += [r["term"] for w in q.near for r in near_terms(terms, w).orderBy("edits", F.desc("df"), "term").limit(50).collect()]
-    every = q.every and not (q.prefixes or q.near)
-    scored = bm25(rows, key, text, words, every) if words else rows.select(key, F.lit(0.0).alias("score"))
-    ranked = scored.select(key, "score").orderBy(F.desc("score"), key)
+        for i, p in scoring:
+            if p.kind in ("prefix", "near"):
+                found = prefix_terms(terms, p.words[0]).withColumn("boost", F.lit(1.0)) if p.kind == "prefix" else near_terms(terms, p.words[0])
+                wanted = wanted.unionByName(found.select(F.lit(i).alias("n"), "term", "boost"))
+    # a part counts for a document only if the document holds all of it, as a phrase's words next to each other
+    whole = F.array_compact(F.array(*[F.when(_holds(own, p), F.lit(i)) if p.kind == "phrase" else F.lit(i) for i, p in scoring]))
+    kept = kept.select("key", whole.alias("whole"))
+    about = rows.agg(F.count("*"), F.coalesce(F.avg(F.size(own)), F.lit(1.0))).first()
+    counted = rows.select("key", F.size(own).alias("len"), F.explode(own).alias("term"))
+    if all(p.kind in ("word", "phrase") for _, p in scoring):
+        counted = counted.where(F.col("term").isin(sorted({w for _, p in scoring for w in p.words})))
+    hits = counted.groupBy("key", "len", "term").agg(F.count("*").alias("tf")).join(wanted, "term")
+    held = hits.groupBy("term").agg(F.count_distinct("key").alias("df"))
+    score = bm25_weight(F.col("tf"), F.col("df"), F.lit(about[0]), F.col("len"), F.lit(about[1] or 1.0)) * F.col("boost")
+    hits = hits.join(held, "term").join(kept, "key").where(F.array_contains("whole", F.col("n")))
+    scored = hits.groupBy("key").agg(F.sum(score).alias("score"), F.count_distinct("n").alias("matched"))
+    if q.every:
+        scored = scored.where(F.col("matched") == len(scoring))
+    ranked = scored.select(F.col("key").alias(key), F.round("score", 9).alias("score")).orderBy(F.desc("score"), key)
     return ranked if limit is None else ranked.limit(limit)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -14,7 +14,10 @@ Step = Callable[[DataFrame], DataFrame]
 
 @dataclass
 class Chain:
-    """Named steps with the names of the steps they need; runs in an order that respects the needs."""
+    """Named steps with the names of the steps they need; runs in an order that respects the needs.
+
+    A need that is no step is an input, given to run() by name.
+    """
 
     steps: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...], Callable[[], bool] | None]] = field(default_factory=dict)
 
@@ -24,12 +27,12 @@ class Chain:
         self.steps[name] = (run, needs, when)
         return self
 
-    def order(self) -> list[str]:
+    def order(self, inputs: Iterable[str] = ()) -> list[str]:
         out: list[str] = []
-        state: dict[str, int] = {}
+        state: dict[str, int] = dict.fromkeys(inputs, 2)
 
         def visit(name: str) -> None:
-            if name not in self.steps:
+            if name not in self.steps and name not in state:
                 raise ValueError(f"unknown step: {name}")
             if state.get(name) == 1:
                 raise ValueError(f"steps need each other: {name}")
@@ -44,10 +47,17 @@ class Chain:
             visit(name)
         return out
 
-    def run(self) -> dict[str, DataFrame]:
+    def levels(self, inputs: Iterable[str] = ()) -> list[list[str]]:
+        """The steps that can run side by side, level by level."""
+        level: dict[str, int] = {}
+        for name in self.order(inputs):
+            level[name] = 1 + max((level.get(n, -1) for n in self.steps[name][1]), default=-1)
+        return [[n for n, k in level.items() if k == depth] for depth in range(max(level.values(), default=-1) + 1)]
+
+    def run(self, **inputs: DataFrame) -> dict[str, DataFrame]:
         """The DataFrame of each step (lazy); a step whose condition fails passes its first need on."""
-        done: dict[str, DataFrame] = {}
-        for name in self.order():
+        done: dict[str, DataFrame] = dict(inputs)
+        for name in self.order(inputs):
             run, needs, when = self.steps[name]
             inputs = [done[n] for n in needs]
             done[name] = inputs[0] if when is not None and not when() and inputs else run(*inputs)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,9 +37,14 @@ def append_evolved(*frames: DataFrame) -> DataFrame:
 
 
 def distinct_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__nth", F.row_number().over(window)).where("__nth = 1").drop("__nth")
+    """The first row of each key in the ascending order of some columns, nulls first.
+
+    The least row is taken in tasks before the shuffle, so a hot key is one row a task.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*order)).alias("__first")
+    out = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(first)
+    return out.select(*[F.col(f"`{k}`") for k in keys], *[F.col("__first").getField(c).alias(c) for c in rest]).select(*[f"`{c}`" for c in df.columns])
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -47,6 +53,30 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -
     return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
+def merged_in_order(frames: list[DataFrame], order: list[Column]) -> DataFrame:
+    """All rows of sorted tables in one order: one range shuffle, in which rows that stand in order are merged."""
+    return reduce(DataFrame.unionByName, frames).orderBy(*order)
+
+
+def embedded(df: DataFrame, array: str, holds: Callable[[Column], Column], take: Callable[[Column], Column], name: str) -> DataFrame:
+    """df with what `take` makes of the elements of an array for which `holds` does; nothing is exploded."""
+    return df.withColumn(name, F.transform(F.filter(F.coalesce(F.col(array), F.array().cast(df.schema[array].dataType)), holds), take))
+
+
+def exploded_statistics(df: DataFrame, array: str, value: str, name: str = "element") -> DataFrame:
+    """For each distinct element of an array column: rows that hold it, and mean, least and greatest of a value."""
+    rows = df.select(F.explode(F.array_distinct(F.col(array))).alias(name), F.col(value).alias("__value"))
+    return rows.groupBy(name).agg(F.count("*").alias("n"), F.avg("__value").alias("mean"), F.min("__value").alias("low"), F.max("__value").alias("high"))
+
+
+def rollup_with_top(df: DataFrame, keys: list[str], value: str, order: list[Column], key: str, k: int) -> DataFrame:
+    """For each group: rows, mean of a value, and the keys of its first k rows in order. Groups are cut to k rows in the tasks first."""
+    about = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    top = top_per_group(df.select(*keys, *{c for c in df.columns if c not in keys}), keys, order, k)
+    listed = top.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", key))), lambda x: x[key]).alias("top"))
+    return about.join(listed, keys)
+
+
 def difference(a: DataFrame, b: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
     return {"removed": a.join(b, keys, "left_anti"), "added": b.join(a, keys, "left_anti"), "unchanged": a.join(b, keys, "left_semi")}
 

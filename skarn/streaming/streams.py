@@ -32,16 +32,41 @@ def windowed(stream: DataFrame, time: str, size: str, keys: list[str], delay: st
     return stream.withWatermark(time, delay).groupBy(place.alias("window"), *keys).agg(F.count("*").alias("n"))
 
 
-def latest_into(stream: DataFrame, keys: list[str], order: list[str], target: str, checkpoint: str):
-    """Keeps the latest row of each key in a Parquet folder per micro-batch: each batch's own latest rows are merged with the last state."""
+def latest_into(stream: DataFrame, keys: list[str], order: list[str], target: str, checkpoint: str, parts: int = 16):
+    """Keeps the latest row of each key in a Parquet folder, in parts by a hash of the key.
+
+    A micro-batch reads and writes only the parts that its keys lie in; the others are taken over by name. state(target) has the rows.
+    """
     from ..operators.changelog import latest
+    from ..operators.lakehouse import Table
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = f"{target}/v{number - 1}"
-        rows = batch
-        if number > 0:
-            rows = spark.read.parquet(before).unionByName(batch)
-        latest(rows, keys, order).write.mode("overwrite").parquet(f"{target}/v{number}")
+        table = Table(batch.sparkSession, target)
+        last = table.current()
+        if last is not None and last.summary.get("batch", -1) >= number:
+            return  # this batch has been merged before a restart
+        rows = batch.withColumn(PART, F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+        hit = [r[0] for r in rows.select(PART).distinct().collect()]  # at most `parts`
+        kept = [f for f in last.files if int(f.partition[PART]) not in hit] if last else []
+        touched = [f for f in last.files if int(f.partition[PART]) in hit] if last else []
+        whole = rows.unionByName(table._scan(touched, last)) if touched else rows
+        made = table._write(latest(whole, [*keys, PART], order), [PART])
+        table._next(last, "merge", kept + made, (last.schema if last else rows.schema.json()), [PART], batch=number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: The partition column of a state.
+PART = "__part"
+
+
+def state(spark, target: str) -> DataFrame:
+    """The rows that latest_into() keeps."""
+    from ..operators.lakehouse import Table
+
+    return Table(spark, target).read().drop(PART)
+
+
+def buffered_into(stream: DataFrame, buffer, checkpoint: str, clock: Callable[[], float]):
+    """Hands each micro-batch to a change buffer, which writes to its tables by its own rule; call buffer.flush() at the end."""
+    return stream.writeStream.foreachBatch(lambda batch, _: buffer.add(batch, clock()) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import changelog, chains, schema, search, sets, vectors
-from ..operators.lakehouse import Table, changed
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -53,11 +52,6 @@ query("coerce_numbers", "select o_orderkey, try_cast(regexp_extract(o_orderprior
 query("bands", "select case when o_totalprice < 50000 then 'low' when o_totalprice < 200000 then 'mid' else 'high' end as band, count(*) as n, floor(avg(o_totalprice) * 100 + 0.5) / 100 as mean from orders group by band")(lambda spark, d: t(spark, d, "orders").withColumn("band", S.banded(F.col("o_totalprice"), [(50000, "low"), (200000, "mid")], "high")).groupBy("band").agg(F.count("*").alias("n"), S.rounded(F.avg("o_totalprice")).alias("mean")))
 query("checksums", "select c_custkey, levenshtein(c_mktsegment, 'BUILDINGS') as edits, md5(c_name) as digest from customer")(lambda spark, d: t(spark, d, "customer").select("c_custkey", F.levenshtein(F.col("c_mktsegment"), F.lit("BUILDINGS")).cast("long").alias("edits"), F.md5(F.col("c_name").cast("binary")).alias("digest")))
 
-query("shred_long", "select event_id, key as path, cast(json_extract(props, '$.' || key) as varchar) as value from events, unnest(json_keys(props)) k(key)")(lambda spark, d: schema.shred_long(t(spark, d, "events"), ["event_id"], "props").select("event_id", "path", "value"))
-query("infer_schema", "select key as path, count(*) as n, cast(0 as bigint) as nulls, 'bigint' as kind from events, unnest(json_keys(props)) k(key) group by key")(lambda spark, d: schema.path_types(schema.shred_long(t(spark, d, "events"), ["event_id"], "props")))
-query("unshred", """select event_id, cast(json_object('k', cast(json_extract(props, '$.k') as varchar)) as varchar) as document from events""")(lambda spark, d: schema.unshred(schema.shred_long(t(spark, d, "events"), ["event_id"], "props"), ["event_id"]).select("event_id", "document"))
-
-
 @query("validate_documents", "select sum(case when bad then 0 else 1 end)::bigint as valid, sum(case when bad then 1 else 0 end)::bigint as invalid from (select o_totalprice > 400000 or o_totalprice < 1000 or o_orderstatus not in ('F', 'O') as bad from orders)")
 def validate(spark, d):
     rules = schema.DocumentSchema({"o_orderkey": schema.Rule(required=True, kind="bigint"), "o_totalprice": schema.Rule(min=1000, max=400000), "o_orderstatus": schema.Rule(enum=("F", "O"))}, mode="evolve")
@@ -88,46 +82,6 @@ def apply_changes(spark, d):
     return changelog.applied(o, log, ["o_orderkey"], ["lsn"], "op")
 
 
-def _table(spark, d) -> Table:
-    """A versioned table of orders by year: three appends."""
-    import uuid
-
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/skarn-tables").rstrip("/")
-    table = Table(spark, f"{folder}/orders-{uuid.uuid4().hex}")
-    o = t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    for k in range(3):
-        table.append(o.where(F.col("o_orderkey") % 3 == k))
-    return table
-
-
-query("snapshot_asof", "select o_orderkey, o_totalprice from orders where o_orderkey % 3 < 2")(lambda spark, d: (lambda x: x.read(x.as_of(id=2)).select("o_orderkey", "o_totalprice"))(_table(spark, d)))
-query("prune_stats", "select o_orderkey from orders where o_orderkey <= 500")(lambda spark, d: (lambda x: x.read(where=[("o_orderkey", "lte", 500)]).where("o_orderkey <= 500").select("o_orderkey"))(_table(spark, d)))
-
-
-@query("snapshot_compact", "select o_orderstatus, count(*) as n, round(sum(o_totalprice), 1) as total from orders group by o_orderstatus")
-def compact(spark, d):
-    table = _table(spark, d)
-    table.compact()
-    return table.read().groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 1).alias("total"))
-
-
-@query("snapshot_expire", "select 2::bigint as gone, 1::bigint as kept, cast(count(*) as bigint) as n from orders where o_orderkey % 3 <> 1 or o_orderkey < 100")
-def expire(spark, d):
-    table = _table(spark, d)
-    table.delete((F.col("o_orderkey") % 3 == 1) & (F.col("o_orderkey") >= 100))
-    gone, _ = table.expire(keep_last=2)
-    return table.read().agg(F.count("*").alias("n")).select(F.lit(len(gone)).cast("long").alias("gone"), F.lit(len(table.snapshots()) - 1).cast("long").alias("kept"), "n")
-
-
-@query("snapshot_diff", "select 3::bigint as unchanged_or_removed, 0::bigint as added")
-def snapshot_diff(spark, d):
-    table = _table(spark, d)
-    found = changed(table.as_of(id=1), table.as_of(id=3))
-    back = changed(table.as_of(id=3), table.as_of(id=1))
-    first = 1 if found["unchanged"] else 0
-    return spark.createDataFrame([(3 if first and found["added"] and not found["removed"] and back["removed"] else 0, len(back["added"]))], "unchanged_or_removed long, added long")
-
-
 _TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[a-zA-Z0-9À-ɏ]+')"
 query("tokenise", f"select doc_id, len({_TOK})::integer as n, len(list_distinct({_TOK}))::integer as u from documents")(lambda spark, d: t(spark, d, "documents").select("doc_id", F.size(search.tokens(F.col("text"))).alias("n"), F.size(F.array_distinct(search.tokens(F.col("text")))).alias("u")))
 query("term_stats", f"select term, count(*) as n, count(distinct doc_id) as df from (select doc_id, unnest({_TOK}) as term from documents) group by term")(lambda spark, d: search.term_statistics(t(spark, d, "documents"), "text"))
@@ -136,9 +90,7 @@ query("bm25_scores", _BM25)(lambda spark, d: search.bm25(t(spark, d, "documents"
 query("prefix_terms", f"select term, count(*) as n from (select unnest({_TOK}) as term from documents) where starts_with(term, 'stup') group by term")(lambda spark, d: search.prefix_terms(search.term_statistics(t(spark, d, "documents"), "text"), "stup").select("term", "n"))
 query("fuzzy_terms", f"select distinct term, levenshtein(term, 'stupid') as edits from (select unnest({_TOK}) as term from documents) where levenshtein(term, 'stupid') <= 2")(lambda spark, d: search.near_terms(search.term_statistics(t(spark, d, "documents"), "text"), "stupid").select("term", F.col("edits").cast("long").alias("edits")))
 query("phrase", f"select doc_id from documents where contains(' ' || array_to_string({_TOK}, ' ') || ' ', ' of the ')")(lambda spark, d: t(spark, d, "documents").where(search.holds_phrase(F.col("text"), ["of", "the"])).select("doc_id"))
-query("search_ranked", None)(lambda spark, d: search.search(t(spark, d, "documents"), "doc_id", "text", 'stupid "of the" -loser'))
 query("facets", "select lang as value, count(*) as n from documents where contains(lower(text), 'stupid') group by lang")(lambda spark, d: search.facets(t(spark, d, "documents").where(F.lower("text").contains("stupid")), "lang"))
-query("highlight", "select doc_id, regexp_replace(text, '(?i)\\b(stupid|loser)\\b', '<em>\\1</em>', 'g') as marked from documents where lang = 'en' and regexp_matches(text, '(?i)\\b(stupid|loser)\\b')")(lambda spark, d: t(spark, d, "documents").where("lang = 'en'").where(F.col("text").rlike(r"(?i)\b(stupid|loser)\b")).select("doc_id", search.highlighted(F.col("text"), ["stupid", "loser"]).alias("marked")))
 query("wordcount", "select word, count(*) as n from (select unnest(string_split_regex(lower(text), '\\s+')) as word from documents) where word <> '' group by word")(lambda spark, d: chains.word_count(t(spark, d, "documents"), "text"))
 
 
@@ -160,35 +112,7 @@ def batch_knn(spark, d):
     return vectors.batch_top_k(e, "vec_id", "embedding", asked, 5, "l2sq").select("query", "vec_id", "rank")
 
 
-@query("rrf", None)
-def rrf(spark, d):
-    e, q = t(spark, d, "embeddings"), _first_vector(spark, d)
-    ranked = [sets.top_per_group(vectors.top_k(e, "vec_id", "embedding", q, 50, m).withColumn("one", F.lit(1)), ["one"], [F.col("distance"), F.col("vec_id")], 50).select("vec_id", "rank") for m in ("cosine", "l2sq")]
-    return vectors.fused(ranked, "vec_id").orderBy(F.desc("score"), "vec_id").limit(20)
-
-
 query("normalise", "select vec_id, round(list_sum(list_transform(embedding::double[], lambda x: x / n)), 5) as total from (select vec_id, embedding, sqrt(list_inner_product(embedding::double[], embedding::double[])) as n from embeddings)")(lambda spark, d: t(spark, d, "embeddings").select("vec_id", S.normalised(F.col("embedding")).alias("v")).select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total")))
 
 
-def _clustered(spark, d):
-    """The index and the stated query set."""
-    e = t(spark, d, "embeddings")
-    return vectors.ClusterIndex.build(e, "vec_id", "embedding"), {r["vec_id"]: list(r["embedding"]) for r in e.where("vec_id % 100 = 0").collect()}
-
-
-@query("cluster_search", None)
-def cluster_search(spark, d):
-    index, asked = _clustered(spark, d)
-    return index.search_batch(asked, 10, probes=13).select("query", "vec_id", "rank")
-
-
-@query("cluster_search_recall", None)
-def cluster_recall(spark, d):
-    """Recall of clustered search against exact search, for the stated query set."""
-    index, asked = _clustered(spark, d)
-    exact = vectors.batch_top_k(t(spark, d, "embeddings"), "vec_id", "embedding", asked, 10, "l2sq").select("query", "vec_id")
-    found = index.search_batch(asked, 10, probes=13).select("query", "vec_id")
-    return spark.createDataFrame([(vectors.recall(found, exact, ["query", "vec_id"]),)], "recall double")
-
-
 query("pipeline_etl", "select o_orderpriority, count(*) as n, round(sum(o_totalprice * 1.1), 1) as gross from orders where o_totalprice between 1000 and 300000 group by all")(lambda spark, d: chains.pipeline(t(spark, d, "orders"), [lambda x: x.withColumn("gross", F.col("o_totalprice") * 1.1)], F.col("o_totalprice").between(1000, 300000), [lambda x: x.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("gross"), 1).alias("gross"))])[0])

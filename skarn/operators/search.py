@@ -302,9 +302,11 @@ def search(df: DataFrame, key: str, text: str, query: str, limit: int | None = 1
     whole = F.array_compact(F.array(*[F.when(_holds(own, p), F.lit(i)) if p.kind == "phrase" else F.lit(i) for i, p in scoring]))
     kept = kept.select("key", whole.alias("whole"))
     about = rows.agg(F.count("*"), F.coalesce(F.avg(F.size(own)), F.lit(1.0))).first()
-    counted = rows.select("key", F.size(own).alias("len"), F.explode(own).alias("term"))
-    if all(p.kind in ("word", "phrase") for _, p in scoring):
-        counted = counted.where(F.col("term").isin(sorted({w for _, p in scoring for w in p.words})))
+    asked = own
+    if all(p.kind in ("word", "phrase") for _, p in scoring):  # other words never leave their row
+        listed = sorted({w for _, p in scoring for w in p.words})
+        asked = F.filter(own, lambda w: w.isin(listed))
+    counted = rows.select("key", F.size(own).alias("len"), asked.alias("asked")).select("key", "len", F.explode("asked").alias("term"))
     hits = counted.groupBy("key", "len", "term").agg(F.count("*").alias("tf")).join(wanted, "term")
     held = hits.groupBy("term").agg(F.count_distinct("key").alias("df"))
     score = bm25_weight(F.col("tf"), F.col("df"), F.lit(about[0]), F.col("len"), F.lit(about[1] or 1.0)) * F.col("boost")

@@ -9,16 +9,17 @@ nodes are small enough, miss such a pair with a chance of 0.2 ** 10 = 1e-7, and
 (0.2 + 0.8 * 0.0625) ** 10 = 1e-6 at most. That holds for independent functions; as all nodes share COORDINATES, of which a
 pair has a binomial number in common, it is 8e-7 at the roots and under 4e-5 down any depth.
 
-A node is done when it has one class or its classes are already linked into one group. At the roots, each class is compared
-with the node's pivot first, so a group of copies of any size is linked by one comparison each; then a
-node of at most LEAF classes goes to one task, which compares all classes that are still in different groups and returns
-links that join groups, fewer than it has classes. Larger nodes branch on; what is left at DEPTH is compared exhaustively in
-blocks of LEAF by LEAF classes. Candidates pass a
-64-bit one-bit minwise sketch first and, in nodes, the count of equal minwise shingles (a pair at 0.8 fails these with a
-chance of about 1e-5), and then the comparison of full sets. Only group membership is wanted, so pairs inside a group are not listed.
+Nodes of several classes are compared by signatures: any two classes of a node of at most BLOCKS * LEAF classes meet in a cell of
+two blocks of LEAF classes, and are candidates if a 64-bit one-bit minwise sketch is close and, of 64 minwise shingles, MIN_EQUAL are
+equal in four bits (a pair at 0.8 fails these and the count of equal minwise shingles with a chance of about 1e-5). Larger nodes
+branch on; what is left at DEPTH is compared in cells, however many. Cells return a forest of candidates, and the groups of candidates
+are put together over all nodes: so texts travel once, however many nodes their classes share. Then each group is compared whole, in
+cells of two blocks of LEAF classes or BLOCK_SHINGLES shingles: pairs that pass the filters and are not linked yet on full sets, the
+shared shingles of a cell being numbered once. A group of n classes costs up to n * n / 2 such comparisons, whatever nodes it had;
+cells return links that join groups, fewer than they have classes. Only group membership is wanted, so pairs inside a group are not listed.
 
 Groups are found by alternating large-star and small-star steps over written edge tables. Nothing but counts goes to the
-driver; tables sent to all executors are counted first, and joined by shuffle beyond BROADCAST_ROWS.
+driver; tables sent to all executors are counted first, and joined by shuffle beyond BROADCAST_ROWS, after a bit table of wanted keys.
 
 Defined cases: null texts and texts without words have an empty set and stand alone; fewer words than a shingle are one
 shingle; repeated documents are one class; rows that share a doc_id are rows of their own; a group's id is its smallest
@@ -28,14 +29,14 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections import OrderedDict
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, free_shuffles, hands_back, materialise, small_batches, spread
@@ -52,11 +53,15 @@ SKETCH_BITS = 20
 MIN_EQUAL = 35
 BROADCAST_ROWS = 200_000
 WORDS = 200_000
-#: Shingles of texts that a task keeps at hand while it compares them.
-HELD_SHINGLES = 400_000
+#: A node of at most so many blocks of LEAF classes is compared at once.
+BLOCKS = 16
+#: Shingles of a block of texts, in mean: a task holds two blocks.
+BLOCK_SHINGLES = 2_000_000
+#: Bits of the table that says which keys are wanted: 4 MiB.
+SIEVE_BITS = 1 << 25
 #: Files of a table that is small enough to be sent to all executors.
 FEW_FILES = 8
-SETS = "doc_id long, n_shingles long, cid binary, sketch long, minwise array<int>, packed binary"
+SETS = "doc_id long, n_shingles long, cid binary, sketch long, signed binary, minwise array<int>, packed binary"
 
 _random = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 32, (2, COORDINATES), dtype=np.uint32)
 FACTORS, SHIFTS = _random[0] | np.uint32(1), _random[1]
@@ -104,6 +109,12 @@ def sketch_of(signature: np.ndarray) -> int:
     return int(np.packbits(mixed.astype(np.uint8)).view(">i8")[0])
 
 
+def signed_of(signature: np.ndarray) -> bytes:
+    """Four bits of each minwise value."""
+    mixed = ((signature.view(np.uint32).astype(np.uint64) * MIX) >> np.uint64(60)).astype(np.uint8)
+    return (mixed[::2] << 4 | mixed[1::2]).tobytes()
+
+
 def _sets(size: int):
     @hands_back
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,55 +126,36 @@ def _sets(size: int):
                 doc = None if doc is None else int(doc)
                 if len(own):
                     least = minwise(own)
-                    out.append((doc, len(own), xxhash.xxh3_128_digest(own.tobytes()), sketch_of(least), least, press.compress(data)))
+                    out.append((doc, len(own), xxhash.xxh3_128_digest(own.tobytes()), sketch_of(least), signed_of(least), least, press.compress(data)))
                 else:
-                    out.append((doc, 0, None, None, None, None))
+                    out.append((doc, 0, None, None, None, None, None))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in SETS.split(", ")]).astype({"doc_id": "Int64", "sketch": "Int64"})
 
     return build
 
 
-def _similar(size: int, percent: int):
-    @hands_back
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, open_, held, room = WordHashes(), zstandard.ZstdDecompressor(), OrderedDict(), 0
-
-        def of(cid: bytes, packed: bytes) -> np.ndarray:
-            nonlocal room
-            if cid in held:
-                held.move_to_end(cid)
-                return held[cid]
-            held[cid] = own = shingles(open_.decompress(packed), size, hashes)
-            room += len(own)
-            while room > HELD_SHINGLES and len(held) > 2:
-                room -= len(held.popitem(last=False)[1])
-            return own
-
-        for batch in batches:
-            keep = []
-            for a, b, x, y in zip(batch.a, batch.b, batch.text_a, batch.text_b, strict=True):
-                x, y = of(bytes(a), bytes(x)), of(bytes(b), bytes(y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.loc[keep, ["a", "b"]]
+def _among(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """df without most of the rows whose key (a long) is not in wanted (one column of longs), before they are shuffled.
 
-    return confirm
+    All keys lie in a bit table of SIEVE_BITS bits, which goes to all executors; what shares a bit with a wanted key stays.
+    """
+    slot = F.col(wanted.columns[0]).bitwiseAND(SIEVE_BITS - 1)
+    words = wanted.select(slot.alias("slot")).groupBy(F.expr("shiftright(slot, 12)").alias("block"), F.expr("cast(shiftright(slot, 6) & 63 as int)").alias("word"))
+    lists = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("found"))
+    full = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda w: F.coalesce(F.try_element_at("found", w), F.lit(0).cast("long")))
+    sieve = materialise(lists.select("block", full.alias("words")).coalesce(FEW_FILES), "sieve")
+    kept = df.withColumn("slot", key.bitwiseAND(SIEVE_BITS - 1)).withColumn("block", F.expr("shiftright(slot, 12)")).join(F.broadcast(sieve), "block")
+    return kept.where("shiftright(words[cast(shiftright(slot, 6) & 63 as int)], cast(slot & 63 as int)) & 1 = 1").select(*df.columns)
 
 
 def _members(sets: DataFrame, wanted: DataFrame, count: int, *columns: str) -> DataFrame:
     """cid and columns of the wanted classes (distinct, count at most), once each; a short list goes to all executors."""
-    wanted = F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted
-    return sets.select("cid", *columns).join(wanted, "cid", "left_semi").dropDuplicates(["cid"])
-
-
-def _confirmed(pairs: DataFrame, count: int, sets: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; pairs is a written table."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    texts = materialise(_members(sets, wanted, 2 * count, "packed"), "texts")
-    whole = pairs.join(texts.select(F.col("cid").alias("a"), F.col("packed").alias("text_a")), "a").join(texts.select(F.col("cid").alias("b"), F.col("packed").alias("text_b")), "b")
-    edges = materialise(whole.select("a", "b", "text_a", "text_b").mapInPandas(_similar(size, percent), "a binary, b binary"), "edges")
-    discard(texts)
-    return edges
+    rows = sets.select("cid", *columns)
+    if count <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    else:
+        rows = _among(rows.where("cid is not null"), F.xxhash64("cid"), wanted.select(F.xxhash64("cid").alias("slot")))
+    return rows.join(wanted, "cid", "left_semi").dropDuplicates(["cid"])
 
 
 def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
@@ -199,163 +191,197 @@ def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
     return stars.unionByName(stars.select(F.col("comp").alias("cid"), "comp").distinct())
 
 
-class Groups:
-    """The groups so far: comp of each class that has a link."""
+def _cells(rows: DataFrame, leaf: int, load: Column | None = None) -> DataFrame:
+    """Rows of nodes (key, and n classes) dealt to pairs of blocks, so that any two classes of a node meet in one cell (node).
 
-    def __init__(self, sets: DataFrame, size: int, percent: int):
-        self.sets, self.size, self.percent, self.comps = sets, size, percent, None
+    A block has leaf classes in mean, or BLOCK_SHINGLES shingles where load has the shingles of the whole node. side is the
+    block of a row within its cell, and cross says that only classes of different blocks are to be compared.
+    """
+    count = F.ceil(F.col("n") / leaf) if load is None else F.greatest(F.ceil(F.col("n") / leaf), F.ceil(load / BLOCK_SHINGLES))
+    carried = [c for c in rows.columns if c not in ("key", "n")]
+    own = F.pmod(F.xxhash64(F.lit(-1), "cid"), F.col("blocks")).cast("int")
+    cells = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, own) as lo, greatest(k, own) as hi))")
+    dealt = rows.withColumn("blocks", count.cast("int")).withColumn("own", own).withColumn("cell", F.explode(cells))
+    return dealt.select(F.xxhash64("key", "cell.lo", "cell.hi").alias("node"), (F.col("own") == F.col("cell.lo")).alias("side"), F.expr("cell.lo <> cell.hi").alias("cross"), *carried)
 
-    def marked(self, nodes: DataFrame) -> DataFrame:
-        if self.comps is None:
-            return nodes.withColumn("comp", F.col("cid"))
-        comps = F.broadcast(self.comps) if self.comps.count() <= BROADCAST_ROWS else self.comps
-        return nodes.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
 
-    def link(self, pairs: DataFrame) -> None:
-        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        if count := pairs.count():
-            self._join(_confirmed(pairs, count, self.sets, self.size, self.percent))
-        discard(pairs)
+def _linked(columns: list[str], find: Callable[..., list]):
+    """A function on rows sorted by node, for mapInPandas: the pairs (a, b) that find returns for the columns of each node's rows."""
 
-    def compare(self, rows: DataFrame) -> None:
-        """Compare the classes of each node (node, root, cid, sketch, comp) that are in different groups.
+    @hands_back
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, node, held = find(), None, []
 
-        Classes that meet in nodes of several roots are compared in the first: seen has a class's roots, bit by bit.
-        """
-        rows = materialise(rows, "near")
-        if count := rows.count():
-            members = _members(self.sets, rows.select("cid").distinct(), count, "packed", "minwise")
-            seen = rows.where("root >= 0").groupBy("cid").agg(F.bit_or(F.expr("shiftleft(1, root)")).alias("seen"))
-            whole = spread(rows.join(members.join(seen, "cid", "left"), "cid"), "node").sortWithinPartitions("node", "cid")
-            self._join(materialise(whole.mapInPandas(_node_links(self.size, self.percent), "a binary, b binary"), "edges"))
-        discard(rows)
+        def done() -> list:
+            return run(*(np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*held, strict=True))) if sum(len(x[0]) for x in held) > 1 else []
 
-    def _join(self, edges: DataFrame) -> None:
-        if not edges.isEmpty():
-            known = self.comps
-            all_edges = edges if known is None else edges.unionByName(known.select(F.col("cid").alias("a"), F.col("comp").alias("b")).where("a <> b"))
-            self.comps = materialise(components(all_edges), "comps")
-            if known is not None:
-                discard(known)
-        discard(edges)
-
-
-def _open_nodes(nodes: DataFrame, groups: Groups, salt: int) -> DataFrame:
-    """Rows of nodes with classes of several groups: key, cid, sketch, comp, n and a pivot (p, with sketch ps and group pc)."""
-    marked = groups.marked(nodes)
-    pivot = F.min(F.struct(F.xxhash64(F.lit(salt), "cid"), F.col("cid").alias("p"), F.col("sketch").alias("ps"), F.col("comp").alias("pc"))).alias("pivot")
-    about = marked.groupBy("key").agg(F.count("*").alias("n"), pivot, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    about = materialise(about.select("key", "n", "pivot.p", "pivot.ps", "pivot.pc"), "about")  # written, so that a large node's rows can be split
-    out = materialise(marked.join(about, "key"), "open")
-    discard(about)
-    return out
+        for batch in batches:
+            if not len(batch):
+                continue
+            nodes, out = batch["node"].to_numpy(), []
+            parts = [batch[c].to_numpy() for c in columns]
+            cuts = [0, *(np.flatnonzero(nodes[1:] != nodes[:-1]) + 1).tolist(), len(nodes)]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if held and nodes[start] != node:
+                    out += done()
+                    held = []
+                node = nodes[start]
+                held.append([x[start:end] for x in parts])
+            yield pd.DataFrame(out, columns=["a", "b"])
+        yield pd.DataFrame(done() if held else [], columns=["a", "b"])
 
+    return link
 
-def _stars(rows: DataFrame) -> DataFrame:
-    """Each class with its node's pivot, where the sketches are close and the groups differ."""
-    return rows.where((F.col("comp") != F.col("pc")) & _close(F.col("sketch"), F.col("ps"))).select(F.col("cid").alias("a"), F.col("p").alias("b"))
 
+def _joined(label: np.ndarray, i: int, found: np.ndarray, cid: np.ndarray, out: list) -> None:
+    """Take i and found into one group; out gets a pair for each group that i's group takes in."""
+    for j in found.tolist():
+        if label[j] != label[i]:
+            out.append((bytes(cid[i]), bytes(cid[j])))
+            label[label == label[j]] = label[i]
 
-def _close(x, y) -> F.Column:
-    return F.bit_count(x.bitwiseXOR(y)) <= SKETCH_BITS
 
+def _partners(i: int, label: np.ndarray, sketch: np.ndarray, side: np.ndarray | None) -> np.ndarray:
+    """The rows behind i in other groups (and, if sides are given, on the other side) that have a close sketch."""
+    good = (np.bitwise_count(sketch[i + 1 :] ^ sketch[i]) <= SKETCH_BITS) & (label[i + 1 :] != label[i])
+    if side is not None:
+        good &= side[i + 1 :] != side[i]
+    return i + 1 + np.flatnonzero(good)
 
-def _node_links(size: int, percent: int):
-    @hands_back
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _candidates():
+    """For _linked(): a forest that joins the classes whose signatures have MIN_EQUAL equal values, as far as four bits of each tell."""
+
+    def run(side: np.ndarray, cross: np.ndarray, cid: np.ndarray, sketch: np.ndarray, signed: np.ndarray) -> list[tuple[bytes, bytes]]:
+        label, out = np.arange(len(cid)), []
+        sketch, sides = sketch.astype(np.int64).view(np.uint64), side if cross[0] else None
+        packed = np.frombuffer(b"".join(map(bytes, signed)), dtype=np.uint64).reshape(len(cid), -1)
+        for i in range(len(cid) - 1):
+            near = _partners(i, label, sketch, sides)
+            if len(near):
+                differ = packed[near] ^ packed[i]
+                differ |= differ >> np.uint64(1)
+                differ |= differ >> np.uint64(2)
+                equal = COORDINATES - np.bitwise_count(differ & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
+                _joined(label, i, near[equal >= MIN_EQUAL], cid, out)
+        return out
+
+    return run
+
+
+def _confirmed(size: int, percent: int):
+    """For _linked(): pairs whose full sets are similar enough, as many as join the groups of the cell. Each text is read once."""
+
+    def make():
         hashes, open_ = WordHashes(), zstandard.ZstdDecompressor()
 
-        def compare(rows: list) -> list[tuple[bytes, bytes]]:
-            names, found = {}, []
-            group = [names.setdefault(bytes(r.comp), len(names)) for r in rows]
-            parent = list(range(len(names)))
-
-            def top(k: int) -> int:
-                while parent[k] != k:
-                    parent[k] = k = parent[parent[k]]
-                return k
-
-            own: OrderedDict[int, frozenset[int]] = OrderedDict()
-            room = 0
-
-            def of(k: int) -> frozenset[int]:
-                nonlocal room
-                if k not in own:
-                    own[k] = frozenset(shingles(open_.decompress(bytes(rows[k].packed)), size, hashes).tolist())
-                    room += len(own[k])
-                    while room > HELD_SHINGLES and len(own) > 2:
-                        room -= len(own.popitem(last=False)[1])
+        def run(side: np.ndarray, cross: np.ndarray, cid: np.ndarray, sketch: np.ndarray, minwise: np.ndarray, packed: np.ndarray) -> list[tuple[bytes, bytes]]:
+            own = [shingles(open_.decompress(bytes(x)), size, hashes) for x in packed]
+            sizes = np.array([len(x) for x in own])
+            names, number, often = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+            shared = often[number] > 1
+            ends = np.concatenate([[0], np.cumsum(shared)])[np.concatenate([[0], np.cumsum(sizes)])]
+            number, mark = number[shared].astype(np.int32), np.zeros(len(names), dtype=bool)
+            del own, names, often, shared
+            label, out = np.arange(len(cid)), []
+            sketch, least, sides = sketch.astype(np.int64).view(np.uint64), np.stack(list(minwise)), side if cross[0] else None
+            for i in range(len(cid) - 1):
+                near = _partners(i, label, sketch, sides)
+                near = near[(100 * np.minimum(sizes[near], sizes[i]) >= percent * np.maximum(sizes[near], sizes[i]))]
+                near = near[(least[near] == least[i]).sum(axis=1) >= MIN_EQUAL]
+                if not len(near):
+                    continue
+                mine = number[ends[i] : ends[i + 1]]
+                mark[mine] = True
+                if 4 * len(near) > len(cid) - i:  # all rows behind i at once
+                    total = np.concatenate([[0], np.cumsum(mark[number[ends[i + 1] :]])])
+                    common = total[ends[near + 1] - ends[i + 1]] - total[ends[near] - ends[i + 1]]
                 else:
-                    own.move_to_end(k)
-                return own[k]
-
-            sketch = np.array([r.sketch for r in rows], dtype=np.int64).view(np.uint64)
-            least = np.stack([r.minwise for r in rows])
-            number = np.array(group)
-            seen = np.array([0 if r.seen is None or r.seen != r.seen else int(r.seen) for r in rows], dtype=np.int64)
-            earlier = [(1 << k, c) for k, c in enumerate(ROOT_COORDINATES) if k < rows[0].root]
-            for i in range(len(rows) - 1):
-                near = i + 1 + np.flatnonzero((np.bitwise_count(sketch[i + 1 :] ^ sketch[i]) <= SKETCH_BITS) & (number[i + 1 :] != number[i]))
-                for bit, coordinate in earlier:
-                    if seen[i] & bit and len(near):
-                        near = near[((seen[near] & bit) == 0) | (least[near, coordinate] != least[i, coordinate])]
-                equal = (least[near] == least[i]).sum(axis=1)
-                for j in near[np.argsort(-equal, kind="stable")][: int((equal >= MIN_EQUAL).sum())].tolist():
-                    if (x := top(group[i])) != (y := top(group[j])):
-                        a, b = of(i), of(j)
-                        if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                            continue
-                        common = len(a & b)
-                        if 100 * common >= percent * (len(a) + len(b) - common):
-                            parent[x] = y
-                            found.append((bytes(rows[i].cid), bytes(rows[j].cid)))
-            return found
-
-        node, rows = None, []
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if row.node != node:
-                    out += compare(rows) if len(rows) > 1 else []
-                    node, rows = row.node, []
-                rows.append(row)
-            yield pd.DataFrame(out, columns=["a", "b"])
-        yield pd.DataFrame(compare(rows) if len(rows) > 1 else [], columns=["a", "b"])
+                    common = np.array([np.count_nonzero(mark[number[ends[j] : ends[j + 1]]]) for j in near.tolist()])
+                mark[mine] = False
+                _joined(label, i, near[100 * common >= percent * (sizes[i] + sizes[near] - common)], cid, out)
+            return out
 
-    return link
+        return run
 
+    return make
 
-def _near_rows(rows: DataFrame, *keys: str) -> DataFrame:
-    """node (of bounded size), cid and comp of the classes that have a close sketch in another group of their node."""
-    nodes = rows.groupBy(*keys).agg(F.first("root").alias("root"), F.collect_list(F.struct("cid", "comp", "sketch")).alias("all"))
-    near = F.filter("all", lambda x: F.exists("all", lambda y: (F.bit_count(x["sketch"].bitwiseXOR(y["sketch"])) <= SKETCH_BITS) & (x["comp"] != y["comp"])))
-    return nodes.select(F.xxhash64(*keys).alias("node"), "root", F.explode(near).alias("x")).select("node", "root", "x.*")
 
+def _links(cells: DataFrame, find: Callable[..., list], *columns: str) -> DataFrame:
+    """The pairs that find returns for each cell, written."""
+    columns = ["side", "cross", "cid", *columns]
+    dealt = spread(cells.select("node", *columns), "node").sortWithinPartitions("node", "cid")
+    return materialise(dealt.mapInPandas(_linked(columns, find), "a binary, b binary"), "edges")
 
-def _blocks(rows: DataFrame, leaf: int) -> DataFrame:
-    """Rows of large nodes dealt to pairs of blocks, so that any two classes of a node meet in one; a cell's size is bounded in mean."""
-    count = F.ceil(F.col("n") / leaf).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(-1), "cid"), count).cast("int")
-    cells = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, own) as lo, greatest(k, own) as hi))")
-    return rows.withColumn("blocks", count).withColumn("own", own).withColumn("cell", F.explode(cells)).select("key", F.col("cell.lo").alias("lo"), F.col("cell.hi").alias("hi"), F.lit(-1).alias("root"), "cid", "sketch", "comp")
+
+def _open_nodes(nodes: DataFrame) -> DataFrame:
+    """The rows of nodes with several classes, with their number n; only keys and numbers of the others are shuffled."""
+    several = materialise(nodes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    if several.count() <= BROADCAST_ROWS:
+        rows = nodes.join(F.broadcast(several), "key")
+    else:
+        rows = _among(nodes, F.col("key"), several.select("key")).join(several, "key")
+    out = materialise(rows, "open")
+    discard(several)
+    return out
 
 
-def _roots(sets: DataFrame) -> DataFrame:
-    """The first level: each tree's root has a coordinate of its own."""
-    keys = F.array(*[F.struct(F.xxhash64(F.lit(k), F.lit(i), F.col("minwise")[i]).alias("key"), F.lit(k).alias("root")) for k, i in enumerate(ROOT_COORDINATES)])
-    return sets.where("cid is not null").select(F.explode(keys).alias("k"), "cid", "sketch").select("k.*", "cid", "sketch").distinct()
+def _roots(sets: DataFrame, *carried: str) -> DataFrame:
+    """The first level, key, cid and what is carried: each tree's root has a coordinate of its own."""
+    keys = F.array(*[F.xxhash64(F.lit(k), F.lit(i), F.col("minwise")[i]) for k, i in enumerate(ROOT_COORDINATES)])
+    classes = materialise(sets.where("cid is not null").select("cid", *carried, keys.alias("keys")).dropDuplicates(["cid"]), "classes")
+    return classes.select(F.explode("keys").alias("key"), "cid", *carried)
 
 
 def _children(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """The next level of large nodes: each chooses two coordinates by its key."""
     wanted = rows.select("cid").distinct()
-    signed = rows.select("key", "cid", "sketch").join(_members(sets, wanted, rows.count(), "minwise"), "cid")
+    signed = rows.join(_members(sets, wanted, rows.count(), "minwise"), "cid")
     pick = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "key"), F.lit(n))
     first = pick(1, COORDINATES)
     second = F.pmod(first + 1 + pick(2, COORDINATES - 1), F.lit(COORDINATES))
     child = lambda c: F.xxhash64("key", c, F.element_at("minwise", (c + 1).cast("int")))
-    keys = F.array(child(first), child(second))
-    return signed.select(F.explode(keys).alias("key"), F.lit(-1).alias("root"), "cid", "sketch").distinct()
+    return signed.select(F.explode(F.array(child(first), child(second))).alias("key"), *[c for c in rows.columns if c != "key"])
+
+
+def _candidate_groups(sets: DataFrame, leaf: int, depth: int) -> DataFrame | None:
+    """cid and comp of the classes that have a candidate: any two candidates of a node are in one group."""
+    nodes, edges = _roots(sets, "sketch", "signed"), []
+    for level in range(depth + 1):
+        rows = _open_nodes(nodes)
+        discard(nodes)
+        small = rows if level == depth else rows.where(F.col("n") <= leaf * BLOCKS)
+        edges.append(_links(_cells(small, leaf), _candidates, "sketch", "signed"))
+        large = rows.where(F.col("n") > leaf * BLOCKS)
+        if level == depth or large.isEmpty():
+            discard(rows)
+            break
+        nodes = materialise(_children(large.drop("n"), sets), "nodes")
+        discard(rows)
+        free_shuffles(sets)
+    found = functools.reduce(DataFrame.unionByName, edges)
+    groups = None if found.isEmpty() else materialise(components(found), "candidates")
+    for old in edges:
+        discard(old)
+    return groups
+
+
+def _groups(sets: DataFrame, size: int, percent: int, leaf: int, depth: int) -> DataFrame | None:
+    """cid and comp of the classes that have a link."""
+    groups = _candidate_groups(sets, leaf, depth)
+    if groups is None:
+        return None
+    count = groups.count()
+    rows = groups.join(_members(sets, groups.select("cid"), count, "n_shingles", "sketch", "minwise", "packed"), "cid").withColumnRenamed("comp", "key")
+    rows = materialise(rows, "near")
+    sums = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("load"))
+    cells = _cells(rows.join(F.broadcast(sums) if count <= BROADCAST_ROWS else sums, "key"), leaf, F.col("load"))
+    edges = _links(cells, _confirmed(size, percent), "sketch", "minwise", "packed")
+    discard(rows)
+    discard(groups)
+    comps = None if edges.isEmpty() else materialise(components(edges), "comps")
+    discard(edges)
+    return comps
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
@@ -363,26 +389,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = materialise(texts.mapInPandas(_sets(shingle), SETS), "sets")
-    groups = Groups(sets, shingle, round(100 * similarity))
-    nodes = materialise(_roots(sets), "nodes")
-    rows = _open_nodes(nodes, groups, 0)
-    groups.link(_stars(rows))
-    discard(nodes)
-    nodes = rows.select("key", "root", "cid", "sketch")
-    for level in range(depth + 1):
-        old, rows = rows, _open_nodes(nodes, groups, level + 1)
-        discard(old)
-        large = rows.where(F.col("n") > leaf)
-        groups.compare(_near_rows(rows.where(F.col("n") <= leaf), "key"))
-        if level == depth:
-            groups.compare(_near_rows(_blocks(large, leaf), "key", "lo", "hi"))
-            break
-        if large.isEmpty():
-            break
-        nodes = _children(large, sets)
-        free_shuffles(sets)
-    discard(rows)
-    keyed = groups.marked(sets.select("doc_id", "n_shingles", "cid")).withColumn("group", F.coalesce(F.col("comp"), F.encode(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8")))
+    comps = _groups(sets, shingle, round(100 * similarity), leaf, depth)
+    keyed = sets.select("doc_id", "n_shingles", "cid")
+    if comps is None:
+        keyed = keyed.withColumn("comp", F.col("cid"))
+    else:
+        keyed = keyed.join(F.broadcast(comps) if comps.count() <= BROADCAST_ROWS else comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    keyed = keyed.withColumn("group", F.coalesce(F.col("comp"), F.encode(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8")))
     keyed = materialise(keyed.select("doc_id", "n_shingles", "group"), "keyed")
     first = materialise(keyed.groupBy("group").agg(F.min("doc_id").alias("component_id")), "first")
     discard(sets)

@@ -309,6 +309,42 @@ def test_pairs_stay_together_in_large_nodes(spark):
     assert together.select("pair").distinct().count() == 1000
 
 
+def written(monkeypatch):
+    """The number of rows of each table that the join writes, by its label."""
+    rows, write = Counter(), cpsjoin.materialise
+
+    def counted(df, label):
+        out = write(df, label)
+        rows[label] += out.count()
+        return out
+
+    monkeypatch.setattr(cpsjoin, "materialise", counted)
+    return rows
+
+
+def test_texts_travel_once_however_many_nodes_share_them(spark, documents, monkeypatch):
+    rows, counts = near_copies(40, 2), written(monkeypatch)
+    cpsjoin.near_duplicates(documents(rows)).collect()
+    assert 0 < counts["near"] <= len({t for _, t in rows})
+
+
+@pytest.mark.parametrize("blocks,shingles,few", [(1, 2_000_000, 500_000), (1, 50, 0), (16, 150, 500_000)])
+def test_near_duplicate_groups_over_cells(spark, documents, monkeypatch, blocks, shingles, few):
+    """Nodes that branch and are dealt to cells at the last level, groups dealt to cells by their shingles, wanted rows by bit table."""
+    for name, value in (("BLOCKS", blocks), ("BLOCK_SHINGLES", shingles), ("BROADCAST_ROWS", few)):
+        monkeypatch.setattr(cpsjoin, name, value)
+    rows = near_copies(30, 3)
+    found = {r["doc_id"]: r["component_id"] for r in cpsjoin.near_duplicates(documents(rows), leaf=2, depth=2).collect()}
+    assert found == groups_by_force(rows, 5, 80)
+
+
+def test_the_bit_table_keeps_what_is_wanted(spark, monkeypatch):
+    monkeypatch.setattr(cpsjoin, "SIEVE_BITS", 1 << 20)
+    rows = spark.range(200_000).select("id", F.xxhash64("id").alias("k"))
+    kept = {r["id"] for r in cpsjoin._among(rows, F.col("k"), rows.where("id % 100 = 7").select("k")).select("id").collect()}
+    assert kept >= set(range(7, 200_000, 100)) and len(kept) < 4_000
+
+
 def test_near_duplicates_of_odd_rows(spark, documents):
     found = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in cpsjoin.near_duplicates(documents(ROWS), 4).collect()))
     by = Counter(found)

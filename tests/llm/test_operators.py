@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -328,6 +329,31 @@ def test_texts_travel_once_however_many_nodes_share_them(spark, documents, monke
     assert 0 < counts["near"] <= len({t for _, t in rows})
 
 
+def test_a_cell_reads_each_text_once(monkeypatch):
+    """Also where most pairs fail, so that none of them saves another comparison."""
+    draw, read, plain = random.Random(5), Counter(), cpsjoin.shingles
+    base = [f"w{draw.randrange(400)}" for _ in range(200)]
+    texts = [" ".join(f"e{draw.randrange(10**6)}" if draw.randrange(100) < 1 + k % 5 else w for w in [*base, f"u{k}"]) for k in range(120)]
+    sets = pd.concat(cpsjoin._sets(4)(iter([pd.DataFrame({"doc_id": [str(k) for k in range(120)], "text": texts})])))
+
+    def counted(data, size, hashes):
+        read[data] += 1
+        return plain(data, size, hashes)
+
+    monkeypatch.setattr(cpsjoin, "shingles", counted)
+    one_cell = sets.assign(node=1, side=True, cross=False)[["node", "side", "cross", "cid", "sketch", "minwise", "packed"]]
+    parts = iter([one_cell[:50], one_cell[50:51], one_cell[51:]])
+    found = pd.concat(cpsjoin._linked(["side", "cross", "cid", "sketch", "minwise", "packed"], cpsjoin._confirmed(4, 80))(parts))
+    assert set(read.values()) == {1} and len(read) == 120
+    label = {c: k for k, c in enumerate(sets.cid)}
+    for a, b in zip(found.a, found.b, strict=True):
+        old, one = label[a], label[b]
+        assert old != one
+        label = {c: one if g == old else g for c, g in label.items()}
+    wanted = groups_by_force(list(enumerate(texts)), 4, 80)
+    assert Counter(Counter(label.values()).values()) == Counter(Counter(wanted.values()).values()) and 5 < len(set(wanted.values())) < 115
+
+
 @pytest.mark.parametrize("blocks,shingles,few", [(1, 2_000_000, 500_000), (1, 50, 0), (16, 150, 500_000)])
 def test_near_duplicate_groups_over_cells(spark, documents, monkeypatch, blocks, shingles, few):
     """Nodes that branch and are dealt to cells at the last level, groups dealt to cells by their shingles, wanted rows by bit table."""

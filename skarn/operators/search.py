@@ -5,9 +5,13 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +19,25 @@ from ..functions.stems import stem, stop_words
 
 #: A token: ASCII letters and digits and the Latin letters up to U+024F.
 TOKEN = r"[a-zA-Z0-9À-ɏ]+"
-BETWEEN = r"[^a-zA-Z0-9À-ɏ]+"
 K1, B = 1.2, 0.75
-#: Parts of a stored index; a term's postings lie in one of them.
-PARTS = 32
+#: Documents whose postings are put in order together: as many as have so many tokens.
+BLOCK = 1_000_000
 #: A list of wanted terms up to so many rows goes to all executors.
 BROADCAST_ROWS = 100_000
 
 
 def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+
+
+def tokenised(df: DataFrame, kept: list[Column], words: dict[str, Column]) -> DataFrame:
+    """kept, and each text's tokens under its name. A generator of one row, which filters and projections stay above: each text is
+    cut into tokens once, however often they are used."""
+    return df.select(*kept, F.inline(F.array(F.struct(*[tokens(c).alias(name) for name, c in words.items()]))))
+
+
+def occurrences(words: Column, word: str | Column) -> Column:
+    return F.size(words) - F.size(F.array_remove(words, word))
 
 
 def postings(df: DataFrame, key: str, text: str, stop: tuple[str, ...] = ()) -> DataFrame:
@@ -46,6 +59,63 @@ def term_statistics(df: DataFrame, text: str) -> DataFrame:
     return rows.select(F.explode(once).alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.count("*").alias("n"), F.sum("x.first").alias("df"))
 
 
+def inverted(fields: list[str], left_out: list[str]) -> Callable[[Iterator], Iterator]:
+    """Batches of documents (key, tokens of each field, perhaps forms and stems of these) to rows of a TextIndex, block by block."""
+
+    def block(table: pa.Table) -> pa.RecordBatch:
+        flat = lambda name: pa.concat_arrays([c.flatten() for c in table[name].chunks])
+        keys, documents = table["key"].combine_chunks(), np.arange(table.num_rows)
+        counts = [pc.list_value_length(table[f"words_{i}"]).to_numpy() for i in range(len(fields))]
+        words = pa.concat_arrays([flat(f"words_{i}") for i in range(len(fields))])
+        field = np.repeat(np.arange(len(fields)), [int(c.sum()) for c in counts])
+        document = np.concatenate([np.repeat(documents, c) for c in counts])
+        position = np.concatenate([np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) for c in counts])
+        if left_out:
+            kept = np.flatnonzero(~pc.is_in(words, value_set=pa.array(left_out, words.type)).to_numpy(zero_copy_only=False))
+            words, field, document, position = words.take(pa.array(kept)), field[kept], document[kept], position[kept]
+        if "stems" in table.column_names:
+            forms = flat("forms").dictionary_encode()
+            first = np.unique(forms.indices.to_numpy(), return_index=True)[1]
+            words = flat("stems").take(pa.array(first)).take(pc.index_in(words, value_set=forms.dictionary))
+        terms = words.dictionary_encode()
+        code = terms.indices.to_numpy()
+        order = np.argsort(code, kind="stable")  # by term, then as they stand: by field, document and position
+        code, field, document, position = code[order], field[order], document[order], position[order]
+        differs = lambda *columns: np.flatnonzero(np.concatenate([[True], reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])])) if len(columns[0]) else np.zeros(0, int)
+        posting = differs(code, field, document)
+        row = differs(code[posting], field[posting])
+        start = np.append(posting[row], len(code))
+        ends = np.append(posting[1:], len(code))[: len(posting)] - np.repeat(start[:-1], np.diff(np.append(row, len(posting))))
+        pairs = code[posting].astype(np.int64) * len(documents) + document[posting]
+        pairs = np.unique(pairs[keys.is_valid().to_numpy(zero_copy_only=False)[document[posting]]])
+        docs = np.bincount(pairs // max(len(documents), 1), minlength=len(terms.dictionary))[code[start[:-1]]]
+        docs[1:] *= code[start[1:-1]] != code[start[:-2]]  # a term's documents stand in the first of its fields
+        lengths = np.bincount(document, minlength=len(documents))
+        lists = lambda values, offsets: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        columns = [
+            pa.concat_arrays([pa.array([""], words.type), terms.dictionary.take(pa.array(code[start[:-1]]))]),
+            pa.array(["", *np.array(fields, object)[field[start[:-1]]]], pa.string()),
+            pa.array(np.append(0, docs), pa.int64()),
+            pa.array(np.append(len(code), np.diff(start)), pa.int64()),
+            lists(keys.take(pa.array(np.append(documents, document[posting]))), np.concatenate([[0], row + len(documents), [len(documents) + len(posting)]])),
+            lists(pa.array(np.append(lengths, ends), pa.int32()), np.concatenate([[0], row + len(documents), [len(documents) + len(posting)]])),
+            lists(pa.array(position, pa.int32()), np.append(0, start)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["term", "field", "docs", "n", "keys", "ends", "positions"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + sum(len(batch[f"words_{i}"].flatten()) for i in range(len(fields)))
+            if n >= BLOCK:
+                yield block(pa.Table.from_batches(held))
+                held, n = [], 0
+        if sum(b.num_rows for b in held):
+            yield block(pa.Table.from_batches(held))
+
+    return blocks
+
+
 @dataclass
 class Part:
     """One part of a query: a word, a phrase (in order), a prefix or a near word, perhaps of one field, perhaps excluded."""
@@ -106,23 +176,20 @@ def tf_idf(tf: Column, df: Column, n_docs: Column, length: Column | None = None,
 def bm25(df: DataFrame, key: str, text: str, words: list[str], every: bool = False, k1: float = K1, b: float = B) -> DataFrame:
     """key and score of the documents that hold any (or every) word, without an index: two scans and no shuffle of postings.
 
-    The first scan counts documents, tokens and the documents of each word; in the second, each document adds its own words up.
+    The first scan counts documents, tokens and the documents of each word. The second leaves out texts without any of the words as
+    they stand, before it cuts the others into tokens, and adds each document's own words up.
     """
     wanted = sorted(set(words))
-    own = df.select(F.col(f"`{key}`"), tokens(F.col(f"`{text}`")).alias("words"))
-    own = own.select(key, F.size("words").alias("len"), F.filter("words", lambda w: w.isin(wanted)).alias("own"))
-    held = [F.count_if(F.array_contains("own", F.lit(w))).alias(f"df_{i}") for i, w in enumerate(wanted)]
-    about = own.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("mean"), *held).first()
-    rows = own.where(F.size("own") > 0).select(key, "len", F.array(*[_occurrences(w) for w in wanted]).alias("tf"))
+    held = [F.count_if(F.array_contains("words", F.lit(w))).alias(f"df_{i}") for i, w in enumerate(wanted)]
+    about = tokenised(df, [], {"words": F.col(f"`{text}`")}).agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("words")), F.lit(0.0)).alias("mean"), *held).first()
+    near = df.where(reduce(lambda x, y: x | y, [F.lower(F.col(f"`{text}`")).contains(w) for w in wanted], F.lit(False)))
+    rows = tokenised(near, [F.col(f"`{key}`")], {"words": F.col(f"`{text}`")})
+    rows = rows.select(key, F.size("words").alias("len"), F.array(*[occurrences(F.col("words"), w) for w in wanted]).cast("array<int>").alias("tf"))
     weights = F.array(*[F.lit(float(_idf(about["n"], about[f"df_{i}"]))) for i in range(len(wanted))])
     size = 1 - b + b * F.col("len") / F.lit(about["mean"] or 1.0)
     parts = F.zip_with("tf", weights, lambda tf, w: F.when(tf > 0, w * tf * (k1 + 1) / (tf + k1 * size)).otherwise(0.0))
     scored = rows.select(key, F.aggregate(parts, F.lit(0.0), lambda s, x: s + x).alias("score"), F.size(F.filter("tf", lambda x: x > 0)).cast("long").alias("matched"))
-    return scored.where(F.col("matched") == len(wanted)) if every else scored
-
-
-def _occurrences(word: str) -> Column:
-    return F.size(F.filter("own", lambda x: x == word))
+    return scored.where(F.col("matched") == len(wanted) if every else F.col("matched") > 0)
 
 
 def _idf(n: int, df: int) -> float:
@@ -147,60 +214,82 @@ def holds_phrase(text: Column, words: list[str]) -> Column:
 
 
 class TextIndex:
-    """A stored inverted index over weighted fields: postings by part of the terms, a term table, lengths and totals.
+    """A stored inverted index over weighted fields: postings in segments, a term table, lengths and totals.
 
-    Postings of a term lie in one of PARTS folders, sorted by term, so a search reads the parts and row groups of its terms alone.
-    Stems are made of distinct terms. Statistics are those of the whole corpus, whatever a search filters.
+    Each task that reads documents writes one segment, sorted by term, so postings are never shuffled and a search reads, of every
+    segment, only the row groups and pages of its terms. A row has the postings of a term in one field of a block of documents: their
+    keys, where each one's positions end, and the positions one document after the other; the empty term has all documents of a block
+    and, as ends, their lengths. Stems are made of distinct terms. Statistics are those of the whole corpus, whatever a search filters.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         about = json.loads(spark.read.text(f"{self.folder}/about", wholetext=True).first()[0])
-        self.key, self.weights, self.language, self.parts, self.n_docs, self.mean = (about[k] for k in ("key", "weights", "language", "parts", "n_docs", "mean"))
+        self.key, self.weights, self.language, self.repeats, self.n_docs, self.mean = (about[k] for k in ("key", "weights", "language", "repeats", "n_docs", "mean"))
 
     @classmethod
-    def build(cls, df: DataFrame, key: str, fields: dict[str, float], folder: str, language: str = "none", stop: list[str] | None = None, parts: int = PARTS) -> TextIndex:
+    def build(cls, df: DataFrame, key: str, fields: dict[str, float], folder: str, language: str = "none", stop: list[str] | None = None) -> TextIndex:
         spark, folder = df.sparkSession, folder.rstrip("/")
         left_out = stop_words(language) if stop is None else stop
-        name = F.col(f"`{key}`").alias("key")
-        texts = df.select(name, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("text")) for f in fields])).alias("x"))
-        words = texts.select("key", "x.field", F.posexplode(tokens(F.col("x.text"))).alias("pos", "raw"))
-        if left_out:
-            words = words.where(~F.col("raw").isin(left_out))
-        held = words.groupBy("key", "field", "raw").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-        if language == "none":
-            held = held.withColumnRenamed("raw", "term").withColumn("tf", F.size("positions"))
-        else:  # forms of a stem join; what is stemmed is one row a form and document, not each occurrence
-            held = held.withColumn("term", stem(F.col("raw"), language)).groupBy("key", "field", "term").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
-            held = held.withColumn("tf", F.size("positions"))
-        held = held.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-        held.repartition(parts, "part").sortWithinPartitions("part", "term", "key").write.partitionBy("part").parquet(f"{folder}/postings")
+        words = tokenised(df, [F.col(f"`{key}`").alias("key")], {f"words_{i}": F.col(f"`{f}`").cast("string") for i, f in enumerate(fields)})
+        if language != "none":
+            words = words.withColumn("forms", F.array_distinct(F.concat(*[f"words_{i}" for i in range(len(fields))])))
+            words = words.withColumn("stems", F.transform("forms", lambda w: stem(w, language)))
+        kind = df.select(F.col(f"`{key}`")).schema[0].dataType.simpleString()
+        rows = words.mapInArrow(inverted(list(fields), left_out), f"term string, field string, docs long, n long, keys array<{kind}>, ends array<int>, positions array<int>")
+        rows.sortWithinPartitions("term", "field").write.parquet(f"{folder}/postings")
         stored = spark.read.parquet(f"{folder}/postings")
-        stored.groupBy("part", "term").agg(F.count_distinct("key").alias("df"), F.sum("tf").alias("n")).sortWithinPartitions("term").write.parquet(f"{folder}/terms")
-        stored.groupBy("key").agg(F.sum("tf").alias("len")).write.parquet(f"{folder}/lengths")
-        n = df.count()
-        total = spark.read.parquet(f"{folder}/lengths").agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
-        about = {"key": key, "weights": fields, "language": language, "parts": parts, "n_docs": n, "mean": total / n if n else 0.0}
+        lengths = stored.where("term = ''").select(F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("ends").alias("len"))))
+        lengths.groupBy("key").agg(F.sum("len").alias("len"), F.count("*").alias("rows")).write.parquet(f"{folder}/lengths")
+        about = spark.read.parquet(f"{folder}/lengths").agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("len"), F.lit(0)), F.max(F.when(F.col("key").isNotNull(), F.col("rows")))).first()
+        repeats, held = (about[2] or 0) > 1, stored.where("term > ''")
+        if repeats:  # blocks do not know each other's documents
+            one = held.select("term", F.explode("keys").alias("key")).groupBy("term").agg(F.count_distinct("key").alias("df"))
+            terms = held.groupBy("term").agg(F.sum("n").alias("n")).join(one, "term").select("term", "df", "n")
+        else:
+            terms = held.groupBy("term").agg(F.sum("docs").alias("df"), F.sum("n").alias("n"))
+        terms.sortWithinPartitions("term").write.parquet(f"{folder}/terms")
+        about = {"key": key, "weights": fields, "language": language, "repeats": repeats, "n_docs": about[0], "mean": about[1] / about[0] if about[0] else 0.0}
         spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{folder}/about")
         return cls(spark, folder)
 
     def terms(self) -> DataFrame:
-        """part, term, documents that hold it and its count."""
+        """term, documents that hold it and its count."""
         return self.spark.read.parquet(f"{self.folder}/terms")
 
-    def _wanted(self, query: TextQuery, edits: int) -> DataFrame:
-        """number of the part, term, boost and place in a phrase, of every term that a part of the query means."""
+    def _wanted(self, query: TextQuery, edits: int) -> tuple[DataFrame, Column]:
+        """number of the part, term, boost, place in a phrase and documents of every term that a part of the query means; and what holds
+        for all these terms and lets a reader of sorted terms leave out most others."""
         exact = [(i, w, 1.0, k) for i, p in enumerate(query.parts) if p.kind in ("word", "phrase") for k, w in enumerate(p.words)]
         rows = self.spark.createDataFrame(exact, "n int, term string, boost double, place int")
         out = rows.select("n", stem(F.col("term"), self.language).alias("term"), "boost", "place")
+        among = F.col("term").isin(sorted({r["term"] for r in out.select("term").collect()}))  # the query's own words
         for i, p in enumerate(query.parts):
             if p.kind == "prefix":
                 found = prefix_terms(self.terms(), p.words[0]).select(F.lit(i).alias("n"), "term", F.lit(1.0).alias("boost"), F.lit(0).alias("place"))
-                out = out.unionByName(found)
+                out, among = out.unionByName(found), among | F.col("term").startswith(p.words[0])
             elif p.kind == "near":
                 found = near_terms(self.terms(), p.words[0], edits).select(F.lit(i).alias("n"), "term", "boost", F.lit(0).alias("place"))
-                out = out.unionByName(found)
-        return out.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(self.parts)).cast("int"))
+                out, among = out.unionByName(found), among | (F.abs(F.length("term") - len(p.words[0])) <= edits)
+        return out.join(self.terms().where(among).select("term", "df"), "term"), among
+
+    def _hits(self, query: TextQuery, edits: int) -> DataFrame:
+        """The postings of the terms that the parts of a query mean, with positions if it has a phrase."""
+        wanted, among = self._wanted(query, edits)
+        held = self.spark.read.parquet(f"{self.folder}/postings").where(among & (F.col("term") > "")).drop("docs", "n")
+        hits = held.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "term")
+        for i, p in enumerate(query.parts):
+            if p.field is not None:
+                hits = hits.where((F.col("n") != i) | (F.col("field") == p.field))
+        before = lambda i: F.when(i > 0, F.get("ends", i - 1)).otherwise(0)
+        one = {"key": lambda k, i: k, "tf": lambda k, i: F.get("ends", i) - before(i)}
+        if any(p.kind == "phrase" for p in query.parts):
+            one["positions"] = lambda k, i: F.slice("positions", before(i) + 1, F.get("ends", i) - before(i))
+        names = ["n", "boost", "place", "df", "field", "term"]
+        hits = hits.select(*names, F.inline(F.transform("keys", lambda k, i: F.struct(*[f(k, i).alias(name) for name, f in one.items()]))))
+        if self.repeats:
+            hits = hits.groupBy(*names, "key").agg(F.sum("tf").alias("tf"), *[F.flatten(F.collect_list("positions")).alias("positions")] * ("positions" in one))
+        return hits
 
     def search(
         self, query: str | TextQuery, limit: int | None = 10, offset: int = 0, docs: DataFrame | None = None, where: Column | None = None, exact_boost: float | None = None,
@@ -216,14 +305,7 @@ class TextIndex:
         if not [p for p in q.parts if not p.excluded]:
             empty = self.spark.read.parquet(f"{self.folder}/lengths").limit(0)
             return empty.select(F.col("key").alias(name), F.lit(0.0).alias("score"))
-        wanted = self._wanted(q, edits)
-        few = wanted.count() <= BROADCAST_ROWS
-        parts = [r["part"] for r in wanted.select("part").distinct().collect()]  # at most PARTS
-        held = self.spark.read.parquet(f"{self.folder}/postings").where(F.col("part").isin(parts))
-        hits = held.join(F.broadcast(wanted.drop("part")) if few else wanted.drop("part"), "term")
-        narrowed = [(i, p.field) for i, p in enumerate(q.parts) if p.field is not None]
-        for i, f in narrowed:
-            hits = hits.where((F.col("n") != i) | (F.col("field") == f))
+        hits = self._hits(q, edits)
         for i, p in enumerate(q.parts):
             if p.kind == "phrase":
                 hits = hits.where(F.col("n") != i).unionByName(self._phrase(hits.where(F.col("n") == i), len(p.words)))
@@ -232,8 +314,7 @@ class TextIndex:
         excluded = hits.where(F.col("n").isin(bad)).select("key").distinct() if bad else None
         hits = hits.where(F.col("n").isin(good))
         lengths = self.spark.read.parquet(f"{self.folder}/lengths")
-        terms = self.terms().where(F.col("part").isin(parts)).select("term", "df")
-        hits = hits.join(terms, "term").join(lengths, "key")
+        hits = hits.join(lengths.select("key", "len"), "key")
         weights = F.create_map(*[F.lit(x) for f, w in self.weights.items() for x in (f, float(w))])
         weight = scorer(F.col("tf"), F.col("df"), F.lit(self.n_docs), F.col("len"), F.lit(self.mean or 1.0))
         hits = hits.withColumn("score", weight * F.element_at(weights, F.col("field")) * F.col("boost"))
@@ -264,56 +345,83 @@ class TextIndex:
         return hits.join(found.select("key", "field"), ["key", "field"], "left_semi").select(*hits.columns)
 
 
+def _means(p: Part, word: Column) -> Column:
+    """Whether a token is one that a part of a query means."""
+    if p.kind == "prefix":
+        return word.startswith(p.words[0])
+    return F.levenshtein(word, F.lit(p.words[0]), 2) >= 0 if p.kind == "near" else word.isin(sorted(set(p.words)))
+
+
 def _holds(words: Column, p: Part) -> Column:
     """Whether a document's tokens have what a part of a query means."""
-    if p.kind == "prefix":
-        return F.exists(words, lambda w: w.startswith(p.words[0]))
     if p.kind == "near":
-        return F.exists(words, lambda w: F.levenshtein(w, F.lit(p.words[0])) <= 2)
-    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).contains(" " + " ".join(p.words) + " ")
+        return F.exists(words, lambda w: _means(p, w))
+    if p.kind == "word":
+        return F.array_contains(words, F.lit(p.words[0]))
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).contains(" " + " ".join(p.words) + (" " if p.kind == "phrase" else ""))
+
+
+def _may_hold(text: Column, p: Part) -> Column:
+    """Whether the text as it stands has the words of a part, perhaps within others; true where that tells nothing."""
+    if p.kind == "near":
+        return F.lit(True)
+    return reduce(lambda a, b: a & b, [F.lower(text).contains(w) for w in p.words])
 
 
 def search(df: DataFrame, key: str, text: str, query: str, limit: int | None = 10) -> DataFrame:
     """Ranked documents of a query over one text without a stored index, by the rules of TextIndex.search(); ties by key.
 
-    Statistics are those of all documents. What a prefix or a near word means is joined as a list of terms of any length. A part of
-    another field restricts the documents and adds nothing to their scores.
+    Statistics are those of all documents. A part of another field restricts the documents and adds nothing to their scores. All that
+    concerns a document is found within its row: texts that cannot match are left out as they stand, the others cut into tokens once,
+    and only keys and scores are shuffled. What a prefix or a near word means is a list of terms of any length, joined.
     """
-    q, spark = parse(query), df.sparkSession
-    words = {f: tokens(F.col(f"`{f}`")) for f in {text} | {p.field for p in q.parts if p.field}}
-    rows = df.select(F.col(f"`{key}`").alias("key"), *[c.alias(f"words_{f}") for f, c in words.items()])
+    q = parse(query)
+    texts = {f: F.col(f"`{f}`") for f in {text} | {p.field for p in q.parts if p.field}}
     own, of = F.col(f"words_{text}"), lambda p: F.col(f"words_{p.field or text}")
-    scoring = [(i, p) for i, p in enumerate(q.parts) if not p.excluded and p.field in (None, text)]
-    kept = rows
+    cut = lambda rows: tokenised(rows, [F.col(f"`{key}`").alias("key")], {f"words_{f}": c for f, c in texts.items()})
+    scoring = [p for p in q.parts if not p.excluded and p.field in (None, text)]
+    may = [_may_hold(texts[text], p) for p in scoring]
+    near = df
+    for p in q.parts:
+        if not p.excluded and p.field not in (None, text):
+            near = near.where(_may_hold(texts[p.field], p))
+    if scoring:
+        near = near.where(reduce((lambda a, b: a & b) if q.every else (lambda a, b: a | b), may))
+    kept = cut(near)
     for p in q.parts:
         if p.excluded or p.field not in (None, text):
             kept = kept.where(~_holds(of(p), p) if p.excluded else _holds(of(p), p))
     if not scoring:
         ranked = kept.select(F.col("key").alias(key), F.lit(0.0).alias("score")).orderBy(key)
         return ranked if limit is None else ranked.limit(limit)
-    wanted = spark.createDataFrame([(i, w, 1.0) for i, p in scoring if p.kind in ("word", "phrase") for w in p.words], "n int, term string, boost double")
-    if any(p.kind in ("prefix", "near") for _, p in scoring):
-        terms = term_statistics(df, text)
-        for i, p in scoring:
-            if p.kind in ("prefix", "near"):
-                found = prefix_terms(terms, p.words[0]).withColumn("boost", F.lit(1.0)) if p.kind == "prefix" else near_terms(terms, p.words[0])
-                wanted = wanted.unionByName(found.select(F.lit(i).alias("n"), "term", "boost"))
+    listed = sorted({w for p in scoring if p.kind in ("word", "phrase") for w in p.words})
+    held = [F.count_if(F.array_contains("words", F.lit(w))) for w in listed]
+    about = tokenised(df, [], {"words": texts[text]}).agg(F.count("*"), F.coalesce(F.avg(F.size("words")), F.lit(1.0)), *held).first()
+    weight = lambda tf, df, length: bm25_weight(tf, df, F.lit(about[0]), length, F.lit(about[1] or 1.0))
     # a part counts for a document only if the document holds all of it, as a phrase's words next to each other
-    whole = F.array_compact(F.array(*[F.when(_holds(own, p), F.lit(i)) if p.kind == "phrase" else F.lit(i) for i, p in scoring]))
-    kept = kept.select("key", whole.alias("whole"))
-    about = rows.agg(F.count("*"), F.coalesce(F.avg(F.size(own)), F.lit(1.0))).first()
-    asked = own
-    if all(p.kind in ("word", "phrase") for _, p in scoring):  # other words never leave their row
-        listed = sorted({w for _, p in scoring for w in p.words})
-        asked = F.filter(own, lambda w: w.isin(listed))
-    counted = rows.select("key", F.size(own).alias("len"), asked.alias("asked")).select("key", "len", F.explode("asked").alias("term"))
-    hits = counted.groupBy("key", "len", "term").agg(F.count("*").alias("tf")).join(wanted, "term")
-    held = hits.groupBy("term").agg(F.count_distinct("key").alias("df"))
-    score = bm25_weight(F.col("tf"), F.col("df"), F.lit(about[0]), F.col("len"), F.lit(about[1] or 1.0)) * F.col("boost")
-    hits = hits.join(held, "term").join(kept, "key").where(F.array_contains("whole", F.col("n")))
-    scored = hits.groupBy("key").agg(F.sum(score).alias("score"), F.count_distinct("n").alias("matched"))
-    if q.every:
-        scored = scored.where(F.col("matched") == len(scoring))
+    whole = kept.where("key is not null").select("key", F.size(own).alias("len"), own.alias("own"), F.array(*[_holds(own, p) for p in scoring]).alias("whole"))
+    whole = whole.where(F.forall("whole", lambda x: x) if q.every else F.exists("whole", lambda x: x))
+    if all(p.kind in ("word", "phrase") for p in scoring):
+        tf = {w: F.get(F.col("tf"), F.lit(i)) for i, w in enumerate(listed)}
+        counted = whole.select("key", "len", "whole", F.array(*[occurrences(F.col("own"), w) for w in listed]).alias("tf"))
+        parts = [F.when(F.get("whole", F.lit(i)), weight(tf[w], F.lit(about[2 + listed.index(w)]), F.col("len"))).otherwise(0.0) for i, p in enumerate(scoring) for w in p.words]
+        hits = counted.select("key", reduce(lambda a, b: a + b, parts).alias("score"))
+    else:
+        any_part = lambda w: reduce(lambda a, b: a | b, [_means(p, w) for p in scoring])
+        asked = tokenised(df.where(reduce(lambda a, b: a | b, may)), [], {"words": texts[text]}).select(F.filter("words", any_part).alias("asked"))
+        terms = asked.select(F.explode(F.array_distinct("asked")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        rows = whole.select("key", "len", "whole", F.filter("own", any_part).alias("asked"))
+
+        def found(i: int, p: Part) -> Column:
+            """The part's terms in the document, with their counts; a word that a phrase has twice counts twice."""
+            said = F.array(*map(F.lit, p.words)) if p.kind in ("word", "phrase") else F.filter(F.array_distinct("asked"), lambda w: _means(p, w))
+            boost = (lambda w: 1 / (F.levenshtein(w, F.lit(p.words[0])) + 1)) if p.kind == "near" else (lambda w: F.lit(1.0))
+            each = F.transform(said, lambda w: F.struct(w.alias("term"), occurrences(F.col("asked"), w).alias("tf"), boost(w).alias("boost")))
+            return F.when(F.get("whole", F.lit(i)), each).otherwise(F.slice(each, 1, 0))
+
+        each = rows.select("key", "len", F.inline(F.concat(*[found(i, p) for i, p in enumerate(scoring)])))
+        hits = each.join(terms, "term").select("key", (weight(F.col("tf"), F.col("df"), F.col("len")) * F.col("boost")).alias("score"))
+    scored = hits.groupBy("key").agg(F.sum("score").alias("score"))
     ranked = scored.select(F.col("key").alias(key), F.round("score", 9).alias("score")).orderBy(F.desc("score"), key)
     return ranked if limit is None else ranked.limit(limit)
 

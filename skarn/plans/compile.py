@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import expression as aggregated
+from ..functions.aggregates import summed
 from ..functions.expressions import Expression, expression, used
 from ..functions.paths import column, has_path
 from ..functions.predicates import all_of, predicate
@@ -64,8 +64,8 @@ def run(spec: QuerySpec, df: DataFrame, mode: str = "core") -> DataFrame:
         df = df.hint(name, *arguments)
     df = filtered(computed(df, spec.compute), spec, mode)
     if spec.aggregates or spec.group_by:
-        keys, measures = [column(df, k) for k in spec.group_by], [aggregated(df, a) for a in spec.aggregates]
-        df = df.groupBy(*keys).agg(*measures) if measures else df.select(*keys).distinct()
+        keys = [column(df, k) for k in spec.group_by]
+        df = summed(df, keys, spec.aggregates) if spec.aggregates else df.select(*keys).distinct()
         if spec.having:
             df = df.where(all_of([predicate(df, p, mode) for p in spec.having]))
     df = computed(df, spec.finish)

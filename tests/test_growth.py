@@ -3,7 +3,9 @@
 import glob
 
 import pandas as pd
+from pyspark.sql import functions as F
 
+from skarn.functions.aggregates import Aggregate, summed
 from skarn.operators import search
 
 
@@ -32,3 +34,18 @@ def test_bm25_cuts_each_text_once(spark):
     found = search.bm25(docs, "id", "text", ["red", "sky"])
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1 and [(r["id"], r["matched"]) for r in found.collect()] == [(1, 2)]
     assert search.bm25(docs, "id", "text", []).count() == 0
+
+
+def test_percentiles_hold_no_group_in_a_task(spark):
+    """Exact, for all rows and groups, ties, nulls and NaN, without an aggregate that keeps all values."""
+    rows = [(None if i % 7 == 0 else i % 3, float(i * 7919 % 5000) if i % 11 else None) for i in range(20_000)] + [(9, None), (8, float("nan")), (8, 1.0)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    df.createOrReplaceTempView("percentile_rows")
+    given = [Aggregate("percentile", "v", f"p{i}", share=s) for i, s in enumerate([0.0, 0.5, 0.95, 0.9999, 1.0])]
+    want = ", ".join(f"percentile(v, {a.share}) as {a.name}" for a in given)
+    for keys, group in (([], ""), ([F.col("k")], "group by k")):
+        found = summed(df, keys, [Aggregate("count", None, "n"), *given])
+        assert " percentile(" not in found._jdf.queryExecution().optimizedPlan().toString().replace("[percentile(", " percentile(")
+        listed = lambda d: sorted(map(repr, map(tuple, d.collect())))
+        assert listed(found) == listed(spark.sql(f"select {'k, ' if keys else ''}count(*) as n, {want} from percentile_rows {group}"))
+    assert summed(df.where("v is null and k = 9"), [], given).first()[0] is None

@@ -71,33 +71,28 @@ def shred_long(df: DataFrame, keys: list[str], text: str, columns: list[str] | N
 
     With columns, only these paths and what lies below them; nothing else is walked. The deepest document is looked for first;
     if it is deeper than max_depth, that is an error. Then the JSON is parsed once, as a variant, and every level is one generator
-    through which leaves pass and containers are opened, so each document is walked once, whatever its depth, without a schema.
+    through which leaves pass and containers are opened, so each document is walked once, whatever its depth, without a schema. Only
+    what is left at the end is asked for its kind: that of a container is the schema of all below it.
     """
     given = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").cast("string").alias("__text"))
     deepest = given.where(F.expr("try_parse_json(__text) is not null")).agg(F.max(json_depth(F.col("__text")))).first()[0] or 0
     if deepest > max_depth:
         raise ValueError(f"documents are {deepest} levels deep, more than {max_depth}")
     names = ", ".join(f"`{k}`" for k in keys)
-    step = given.select(*[F.col(f"`{k}`") for k in keys], F.lit("").alias("path"), F.expr("try_parse_json(__text)").alias("v")).where("v is not null")
-    step = step.withColumn("kind", F.expr("schema_of_variant(v)"))
-    container = "(kind like 'OBJECT%' or kind like 'ARRAY%')"
-    path = f"case when not {container} then path when t.key is not null then if(path = '', t.key, concat(path, '.', t.key)) else concat(path, '[', t.pos, ']') end"
+    parsed = given.select(*[F.col(f"`{k}`") for k in keys], F.explode(F.array(F.expr("try_parse_json(__text)"))).alias("v"))  # once a document
+    step = parsed.where("v is not null").withColumn("path", F.lit(""))
+    path = "case when t.pos is null then path when t.key is not null then if(path = '', t.key, concat(path, '.', t.key)) else concat(path, '[', t.pos, ']') end"
     for _ in range(deepest):
         view = f"__shred_{uuid.uuid4().hex}"
         step.createOrReplaceTempView(view)
-        step = df.sparkSession.sql(
-            f"select {names}, {path} as path, if({container}, t.value, v) as v, {container} as opened, t.pos is null as bare"
-            f" from {view}, lateral variant_explode_outer(if({container}, v, null)) t"
-        )
+        step = df.sparkSession.sql(f"select {names}, {path} as path, if(t.pos is null, v, t.value) as v from {view}, lateral variant_explode_outer(v) t")
         df.sparkSession.catalog.dropTempView(view)
-        step = step.where("not (opened and bare)").drop("opened", "bare")
         if columns is not None:
             ways = [F.col("path").isin(columns)]
             ways += [(F.col("path") == "") | F.lit(c).startswith(F.concat("path", F.lit("."))) | F.lit(c).startswith(F.concat("path", F.lit("["))) for c in columns]
             ways += [F.col("path").startswith(c + ".") | F.col("path").startswith(c + "[") for c in columns]
             step = step.where(reduce(lambda a, b: a | b, ways))
-        step = step.withColumn("kind", F.expr("schema_of_variant(v)"))
-    leaf = step.where(f"not {container}")
+    leaf = step.withColumn("kind", F.expr("schema_of_variant(v)")).where("not (kind like 'OBJECT%' or kind like 'ARRAY%')")
     if columns is not None:
         leaf = leaf.where(reduce(lambda a, b: a | b, [(F.col("path") == c) | F.col("path").startswith(c + ".") | F.col("path").startswith(c + "[") for c in columns], F.lit(False)))
     return leaf.select(*[F.col(f"`{k}`") for k in keys], "path", F.lower("kind").alias("kind"), F.expr("try_variant_get(v, '$', 'string')").alias("value"))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from skarn.functions.aggregates import Aggregate, summed
-from skarn.operators import search
+from skarn.operators import schema, search
 
 
 def test_an_index_is_written_in_sorted_segments(spark, tmp_path):
@@ -49,3 +49,12 @@ def test_percentiles_hold_no_group_in_a_task(spark):
         listed = lambda d: sorted(map(repr, map(tuple, d.collect())))
         assert listed(found) == listed(spark.sql(f"select {'k, ' if keys else ''}count(*) as n, {want} from percentile_rows {group}"))
     assert summed(df.where("v is null and k = 9"), [], given).first()[0] is None
+
+
+def test_shredding_asks_no_container_for_its_kind(spark):
+    """schema_of_variant walks all below a container, so it stands above all generators; empty containers vanish, leaves stay."""
+    docs = spark.createDataFrame([(1, '{"a":{"b":[1,{"c":null},[],{}]},"d":"x","e":{}}'), (2, "[]"), (3, "5"), (4, "{bad"), (5, None)], "id int, doc string")
+    found = schema.shred_long(docs, ["id"], "doc")
+    assert sorted(map(tuple, found.collect())) == [(1, "a.b[0]", "bigint", "1"), (1, "a.b[1].c", "void", None), (1, "d", "string", "x"), (3, "", "bigint", "5")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1 and "schemaOfVariant" not in plan[plan.index("variant_explode") :]
